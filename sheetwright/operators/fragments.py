@@ -46,7 +46,7 @@ def _heads(fragments: DataFrame) -> DataFrame:
     pieces = _clean_pieces(fragments).withColumn("first_row", F.element_at("rows", 1))
     pieces = pieces.withColumn("is_header", looks_like_header(F.col("first_row")))
     pieces = pieces.withColumn("n_rows", F.size("rows") - F.col("is_header").cast("int"))
-    body = F.when(F.col("is_header"), F.slice("rows", 2, 2147483647)).otherwise(F.col("rows"))
+    body = F.when(F.col("is_header"), F.slice("rows", F.lit(2), F.size("rows"))).otherwise(F.col("rows"))
     width = F.size("first_row")
     return pieces.select(
         *PIECE,
@@ -190,7 +190,7 @@ def merge_page_tables(
         named.select(*PIECE, "table_name", "is_header", "width", (F.col("rows_upto") - F.col("n_rows")).alias("offset")),
         "page-targets",
     )
-    body = F.when(F.col("is_header"), F.slice("rows", 2, 2147483647)).otherwise(F.col("rows"))
+    body = F.when(F.col("is_header"), F.slice("rows", F.lit(2), F.size("rows"))).otherwise(F.col("rows"))
     rows = (
         _clean_pieces(fragments.select(*PIECE, "rows"))
         .join(targets, PIECE)
