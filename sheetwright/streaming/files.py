@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,6 +15,14 @@ from ..sources.routing import quarantine, route_files
 from ..sources.store import has_table, read_table, write_batch
 
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def with_file_path(files: DataFrame) -> DataFrame:
+    """``binaryFile`` rows with the path in the form the other readers report."""
+    return files.withColumn("path", F.col("_metadata.file_path"))
+
+
 def _new_files(spark: SparkSession, files: DataFrame, out_dir: str, batch_id: int) -> DataFrame:
     """First file of each content that no *other* batch has stored."""
     firsts = (
@@ -38,7 +48,7 @@ def ingest_batch(files: DataFrame, batch_id: int, out_dir: str, identifier_mode:
     )
     write_batch(quarantine(routed).select("path", "reason"), f"{out_dir}/quarantine", batch_id)
     new = _new_files(spark, routed.where(F.col("route") == "csv"), out_dir, batch_id)
-    paths = [r.path for r in new.select("path").toLocalIterator()]
+    paths = [unquote(r.path) for r in new.select("path").toLocalIterator()]
     if not paths:
         return
     rows, headers = read_csv_rows(spark, paths)
@@ -70,12 +80,13 @@ def stream_ingest(
     """
     files = (
         spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
         .load(in_dir)
     )
     return (
-        files.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, out_dir, identifier_mode))
+        with_file_path(files).writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, out_dir, identifier_mode))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
