@@ -97,7 +97,7 @@ def _share_counts(identifier_mode: str) -> dict[str, Column]:
     cleaned = N.strip_units(text)
     long = F.length(shown) >= LONG_LENGTH
     if identifier_mode == "digits_only":
-        long = long & (text.isNull() | ~N.is_formatted_amount(text))
+        long = long & ~N.is_formatted_amount(F.coalesce(text, shown))
 
     def count(condition: Column) -> Column:
         return F.count(F.when(condition, F.lit(1)))
