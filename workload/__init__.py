@@ -1,4 +1,4 @@
 """Queries over the driver tables, for the check and the bench."""
 
 from .registry import CHECKS, QUERIES
-from . import cleaning  # noqa: F401
+from . import asking, cleaning, documents  # noqa: F401
