@@ -11,10 +11,8 @@ from pyspark.sql import Column, functions as F
 from .text import SPACE_CLASS, strip
 
 # What may surround a number (currency signs, percent, pieces).
-UNITS = (
-    f"[{SPACE_CLASS}€$£%]"
-    r"|[Ee][Uu][Rr]|[Ssſ][Tt][KkK]\.?|[Ssſ][Tt]\."
-)
+UNITS = rf"[{SPACE_CLASS}$£%€]+|[Ee][Uu][Rr]|[Ssſ][Tt](?:[Kk\u212a]\.?|\.)"
+BARE = r"^[-+0-9.,]*+$"
 # A whole value in either style.
 GERMAN_SHAPE = r"^-?(?:\d{1,3}(?:\.\d{3})+|\d+)(?:,\d+)?$"
 US_SHAPE = r"^-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?$"
@@ -24,15 +22,17 @@ GERMAN_PROOF = r",(?:\d{1,2}|\d{4,})$|\.\d{3},\d+$|\.\d{3}\.\d{3}"
 US_PROOF = r"\.(?:\d{1,2}|\d{4,})$|,\d{3}\.\d+$|,\d{3},\d{3}"
 
 _DIGITS = r"\d(?:_?\d)*+"
-FLOAT_TEXT = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-INFINITY_TEXT = r"^[+-]?[iI][nN][fF](?:[iI][nN][iI][tT][yY])?$"
+_NUMBER = rf"(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+_INFINITE = r"[iI][nN][fF](?:[iI][nN][iI][tT][yY])?"
+# Text that Python's float() takes, apart from "nan".
+FLOAT_TEXT = rf"^[+-]?(?:{_NUMBER}|{_INFINITE})$"
 
 FORMATS = ("german", "us", "plain")
 
 
 def strip_units(c: Column) -> Column:
     """Drop whitespace, currency signs, %, EUR, Stk. and St. from a value."""
-    return F.regexp_replace(c, UNITS, "")
+    return F.when(c.rlike(BARE), c).otherwise(F.regexp_replace(c, UNITS, ""))
 
 
 def to_plain(cleaned: Column, fmt: str) -> Column:
@@ -44,48 +44,32 @@ def to_plain(cleaned: Column, fmt: str) -> Column:
     return cleaned
 
 
-def parse_plain(text: Column) -> Column:
-    """Text to double; null where it is not a number. Never raises."""
-    infinite = F.when(F.startswith(text, F.lit("-")), F.lit("-Infinity")).otherwise("Infinity")
-    return (
-        F.when(text.rlike(FLOAT_TEXT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
-        .when(text.rlike(INFINITY_TEXT), infinite.try_cast("double"))
-    )
-
-
-def parse_number(c: Column, fmt: str) -> Column:
-    """One value under a known format ('german', 'us' or 'plain')."""
-    return parse_plain(to_plain(strip_units(c), fmt))
+def is_number(text: Column) -> Column:
+    return text.rlike(FLOAT_TEXT)
 
 
-def parse_number_by(c: Column, fmt: Column) -> Column:
-    """One value under the format named by another column."""
-    cleaned = strip_units(c)
-    plain = (
+def to_plain_by(cleaned: Column, fmt: Column) -> Column:
+    """``to_plain`` under the format named by another column."""
+    return (
         F.when(fmt == "german", to_plain(cleaned, "german"))
         .when(fmt == "us", to_plain(cleaned, "us"))
         .otherwise(cleaned)
     )
-    return parse_plain(plain)
-
 
-def proves_german(cleaned: Column) -> Column:
-    return cleaned.rlike(GERMAN_PROOF) & cleaned.rlike(GERMAN_SHAPE)
 
+def parse_plain(text: Column) -> Column:
+    """Text to double; null where it is not a number. Never raises.
 
-def proves_us(cleaned: Column) -> Column:
-    return cleaned.rlike(US_PROOF) & cleaned.rlike(US_SHAPE)
+    ``text`` is read more than once: give it a column, not a long expression.
+    """
+    digits = F.when(F.contains(text, F.lit("_")), F.replace(text, F.lit("_"), F.lit(""))).otherwise(text)
+    return F.when(is_number(text), digits.try_cast("double"))
 
 
-def fits_any(cleaned: Column) -> Column:
-    return cleaned.rlike(GERMAN_SHAPE) | cleaned.rlike(US_SHAPE)
+def parse_number(c: Column, fmt: str) -> Column:
+    """One value under a known format ('german', 'us' or 'plain')."""
+    return parse_plain(to_plain(strip_units(c), fmt))
 
 
 def has_leading_zero(trimmed: Column) -> Column:
-    return trimmed.rlike(r"^0\d+$")
-
-
-def is_formatted_amount(c: Column) -> Column:
-    """A number shape that also carries a separator or a unit: an amount, not a code."""
-    cleaned = strip_units(c)
-    return fits_any(cleaned) & ((cleaned != strip(c)) | cleaned.rlike("[.,]"))
+    return F.startswith(trimmed, F.lit("0")) & trimmed.rlike(r"^0\d+$")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 # The characters a Unicode-aware strip() treats as whitespace,
 # once as the inside of a regex class and once as a plain string for btrim.
 SPACE_CLASS = (
-    r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"

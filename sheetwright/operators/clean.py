@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import numbers as N
 from ..functions.text import blank_to_null, is_filled
+from ..plans.session import written
 from .ordered import numbered
 from .profile import (
     TABLE_KEY,
     _string_columns,
     as_text,
-    as_typed,
     cells_are_typed,
     column_decisions,
     typed_cell,
@@ -44,33 +44,64 @@ def renumber(rows: DataFrame, rows_per_range: int = 1_000_000) -> DataFrame:
     return counted.withColumn("row_no", F.col("place") - 1).drop("place")
 
 
-def _convert(cell: Column, kind: Column, fmt: Column) -> Column:
-    number = F.coalesce(N.parse_number_by(cell["text"], fmt), cell["num"], cell["flag"].cast("double"))
-    as_word = as_text(cell["text"], cell["num"], cell["ts"], cell["flag"])
-    return F.struct(
-        F.when(kind == "text", as_word).alias("text"),
-        F.when(kind == "number", number).alias("num"),
-        F.when(kind == "timestamp", cell["ts"]).alias("ts"),
-        F.when(kind == "boolean", cell["flag"]).alias("flag"),
+def packed_decisions(decisions: DataFrame) -> DataFrame:
+    """One row per table: an array of (type, fmt) with null for empty columns."""
+    entry = F.struct("col_no", F.struct("type", "fmt").alias("plan"))
+    by_column = decisions.groupBy(*TABLE_KEY).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("plans"), F.max("col_no").alias("last")
     )
+    plans = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.try_element_at(F.col("plans"), i))
+    return by_column.select(*TABLE_KEY, plans.alias("plans"))
 
 
 def apply_decisions(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """Turn every cell into the type decided for its column.
 
-    Decisions are first packed per table, so the join is by table and carries
-    rows, not cells. It has no hint: the decisions were written, Spark knows
-    their size and broadcasts them when small, else splits skewed tables.
+    Decisions are packed per table first, so the join is by table and carries
+    rows, not cells. It has no hint: the packed table was written, Spark knows
+    its size and broadcasts it when small, else splits skewed tables. Cells are
+    cleaned, rewritten and parsed in steps, each of them computed once.
     """
-    packed = decisions.groupBy(*TABLE_KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct("col_no", F.struct("type", "fmt")))).alias("columns")
-    )
-    plan = F.transform(
-        F.sequence(F.lit(0), F.size("cells") - 1), lambda i: F.try_element_at(F.col("columns"), i)
-    )
-    joined = as_typed(rows).where(F.size("cells") > 0).join(packed, TABLE_KEY, "left")
-    cells = F.zip_with("cells", plan, lambda c, p: _convert(c, p["type"], p["fmt"]))
-    return joined.withColumn("cells", cells).drop("columns")
+    joined = rows.join(written(packed_decisions(decisions), "packed-decisions"), TABLE_KEY, "left")
+    typed = cells_are_typed(rows)
+    plans = F.coalesce("plans", F.array().cast(joined.schema["plans"].dataType))
+
+    def cleaned(c: Column, p: Column) -> Column:
+        text = blank_to_null(c["text"] if typed else c)
+        rest = [c[n] for n in ("num", "ts", "flag")] if typed else []
+        as_word = as_text(text, *rest) if typed else text
+        kind = p["type"]
+        fields = [
+            F.when(kind == "text", as_word).alias("text"),
+            F.when(kind == "number", N.strip_units(text)).alias("cleaned"),
+            p["fmt"].alias("fmt"),
+        ]
+        if typed:
+            number = F.coalesce(c["num"], c["flag"].cast("double"))
+            fields += [
+                F.when(kind == "number", number).alias("num"),
+                F.when(kind == "timestamp", c["ts"]).alias("ts"),
+                F.when(kind == "boolean", c["flag"]).alias("flag"),
+            ]
+        return F.struct(*fields)
+
+    def rewritten(c: Column) -> Column:
+        kept = [c[n].alias(n) for n in (("text", "num", "ts", "flag") if typed else ("text",))]
+        return F.struct(*kept, N.to_plain_by(c["cleaned"], c["fmt"]).alias("plain"))
+
+    def parsed(c: Column) -> Column:
+        number = N.parse_plain(c["plain"])
+        if typed:
+            return typed_cell(c["text"], F.coalesce(number, c["num"]), c["ts"], c["flag"])
+        return typed_cell(c["text"], number)
+
+    for step in (
+        F.zip_with("cells", F.slice(plans, F.lit(1), F.coalesce(F.array_size("cells"), F.lit(0))), cleaned),
+        F.transform("cells", rewritten),
+        F.transform("cells", parsed),
+    ):
+        joined = joined.withColumn("cells", step)
+    return joined.drop("plans")
 
 
 def normalize_rows(
@@ -93,7 +124,7 @@ def to_cells(typed_rows: DataFrame) -> DataFrame:
     """Typed rows as one row per filled cell."""
     extra = [c for c in ("row_no", "source_page") if c in typed_rows.columns]
     return (
-        typed_rows.select(*TABLE_KEY, *extra, F.posexplode("cells").alias("col_no", "cell"))
+        typed_rows.select(*TABLE_KEY, *extra, F.posexplode_outer("cells").alias("col_no", "cell"))
         .select(*TABLE_KEY, *extra, "col_no", "cell.*")
         .where("text is not null or num is not null or ts is not null or flag is not null")
     )
@@ -143,13 +174,17 @@ def normalize_table(
     decided = wide_decisions(df, columns, identifier_mode, default)
     names = set(_string_columns(df, columns))
 
-    def cleaned(name: str) -> Column:
+    def rewritten(name: str) -> Column:
         c = F.col(f"`{name}`")
         if name not in names:
             return c
         kind, fmt = decided[name]
-        if kind == "number":
-            return N.parse_number(c, fmt).alias(name)
-        return blank_to_null(c).alias(name)
+        text = N.to_plain(N.strip_units(c), fmt) if kind == "number" else blank_to_null(c)
+        return text.alias(name)
+
+    def parsed(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        is_number = name in names and decided[name][0] == "number"
+        return N.parse_plain(c).alias(name) if is_number else c
 
-    return df.select(*[cleaned(c) for c in df.columns])
+    return df.select(*[rewritten(c) for c in df.columns]).select(*[parsed(c) for c in df.columns])

@@ -49,28 +49,19 @@ def cells_are_typed(rows: DataFrame) -> bool:
     return isinstance(rows.schema["cells"].dataType.elementType, T.StructType)
 
 
-def as_typed(rows: DataFrame) -> DataFrame:
-    """Cells as typed structs, blank text already null."""
-    if cells_are_typed(rows):
-        cells = F.transform("cells", lambda c: typed_cell(blank_to_null(c["text"]), c["num"], c["ts"], c["flag"]))
-    else:
-        cells = F.transform("cells", lambda c: typed_cell(blank_to_null(c)))
-    return rows.withColumn("cells", cells)
-
-
 def exploded(rows: DataFrame, *extra: str) -> DataFrame:
     """One row per filled cell: keys, ``col_no`` from 0, text, num, ts, flag."""
     keep = [*TABLE_KEY, *extra]
     if cells_are_typed(rows):
         return (
-            rows.select(*keep, F.posexplode("cells").alias("col_no", "cell"))
+            rows.select(*keep, F.posexplode_outer("cells").alias("col_no", "cell"))
             .select(
                 *keep, "col_no", blank_to_null(F.col("cell.text")).alias("text"), "cell.num", "cell.ts", "cell.flag"
             )
             .where("text is not null or num is not null or ts is not null or flag is not null")
         )
     return (
-        rows.select(*keep, F.posexplode("cells").alias("col_no", "text"))
+        rows.select(*keep, F.posexplode_outer("cells").alias("col_no", "text"))
         .where(strip(F.col("text")) != "")
         .select(
             *keep, "col_no", "text",
@@ -90,34 +81,38 @@ def as_text(text: Column, num: Column, ts: Column, flag: Column) -> Column:
     )
 
 
-def _share_counts(identifier_mode: str) -> dict[str, Column]:
-    """Aggregates over filled cells with columns text, num, ts, flag."""
+def _with_facts(cells: DataFrame, identifier_mode: str) -> DataFrame:
+    """Yes/no facts about each filled cell.
+
+    Each step uses only columns of the step before, so every pattern is
+    matched once per cell however many facts depend on it.
+    """
     text, num, ts, flag = (F.col(n) for n in ("text", "num", "ts", "flag"))
-    shown = strip(as_text(text, num, ts, flag))
-    cleaned = N.strip_units(text)
+    cleaned, shown = F.col("cleaned"), F.col("shown")
+    german, us = F.col("fits_german"), F.col("fits_us")
+    named = cells.withColumn("cleaned", N.strip_units(text)).withColumn("shown", strip(as_text(text, num, ts, flag)))
+    shaped = named.withColumn("fits_german", cleaned.rlike(N.GERMAN_SHAPE)).withColumn(
+        "fits_us", cleaned.rlike(N.US_SHAPE)
+    )
     long = F.length(shown) >= LONG_LENGTH
     if identifier_mode == "digits_only":
-        long = long & ~N.is_formatted_amount(F.coalesce(text, shown))
-
-    def count(condition: Column) -> Column:
-        return F.count(F.when(condition, F.lit(1)))
-
-    def parses(fmt: str) -> Column:
-        return N.parse_plain(N.to_plain(cleaned, fmt)).isNotNull()
-
-    return {
-        "n_filled": F.count("*"),
-        "n_text": F.count(text),
-        "n_num": F.count(num),
-        "n_ts": F.count(ts),
-        "n_flag": F.count(flag),
-        "n_zero": count(N.has_leading_zero(shown)),
-        "n_long": count(long),
-        "n_fit": count(N.fits_any(cleaned)),
-        "n_proof_german": count(N.proves_german(cleaned)),
-        "n_proof_us": count(N.proves_us(cleaned)),
-        **{f"n_{fmt}": count(parses(fmt)) for fmt in N.FORMATS},
-    }
+        # A number shape with a separator or a unit is an amount, not a code.
+        amount = (german | us) & ((cleaned != shown) | cleaned.rlike("[.,]"))
+        number = num.isNotNull() & F.contains(shown, F.lit("."))
+        long = long & ~F.coalesce(amount, F.lit(False)) & ~number
+    return shaped.select(
+        *COLUMN_KEY,
+        *[F.col(n).isNotNull().alias(f"is_{n}") for n in ("text", "num", "ts", "flag")],
+        N.has_leading_zero(shown).alias("is_zero"),
+        long.alias("is_long"),
+        (german | us).alias("is_fit"),
+        (german & cleaned.rlike(N.GERMAN_PROOF)).alias("is_proof_german"),
+        (us & cleaned.rlike(N.US_PROOF)).alias("is_proof_us"),
+        # What fits a shape also parses under it.
+        (german | N.is_number(N.to_plain(cleaned, "german"))).alias("is_german"),
+        (us | N.is_number(N.to_plain(cleaned, "us"))).alias("is_us"),
+        N.is_number(cleaned).alias("is_plain"),
+    )
 
 
 def number_format_of(default: str = "german") -> Column:
@@ -156,8 +151,11 @@ def _with_decision_inputs(stats: DataFrame, default: str) -> DataFrame:
 
 def column_stats(rows: DataFrame, identifier_mode: str = "all_values", default: str = "german") -> DataFrame:
     """Counts per column of every table, with the number format they decide."""
-    counts = _share_counts(identifier_mode)
-    stats = exploded(rows).groupBy(*COLUMN_KEY).agg(*[c.alias(n) for n, c in counts.items()])
+    facts = _with_facts(exploded(rows), identifier_mode)
+    stats = facts.groupBy(*COLUMN_KEY).agg(
+        F.count("*").alias("n_filled"),
+        *[F.count_if(c).alias("n_" + c.removeprefix("is_")) for c in facts.columns if c not in COLUMN_KEY],
+    )
     return _with_decision_inputs(stats, default)
 
 
