@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sheetwright.operators import clean, questions as Q, results
 
 from .registry import query
-from .render import german, german_lineitem, table
+from .render import german, german_lineitem, spread, table
 
 
 def _cleaned(spark, sf, *columns):
@@ -83,7 +83,7 @@ def q_count(spark, sf):
 
 def _order_docs(spark, sf):
     """Every customer's orders as a document of its own."""
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     return o.select(
         F.col("o_custkey").alias("doc_id"), F.lit("data").alias("table_name"), F.col("o_orderkey").alias("row_no"),
         F.array(F.col("o_orderpriority"), german(F.col("o_totalprice")), german(F.col("o_orderkey") % 1000, 0),

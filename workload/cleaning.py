@@ -10,7 +10,7 @@ from sheetwright.functions.headers import looks_like_header, unique_names
 from sheetwright.operators import clean, profile, questions as Q
 
 from .registry import query
-from .render import german, german_lineitem, table, us, with_unit
+from .render import german, german_lineitem, spread, table, us, with_unit
 
 MONEY = {"identifier_mode": "digits_only"}
 
@@ -31,7 +31,7 @@ def german_sum(spark, sf):
 
 @query("us_sum", PRICE_BY_FLAG)
 def us_sum(spark, sf):
-    df = table(spark, sf, "lineitem").select(
+    df = spread(table(spark, sf, "lineitem")).select(
         "l_returnflag", with_unit(us(F.col("l_extendedprice")), F.col("l_orderkey")).alias("price"))
     return _sum_by_flag(clean.normalize_table(df, ["price"], **MONEY), "price")
 
@@ -69,7 +69,7 @@ def parse_number(spark, sf):
 
 
 def _format_rows(spark, sf):
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     price = F.col("o_totalprice")
     cells = F.array(
         german(price), us(price), german(F.col("o_custkey") + 1000, 0),
