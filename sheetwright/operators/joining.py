@@ -9,6 +9,8 @@ from ..plans.session import written
 # A key with more than this share of all rows is handled apart. There can be
 # at most 1 / HOT_SHARE such keys, which bounds what is broadcast.
 HOT_SHARE = 1 / 1000
+# Fewer rows than this of one key need no special way.
+HOT_ROWS = 1_000_000
 
 
 def join_back(rows: DataFrame, summary: DataFrame, keys: list[str], count_col: str) -> DataFrame:
@@ -22,7 +24,7 @@ def join_back(rows: DataFrame, summary: DataFrame, keys: list[str], count_col: s
     """
     table = written(summary, "summary")
     total = table.agg(F.sum(count_col)).first()[0] or 0
-    limit = max(int(total * HOT_SHARE), 1_000_000)
+    limit = max(int(total * HOT_SHARE), HOT_ROWS)
     hot = table.where(F.col(count_col) > limit)
     if hot.isEmpty():
         return rows.join(table.drop(count_col), keys, "left")
