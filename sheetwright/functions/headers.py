@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import SPACE_CLASS, squeeze
+from .text import SPACE_CLASS, safe_table_name, squeeze
 
 # A filled cell that reads like a number, and header cells that
 # stand for "no name".
@@ -26,12 +26,12 @@ def base_names(header: Column) -> Column:
     return F.transform(header, name)
 
 
-def unique_names(header: Column) -> Column:
-    """Distinct column names; a repeat gets the smallest free suffix from 2 on.
+def _distinct_names(names: Column, taken: list[str]) -> Column:
+    """Each name as it is, or with the smallest free suffix from 2 on.
 
     The result for a name depends on the names chosen before it, so this is a
-    fold over the header array. The search for a free suffix only runs for a
-    name that is already taken.
+    fold over the array. The search for a free suffix only runs for a name
+    that is already taken. Names in ``taken`` are never given out.
     """
     def add(done: Column, name: Column) -> Column:
         def suffixed(k: Column) -> Column:
@@ -44,7 +44,20 @@ def unique_names(header: Column) -> Column:
         chosen = F.when(F.array_contains(done, name), F.element_at(free, 1)).otherwise(name)
         return F.concat(done, F.array(chosen))
 
-    return F.aggregate(base_names(header), F.array().cast("array<string>"), add)
+    start = F.array(*[F.lit(t) for t in taken]).cast("array<string>")
+    chosen = F.aggregate(names, start, add)
+    return F.slice(chosen, F.lit(len(taken) + 1), F.size(names)) if taken else chosen
+
+
+def unique_names(header: Column) -> Column:
+    """Distinct column names for a header row."""
+    return _distinct_names(base_names(header), [])
+
+
+def sheet_table_names(sheets: Column) -> Column:
+    """Distinct table names for the sheets of a workbook; ``document_text`` is
+    kept for the text blocks."""
+    return _distinct_names(F.transform(sheets, safe_table_name), ["document_text"])
 
 
 def fit_width(row: Column, width: Column) -> Column:

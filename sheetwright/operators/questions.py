@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.session import written
 from .ordered import ROWS_PER_RANGE, rank_within, running_sum
 
 
@@ -96,7 +97,7 @@ def running_total(
     df: DataFrame, keys: list[str], order: str, col: str, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Running total per key: one row per key and order value."""
-    sums = df.groupBy(*keys, order).agg(F.sum(col).alias("total"))
+    sums = written(df.groupBy(*keys, order).agg(F.sum(col).alias("total")), "moment-sums")
     return running_sum(sums, keys, [order], "total", "running_total", rows_per_range)
 
 
@@ -104,7 +105,7 @@ def rank_by_total(
     df: DataFrame, keys: list[str], item: str, col: str, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Items ranked by their total inside each key, the largest first."""
-    sums = df.groupBy(*keys, item).agg(F.round(F.sum(col), 2).alias("total"))
+    sums = written(df.groupBy(*keys, item).agg(F.round(F.sum(col), 2).alias("total")), "item-sums")
     return rank_within(sums, keys, "total", "rank", rows_per_range)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.messages import file_ref, picture_urls, pictures
+from ..plans.session import written
 from .joining import join_back
 from .ordered import ROWS_PER_RANGE, carry_last
 
@@ -80,6 +81,7 @@ def resolve_chat_doc(
     moments = marks.unionByName(asked).groupBy("chat_id", "ts").agg(
         F.max("attached").alias("attached"), F.sum("n").alias("n")
     )
+    moments = written(moments, "chat-moments")
     known = carry_last(moments, ["chat_id"], ["ts"], "attached", "current", rows_per_range).where(F.col("n") > 0)
     answers = known.select("chat_id", "ts", F.col("current.doc_id").alias("chat_doc"), "n")
     joined = join_back(questions, answers, ["chat_id", "ts"], "n")

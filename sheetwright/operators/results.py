@@ -13,12 +13,14 @@ def capped(df: DataFrame, order: list[Column | str], n: int = MAX_ROWS) -> DataF
     ``orderBy().limit()`` becomes a top-n per partition; the count is a scalar
     subquery of its own, so no window over the whole result is needed.
     """
-    total = df.agg(F.count("*")).scalar()
-    top = df.orderBy(*order).limit(n).withColumn("total_rows", total)
-    note = F.concat(
-        F.lit(f"only the first {n} of "), F.col("total_rows").cast("string"), F.lit(" rows are shown")
+    count = F.count("*")
+    note = F.concat(F.lit(f"only the first {n} of "), count.cast("string"), F.lit(" rows are shown"))
+    # Both in one projection: Spark recognises a top-n only right below one.
+    return df.orderBy(*order).limit(n).select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        df.agg(count).scalar().alias("total_rows"),
+        df.agg(F.when(count > n, note)).scalar().alias("note"),
     )
-    return top.withColumn("note", F.when(F.col("total_rows") > n, note))
 
 
 def capped_list(df: DataFrame, list_col: str, n: int = MAX_ROWS) -> DataFrame:

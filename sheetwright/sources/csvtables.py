@@ -48,22 +48,26 @@ def runs_on(line: Column, sep: str) -> Column:
     """True when a quoted field opens in this line and does not close in it."""
     s = "\\" + sep if sep == "|" else sep
     closed = rf'(?:"(?:[^"]++|"")*+"[^{s}]*+|[^{s}"][^{s}]*+)?+{s}'
-    return F.contains(line, F.lit('"')) & line.rlike(rf'^(?:{closed})*+"(?:[^"]++|"")*+$')
+    return line.rlike(rf'^(?:{closed})*+"(?:[^"]++|"")*+$')
 
 
 def sniff(lines: DataFrame) -> DataFrame:
     """One row per file from ``lines(path, block, line, value)`` of raw text.
 
     Every figure is combined on the map side, so one huge file is no burden.
+    The set of run-on marks (at most 16 different ones) also makes Spark choose
+    a hash aggregation; the first line alone would make it sort all lines.
     """
     raw = F.col("value").cast("binary")
     place = F.struct("block", "line")
+    marks = F.concat(*[F.when(runs_on(F.col("value"), s), F.lit("1")).otherwise("0") for s in SEPARATORS])
+    any_mark = F.when(F.contains("value", F.lit('"')), F.nullif(marks, F.lit("0" * len(SEPARATORS))))
     facts = lines.groupBy("path").agg(
         F.bool_and(E.is_utf8(raw)).alias("utf8"),
         F.bool_or(E.has_gap_bytes(raw)).alias("gaps"),
         F.min_by(raw, F.when(is_filled(F.col("value")), place)).alias("first_raw"),
         *[F.max(count_of(F.col("value"), s)).alias(f"most_{i}") for i, s in enumerate(SEPARATORS)],
-        *[F.bool_or(runs_on(F.col("value"), s)).alias(f"runs_on_{i}") for i, s in enumerate(SEPARATORS)],
+        F.collect_set(any_mark).alias("run_on_marks"),
     )
     facts = facts.where(F.col("first_raw").isNotNull()).withColumn(
         "encoding", E.encoding_of(F.col("utf8"), F.col("gaps"))
@@ -71,19 +75,24 @@ def sniff(lines: DataFrame) -> DataFrame:
     facts = facts.withColumn("first_line", E.decode_as(F.col("first_raw"), F.col("encoding")))
     facts = facts.withColumn("separator", guess_separator(F.col("first_line")))
 
-    def for_separator(prefix: str) -> Column:
-        picked = F.col(f"{prefix}_{len(SEPARATORS) - 1}")
-        for i, s in enumerate(SEPARATORS[:-1]):
-            picked = F.when(F.col("separator") == s, F.col(f"{prefix}_{i}")).otherwise(picked)
+    def for_separator(values: list[Column]) -> Column:
+        picked = values[-1]
+        for sep, value in zip(SEPARATORS[:-1], values[:-1]):
+            picked = F.when(F.col("separator") == sep, value).otherwise(picked)
         return picked
 
+    def runs_under(i: int) -> Column:
+        return F.exists("run_on_marks", lambda mark: F.substring(mark, i + 1, 1) == "1")
+
+    places = range(len(SEPARATORS))
+    runs = [runs_under(i) for i in places]
     return facts.select(
         "path",
         "encoding",
         "separator",
         "first_line",
-        (for_separator("most") + 1).cast("int").alias("width"),
-        for_separator("runs_on").alias("multi_line"),
+        (for_separator([F.col(f"most_{i}") for i in places]) + 1).cast("int").alias("width"),
+        for_separator(runs).alias("multi_line"),
     )
 
 

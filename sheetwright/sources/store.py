@@ -8,7 +8,9 @@ one document skips most row groups.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..plans.session import written
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int | str, sort_by: list[str] | None = None) -> None:
@@ -36,3 +38,26 @@ def read_document(spark: SparkSession, path: str, doc_id: str) -> DataFrame:
 def log_questions(answers: DataFrame, path: str, batch_id: int | str) -> None:
     """Keep (ts, doc_id, question, n_rows, result) of answered questions."""
     write_batch(answers.select("ts", "doc_id", "question", "n_rows", "result"), path, batch_id)
+
+
+def _remove(spark: SparkSession, path: str, gone: DataFrame, batches: list) -> None:
+    for batch in batches:
+        one = spark.read.parquet(f"{path}/batch={batch}")
+        kept = written(one.join(gone.select("doc_id"), "doc_id", "left_anti"), "kept")
+        write_batch(kept, path, batch, ["doc_id"])
+
+
+def retire(spark: SparkSession, store_dir: str, cutoff: Column, tables: tuple[str, ...] = ("rows", "headers", "columns")) -> DataFrame:
+    """Remove documents ingested before ``cutoff``; returns them.
+
+    Only batches that hold such a document are rewritten. Tables come first
+    and the registry last, so that a run that was cut short can be repeated.
+    """
+    registry = read_table(spark, f"{store_dir}/registry")
+    gone = written(registry.where(F.col("ingested_at") < cutoff).select("doc_id", "batch"), "expired")
+    batches = [r.batch for r in gone.select("batch").distinct().toLocalIterator()]
+    for name in tables:
+        if has_table(spark, f"{store_dir}/{name}"):
+            _remove(spark, f"{store_dir}/{name}", gone, batches)
+    _remove(spark, f"{store_dir}/registry", gone, batches)
+    return gone.select("doc_id")

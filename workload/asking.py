@@ -238,7 +238,7 @@ def capped_result(spark, sf):
     return results.capped(df, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()])
 
 
-@query("capped_list", """SELECT doc_id, len(string_split(text, ' ')) AS total_items, md5(array_to_string(string_split(text, ' ')[1:200], '|')) AS first_items FROM documents""")
+@query("capped_list", """SELECT doc_id, CAST(len(string_split(text, ' ')) AS INTEGER) AS total_items, md5(array_to_string(string_split(text, ' ')[1:200], '|')) AS first_items FROM documents""")
 def capped_list(spark, sf):
     words = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words"))
     return results.capped_list(words, "words").select("doc_id", "total_items", F.md5(F.array_join("first_items", "|")).alias("first_items"))

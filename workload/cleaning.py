@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sheetwright.functions import numbers as N
 from sheetwright.functions import text as X
-from sheetwright.functions.headers import looks_like_header, unique_names
+from sheetwright.functions.headers import looks_like_header, sheet_table_names, unique_names
 from sheetwright.operators import clean, profile, questions as Q
 
 from .registry import query
@@ -274,9 +274,22 @@ def table_sample(spark, sf):
 
 
 @query("doc_tables", """SELECT lang AS doc_id, source AS table_name, count(*) AS n_rows, false AS is_text FROM documents GROUP BY 1, 2
-    UNION ALL SELECT lang, 'document_text', sum(len(string_split(text, chr(10)))), true FROM documents GROUP BY 1""")
+    UNION ALL SELECT lang, 'document_text', CAST(sum(len(string_split(text, chr(10)))) AS BIGINT), true FROM documents GROUP BY 1""")
 def doc_tables(spark, sf):
     d = table(spark, sf, "documents")
     rows = d.select(F.col("lang").alias("doc_id"), F.col("source").alias("table_name"))
     blocks = d.select(F.col("lang").alias("doc_id"), F.explode(F.split("text", "\n")).alias("content"))
     return profile.doc_tables(rows, blocks)
+
+
+@query("sheet_names", """
+    WITH h AS (SELECT p_partkey, unnest([1, 2, 3, 4]) AS pos,
+                      unnest([p_name, p_type, replace(p_name, ' ', '-'), 'document text']) AS raw FROM part),
+    n AS (SELECT p_partkey, pos, regexp_replace(raw, '[^A-Za-z0-9_]', '_', 'g') AS base FROM h),
+    k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, base ORDER BY pos) AS k FROM n)
+    SELECT p_partkey, pos, CASE WHEN base = 'document_text' THEN 'document_text_2' WHEN k = 1 THEN base ELSE base || '_' || k END AS name FROM k""")
+def sheet_names(spark, sf):
+    """Sheets whose safe names collide, or that would hide the text blocks."""
+    sheets = F.array("p_name", "p_type", F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.lit("document text"))
+    named = table(spark, sf, "part").select("p_partkey", F.posexplode(sheet_table_names(sheets)).alias("i", "name"))
+    return named.select("p_partkey", (F.col("i") + 1).alias("pos"), "name")

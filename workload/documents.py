@@ -8,6 +8,7 @@ from sheetwright.functions import encoding as E
 from sheetwright.functions import messages as M
 from sheetwright.functions import text as X
 from sheetwright.operators import clean, fragments, questions as Q, registry as R
+from sheetwright.plans.ingest import ingest_images, ingest_pages
 from sheetwright.plans.session import new_path
 from sheetwright.sources import csvtables, markdown, pages, routing, store
 from sheetwright.streaming.chats import stream_current_doc
@@ -83,6 +84,16 @@ def csv_roundtrip(spark, sf):
     return typed.select(c[0]["text"].alias("part_no"), c[1]["text"].alias("name"), c[2]["text"].alias("brand"), c[3]["num"].alias("price"))
 
 
+@query("csv_wide_table", """SELECT p_brand, round(sum(p_retailprice), 2) AS total, count(*) AS n FROM part GROUP BY 1""")
+def csv_wide_table(spark, sf):
+    """One table in one separator, read with ordinary columns and typed."""
+    p = table(spark, sf, "part")
+    path = new_path(spark, "wide-part")
+    p.select("p_brand", german(F.col("p_retailprice")).alias("Preis")).write.option("sep", ";").option("header", True).csv(path)
+    df = clean.normalize_table(csvtables.read_csv_table(spark, [path], ";"), identifier_mode="digits_only")
+    return Q.total_by(df, ["p_brand"], "Preis").select("p_brand", F.round("total", 2).alias("total"), "n")
+
+
 @query("stored_tables", """SELECT s_nationkey AS nation, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier GROUP BY 1""")
 def stored_tables(spark, sf):
     """Typed rows written twice as the same batch, read back per document."""
@@ -197,7 +208,7 @@ def page_tables_totals(spark, sf):
     return totals.select("doc_id", "table_name", F.round("total", 2).alias("total"), "n")
 
 
-@query("q_page_totals", """SELECT o_orderkey % 100 + 1 AS source_page, round(sum(o_totalprice + o_custkey), 2) AS total, 2 * count(*) AS n
+@query("q_page_totals", """SELECT CAST(o_orderkey % 100 + 1 AS INTEGER) AS source_page, round(sum(o_totalprice + o_custkey), 2) AS total, 2 * count(*) AS n
     FROM orders GROUP BY 1""")
 def q_page_totals(spark, sf):
     """Totals per source page over all documents."""
@@ -217,6 +228,39 @@ def markdown_tables(spark, sf):
     return found.select("doc_id", "index_on_page", row[0].alias("c1"), F.get(row, F.lit(1)).alias("c2"), F.get(row, F.lit(2)).alias("c3"))
 
 
+@query("scanned_and_ruled_pages", """SELECT s_suppkey // 10 AS doc_id, round(sum(s_acctbal), 2) AS total, count(*) AS n,
+        count(DISTINCT s_suppkey) AS n_pages FROM supplier GROUP BY 1""")
+def scanned_and_ruled_pages(spark, sf):
+    """Every other page a ruled table, the others scans with a transcript;
+    ten pages per document run on as one table."""
+    s = table(spark, sf, "supplier")
+    key = F.col("s_suppkey")
+    doc, page, ruled = F.floor(key / 10).alias("doc_id"), (key % 10 + 1).cast("int").alias("page_no"), key % 2 == 0
+    image = F.struct(F.lit(0.0).alias("x0"), F.lit(600.0).alias("x1"), F.lit(0.0).alias("top"), F.lit(800.0).alias("bottom"))
+    facts = s.select(
+        doc, page, F.when(ruled, 60).otherwise(0).alias("n_text_chars"), F.when(ruled, 60).otherwise(0).alias("n_chars"),
+        F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.array(image).alias("images"),
+        F.lit(0).alias("n_vector"), ruled.cast("int").alias("n_tables"))
+    saldo = german(F.col("s_acctbal"))
+    head = F.array(F.lit("Name"), F.lit("Saldo"))
+    pieces = s.where(ruled).select(doc, page, F.lit(0).alias("index_on_page"), F.array(head, F.array("s_name", saldo)).alias("rows"))
+    transcript = F.concat(F.lit("Seite\n| Name | Saldo |\n|---|---|\n| "), "s_name", F.lit(" | "), saldo, F.lit(" |\n"))
+    text = s.select(doc, page, F.when(ruled, F.lit("Fuss")).otherwise(transcript).alias("text"))
+    typed, _, _, blocks = ingest_pages(facts, pieces, text, "digits_only")
+    amounts = typed.where("table_name = 'table1'").select("doc_id", "source_page", F.col("cells")[1]["num"].alias("saldo"))
+    counted = blocks.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    return amounts.groupBy("doc_id").agg(F.round(F.sum("saldo"), 2).alias("total"), F.count("*").alias("n")).join(counted, "doc_id")
+
+
+@query("image_tables", """SELECT round(sum(s_acctbal), 2) AS total, count(*) AS n, 2 * count(*) AS n_tables FROM supplier""")
+def image_tables(spark, sf):
+    """Transcripts of pictures: every table in them, typed."""
+    typed, headers, _, _ = ingest_images(supplier_transcripts(spark, sf), "digits_only")
+    saldo = F.when(F.col("table_name") == "table1", F.get(F.col("cells"), F.lit(2))["num"])
+    sums = typed.agg(F.round(F.sum(saldo), 2).alias("total"), F.count(saldo).alias("n"))
+    return sums.withColumn("n_tables", headers.agg(F.count("*")).scalar())
+
+
 # --- Registry and chats --------------------------------------------------------
 
 
@@ -278,7 +322,7 @@ def stream_chat_current(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("stream_ingest_once", """SELECT count(*) FILTER (n > 0) AS n_docs, sum(n) AS n_rows, round(sum(total), 2) AS total
+@query("stream_ingest_once", """SELECT count(*) FILTER (n > 0) AS n_docs, CAST(sum(n) AS BIGINT) AS n_rows, round(sum(total), 2) AS total
     FROM (SELECT s_nationkey, count(*) AS n, sum(s_acctbal) AS total FROM supplier GROUP BY 1)""")
 def stream_ingest_once(spark, sf):
     """Supplier files, each of them there twice, ingested by a stream."""
@@ -313,6 +357,20 @@ def retention_prunes_chats(spark, sf):
     return R.live_only(attached, left).select("chat_id", "doc_id")
 
 
+@query("retired_store", """SELECT event_id AS doc_id, value FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '2024-01-15 12:00:00'""")
+def retired_store(spark, sf):
+    """Expired documents leave the stored rows and the registry."""
+    e = table(spark, sf, "events").where("event_type = 'signup'").select(
+        F.col("event_id").alias("doc_id"), "value", F.col("ts").alias("ingested_at"))
+    out = new_path(spark, "store")
+    early = F.col("ingested_at") < F.lit("2024-01-10").cast("timestamp_ntz")
+    for batch, docs in enumerate([e.where(early), e.where(~early)]):
+        store.write_batch(docs.select("doc_id", "value"), out + "/rows", batch)
+        store.write_batch(docs.select("doc_id", "ingested_at"), out + "/registry", batch)
+    store.retire(spark, out, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), ("rows",))
+    return R.live_only(store.read_table(spark, out + "/rows"), store.read_table(spark, out + "/registry")).select("doc_id", "value")
+
+
 def _entries(spark, sf):
     """Attachment entries as JSON, some nested, some flat, some unusable."""
     e = table(spark, sf, "events")
