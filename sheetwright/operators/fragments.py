@@ -63,9 +63,11 @@ def label_fragments(fragments: DataFrame, pages_per_range: int = PAGES_PER_RANGE
 
     Output: doc_id, page_no, index_on_page, start_page, start_index, header,
     is_header (its first row is one), width, n_rows (without a header row),
-    has_value. Only these few values per piece are shuffled, never its rows.
+    has_value. Only these few values per piece are shuffled, never its rows;
+    they are written once because they are needed twice.
     """
-    pieces = _heads(fragments).withColumn("page_range", F.floor(F.col("page_no") / pages_per_range))
+    heads = written(_heads(fragments), "page-heads")
+    pieces = heads.withColumn("page_range", F.floor(F.col("page_no") / pages_per_range))
 
     # The last page of a range is also shown to the next range, so that the
     # first page there can see its predecessor.

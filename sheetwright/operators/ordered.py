@@ -8,6 +8,9 @@ second window over those few rows supplies what came before the range.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -47,7 +50,16 @@ def with_ranges(df: DataFrame, order_col: str, rows_per_range: int = ROWS_PER_RA
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     cutter = Bucketizer(splits=splits, inputCol=_AXIS, outputCol=RANGE, handleInvalid="keep")
     ranged = cutter.transform(df.withColumn(_AXIS, _axis(df, order_col)))
-    return ranged.drop(_AXIS).withColumn(RANGE, F.col(RANGE).cast("int")), True
+    # Rows without an order value come first, as they do in a window.
+    return ranged.drop(_AXIS).withColumn(RANGE, F.coalesce(F.col(RANGE).cast("int"), F.lit(-1))), True
+
+
+def _with_carried(here: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """Give each row its range's carried value; null keys match null keys."""
+    names = [*keys, RANGE]
+    other = carried.select(*[F.col(k).alias(f"carried_{k}") for k in names], "carried")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"carried_{k}")) for k in names])
+    return here.join(other, same, "left").drop(*[f"carried_{k}" for k in names])
 
 
 def carry_last(
@@ -74,7 +86,7 @@ def carry_last(
         *keys, RANGE, F.last("range_end", ignorenulls=True).over(before).alias("carried")
     )
     return (
-        here.join(carried, [*keys, RANGE])
+        _with_carried(here, carried, keys)
         .withColumn(out, F.coalesce(out, "carried"))
         .drop("carried", RANGE)
     )
@@ -104,7 +116,7 @@ def running_sum(
         .select(*keys, RANGE, F.sum("range_sum").over(before).alias("carried"))
     )
     return (
-        here.join(carried, [*keys, RANGE])
+        _with_carried(here, carried, keys)
         .withColumn(out, F.when(F.col("carried").isNull(), F.col(out))
                     .otherwise(F.coalesce(F.col(out), F.lit(0)) + F.col("carried")))
         .drop("carried", RANGE)

@@ -41,6 +41,14 @@ def test_carry_and_running_sum(spark, rows_per_range):
     assert len(carried) == len(summed) == len(data)
 
 
+@pytest.mark.parametrize("rows_per_range", [3, 10_000])
+def test_null_keys_and_moments_are_kept(spark, rows_per_range):
+    data = [(None, 1, 5), (None, 9, None), ("a", None, 7), ("a", 3, None)] + [("b", i, None) for i in range(20)]
+    df = spark.createDataFrame(data, "k string, t int, v int")
+    got = {(r.k, r.t): r.out for r in carry_last(df, ["k"], ["t"], "v", "out", rows_per_range).collect()}
+    assert len(got) == len(data) and got[(None, 9)] == 5 and got[("a", 3)] == 7 and got[("b", 19)] is None
+
+
 @pytest.mark.parametrize("rows_per_range", [5, 10_000])
 def test_rank(spark, rows_per_range):
     rnd = random.Random(2)
