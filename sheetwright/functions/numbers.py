@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import SPACE_CLASS, strip
+from .text import SPACE_CHARS
 
-# What may surround a number (currency signs, percent, pieces).
-UNITS = rf"[{SPACE_CLASS}$£%€]+|[Ee][Uu][Rr]|[Ssſ][Tt](?:[Kk\u212a]\.?|\.)"
+# What may surround a number: whitespace, currency signs, percent,
+# and words for euro and pieces.
+UNIT_SIGNS = SPACE_CHARS + "€$£%"
+UNIT_WORDS = r"[Ee][Uu][Rr]|[Ssſ][Tt](?:[Kk\u212a]\.?|\.)"
 BARE = r"^[-+0-9.,]*+$"
 # A whole value in either style.
 GERMAN_SHAPE = r"^-?(?:\d{1,3}(?:\.\d{3})+|\d+)(?:,\d+)?$"
@@ -30,9 +32,15 @@ FLOAT_TEXT = rf"^[+-]?(?:{_NUMBER}|{_INFINITE})$"
 FORMATS = ("german", "us", "plain")
 
 
-def strip_units(c: Column) -> Column:
+def is_bare(c: Column) -> Column:
+    """Nothing but digits, signs and separators: there is no unit to drop."""
+    return c.rlike(BARE)
+
+
+def strip_units(c: Column, bare: Column | None = None) -> Column:
     """Drop whitespace, currency signs, %, EUR, Stk. and St. from a value."""
-    return F.when(c.rlike(BARE), c).otherwise(F.regexp_replace(c, UNITS, ""))
+    worded = F.when(c.rlike("[EeSsſ]"), F.regexp_replace(c, UNIT_WORDS, "")).otherwise(c)
+    return F.when(is_bare(c) if bare is None else bare, c).otherwise(F.translate(worded, UNIT_SIGNS, ""))
 
 
 def to_plain(cleaned: Column, fmt: str) -> Column:

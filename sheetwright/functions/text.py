@@ -27,12 +27,12 @@ def strip(c: Column) -> Column:
 
 def is_filled(c: Column) -> Column:
     """True for a value that is neither null nor only whitespace."""
-    return F.coalesce(strip(c) != "", F.lit(False))
+    return F.coalesce(F.ltrim(c, F.lit(SPACE_CHARS)) != "", F.lit(False))
 
 
 def blank_to_null(c: Column) -> Column:
     """Whitespace-only text becomes null; other text is left as it is."""
-    return F.when(strip(c) != "", c)
+    return F.when(is_filled(c), c)
 
 
 def squeeze(c: Column) -> Column:

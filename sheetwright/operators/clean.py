@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import numbers as N
 from ..functions.text import blank_to_null, is_filled
-from ..plans.session import written
+from .joining import join_back
 from .ordered import numbered
 from .profile import (
     TABLE_KEY,
@@ -48,21 +48,22 @@ def packed_decisions(decisions: DataFrame) -> DataFrame:
     """One row per table: an array of (type, fmt) with null for empty columns."""
     entry = F.struct("col_no", F.struct("type", "fmt").alias("plan"))
     by_column = decisions.groupBy(*TABLE_KEY).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("plans"), F.max("col_no").alias("last")
+        F.map_from_entries(F.collect_list(entry)).alias("plans"),
+        F.max("col_no").alias("last"),
+        F.sum("n_filled").alias("n_cells"),
     )
     plans = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.try_element_at(F.col("plans"), i))
-    return by_column.select(*TABLE_KEY, plans.alias("plans"))
+    return by_column.select(*TABLE_KEY, plans.alias("plans"), "n_cells")
 
 
 def apply_decisions(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """Turn every cell into the type decided for its column.
 
     Decisions are packed per table first, so the join is by table and carries
-    rows, not cells. It has no hint: the packed table was written, Spark knows
-    its size and broadcasts it when small, else splits skewed tables. Cells are
-    cleaned, rewritten and parsed in steps, each of them computed once.
+    rows, not cells; see ``join_back`` for how a huge table is kept whole but
+    spread. Cells are cleaned, rewritten and parsed in steps, each computed once.
     """
-    joined = rows.join(written(packed_decisions(decisions), "packed-decisions"), TABLE_KEY, "left")
+    joined = join_back(rows, packed_decisions(decisions), TABLE_KEY, "n_cells")
     typed = cells_are_typed(rows)
     plans = F.coalesce("plans", F.array().cast(joined.schema["plans"].dataType))
 

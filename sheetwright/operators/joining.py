@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.session import written
 
-# A key with more than this share of all rows is handled apart. There can be
-# at most 1 / HOT_SHARE such keys, which bounds what is broadcast.
+# A summary whose rows, as JSON text, take no more than this is broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
+# Beyond that, a key with more than this share of all rows is handled apart.
+# There can be at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 1 / 1000
 # Fewer rows than this of one key need no special way.
 HOT_ROWS = 1_000_000
@@ -17,13 +19,17 @@ def join_back(rows: DataFrame, summary: DataFrame, keys: list[str], count_col: s
     """Add the columns of ``summary`` (one row per key) to every row.
 
     ``summary`` holds in ``count_col`` how many rows each key has; a row whose
-    key is not in it is kept with nulls. It is written once. Keys that hold more than a
-    thousandth of the rows (so at most a thousand of them) are joined by
-    broadcast, and the remaining rows by a plain join whose strategy Spark
-    picks from the written size; none of its keys can be hot.
+    key is not in it is kept with nulls. It is written once and measured. When
+    it is small it is broadcast whole. Otherwise the keys with more than a
+    thousandth of the rows, at most a thousand of them, are joined by broadcast
+    and never shuffled, and the remaining rows by a plain join in which no key
+    can be hot.
     """
     table = written(summary, "summary")
-    total = table.agg(F.sum(count_col)).first()[0] or 0
+    text = F.to_json(F.struct(*table.columns))
+    total, size = table.agg(F.sum(count_col), F.sum(F.octet_length(text))).first()
+    if (size or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table.drop(count_col)), keys, "left")
     limit = max(int(total * HOT_SHARE), HOT_ROWS)
     hot = table.where(F.col(count_col) > limit)
     if hot.isEmpty():

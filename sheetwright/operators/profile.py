@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import numbers as N
 from ..functions.headers import unique_names
-from ..functions.text import blank_to_null, strip
+from ..functions.text import blank_to_null, is_filled, strip
 from ..plans.session import written
+from .joining import join_back
 
 TABLE_KEY = ["doc_id", "table_name"]
 COLUMN_KEY = [*TABLE_KEY, "col_no"]
@@ -62,7 +63,7 @@ def exploded(rows: DataFrame, *extra: str) -> DataFrame:
         )
     return (
         rows.select(*keep, F.posexplode_outer("cells").alias("col_no", "text"))
-        .where(strip(F.col("text")) != "")
+        .where(is_filled(F.col("text")))
         .select(
             *keep, "col_no", "text",
             *[F.lit(None).cast(f.dataType).alias(f.name) for f in CELL.fields[1:]],
@@ -90,14 +91,19 @@ def _with_facts(cells: DataFrame, identifier_mode: str) -> DataFrame:
     text, num, ts, flag = (F.col(n) for n in ("text", "num", "ts", "flag"))
     cleaned, shown = F.col("cleaned"), F.col("shown")
     german, us = F.col("fits_german"), F.col("fits_us")
-    named = cells.withColumn("cleaned", N.strip_units(text)).withColumn("shown", strip(as_text(text, num, ts, flag)))
+    bare = F.col("bare")
+    named = (
+        cells.withColumn("bare", N.is_bare(text))
+        .withColumn("cleaned", N.strip_units(text, bare))
+        .withColumn("shown", F.when(bare, text).otherwise(strip(as_text(text, num, ts, flag))))
+    )
     shaped = named.withColumn("fits_german", cleaned.rlike(N.GERMAN_SHAPE)).withColumn(
         "fits_us", cleaned.rlike(N.US_SHAPE)
     )
     long = F.length(shown) >= LONG_LENGTH
     if identifier_mode == "digits_only":
         # A number shape with a separator or a unit is an amount, not a code.
-        amount = (german | us) & ((cleaned != shown) | cleaned.rlike("[.,]"))
+        amount = (german | us) & ((cleaned != shown) | F.contains(cleaned, F.lit(".")) | F.contains(cleaned, F.lit(",")))
         number = num.isNotNull() & F.contains(shown, F.lit("."))
         long = long & ~F.coalesce(amount, F.lit(False)) & ~number
     return shaped.select(
@@ -111,7 +117,7 @@ def _with_facts(cells: DataFrame, identifier_mode: str) -> DataFrame:
         # What fits a shape also parses under it.
         (german | N.is_number(N.to_plain(cleaned, "german"))).alias("is_german"),
         (us | N.is_number(N.to_plain(cleaned, "us"))).alias("is_us"),
-        N.is_number(cleaned).alias("is_plain"),
+        (~F.contains(cleaned, F.lit(",")) & N.is_number(cleaned)).alias("is_plain"),
     )
 
 
@@ -164,8 +170,10 @@ def _distinct_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     values = exploded(rows).select(
         *COLUMN_KEY, strip(as_text(*[F.col(n) for n in ("text", "num", "ts", "flag")])).alias("value")
     )
+    marked = wanted.select(*COLUMN_KEY, "n_filled", F.lit(True).alias("wanted"))
     return (
-        values.join(wanted.select(*COLUMN_KEY), COLUMN_KEY, "left_semi")
+        join_back(values, marked, COLUMN_KEY, "n_filled")
+        .where("wanted")
         .groupBy(*COLUMN_KEY)
         .agg(F.count_distinct("value").alias("n_distinct"))
     )

@@ -64,6 +64,7 @@ def test_join_back_with_a_hot_key(spark, monkeypatch):
     rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(3000)] + [(None, -1)], "k string, i int")
     summary = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("first")).where("k is not null")
     monkeypatch.setattr(joining, "HOT_ROWS", 500)
+    monkeypatch.setattr(joining, "BROADCAST_BYTES", 0)
     out = join_back(rows, summary, ["k"], "n")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan
@@ -73,6 +74,25 @@ def test_join_back_with_a_hot_key(spark, monkeypatch):
     assert all(r["first"] == first.get(r.k) for r in got)
 
 
+def test_typing_with_a_hot_table(spark, monkeypatch):
+    """One table holds most rows and the decisions count as too many to broadcast."""
+    from sheetwright.operators.clean import normalize_rows
+
+    monkeypatch.setattr(joining, "HOT_ROWS", 300)
+    monkeypatch.setattr(joining, "BROADCAST_BYTES", 0)
+    data = [("hot", "t", i, [f"{i}.000", str(40_000_000 + i), "x"]) for i in range(1, 900)] + [
+        (f"d{i % 30}", "t", i, [f"{i},5", str(50_000_000 + i), None]) for i in range(1, 300)]
+    rows = spark.createDataFrame(data, "doc_id string, table_name string, row_no bigint, cells array<string>")
+    typed, _ = normalize_rows(rows)
+    got = {(r.doc_id, r.row_no): r.cells for r in typed.collect()}
+    assert len(got) == len(data)
+    for doc, _, i, cells in data:
+        a, b, c = got[(doc, i)]
+        assert a.num == (i * 1000.0 if doc == "hot" else i + 0.5)
+        assert b.text == cells[1] and b.num is None
+        assert c.text == cells[2]
+
+
 @pytest.mark.parametrize("rows_per_range", [7, 10_000])
 def test_chat_document_at_the_time(spark, rows_per_range):
     rnd = random.Random(4)

@@ -68,5 +68,5 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(l_returnflag,A)" in plan
 
 
-def test_decisions_are_broadcast_by_their_written_size(spark):
+def test_few_decisions_are_broadcast(spark):
     assert "BroadcastHashJoin" in plan_of(QUERIES["normalize_cells"](spark, SF))
