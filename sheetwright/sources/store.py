@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..plans.session import written
 
 
+TABLES = ("rows", "headers", "columns", "text_blocks")
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int | str, sort_by: list[str] | None = None) -> None:
     """Replace one batch of a stored table."""
     out = df.sortWithinPartitions(*sort_by) if sort_by else df
@@ -40,6 +43,22 @@ def log_questions(answers: DataFrame, path: str, batch_id: int | str) -> None:
     write_batch(answers.select("ts", "doc_id", "question", "n_rows", "result"), path, batch_id)
 
 
+def store_results(
+    out_dir: str,
+    batch_id: int | str,
+    rows: DataFrame,
+    headers: DataFrame,
+    decisions: DataFrame,
+    text_blocks: DataFrame | None = None,
+) -> None:
+    """Typed rows, headers, column decisions and text blocks of one batch."""
+    write_batch(rows, f"{out_dir}/rows", batch_id, ["doc_id"])
+    write_batch(headers, f"{out_dir}/headers", batch_id, ["doc_id"])
+    write_batch(decisions, f"{out_dir}/columns", batch_id, ["doc_id"])
+    if text_blocks is not None:
+        write_batch(text_blocks, f"{out_dir}/text_blocks", batch_id, ["doc_id"])
+
+
 def _remove(spark: SparkSession, path: str, gone: DataFrame, batches: list) -> None:
     for batch in batches:
         one = spark.read.parquet(f"{path}/batch={batch}")
@@ -47,7 +66,7 @@ def _remove(spark: SparkSession, path: str, gone: DataFrame, batches: list) -> N
         write_batch(kept, path, batch, ["doc_id"])
 
 
-def retire(spark: SparkSession, store_dir: str, cutoff: Column, tables: tuple[str, ...] = ("rows", "headers", "columns")) -> DataFrame:
+def retire(spark: SparkSession, store_dir: str, cutoff: Column, tables: tuple[str, ...] = TABLES) -> DataFrame:
     """Remove documents ingested before ``cutoff``; returns them.
 
     Only batches that hold such a document are rewritten. Tables come first

@@ -12,7 +12,7 @@ from ..operators.registry import doc_id_of, fingerprint
 from ..plans.session import written
 from ..sources.csvtables import read_csv_rows
 from ..sources.routing import quarantine, route_files
-from ..sources.store import has_table, read_table, write_batch
+from ..sources.store import has_table, read_table, store_results, write_batch
 
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -58,9 +58,7 @@ def ingest_batch(files: DataFrame, batch_id: int, out_dir: str, identifier_mode:
         return df.withColumnRenamed("doc_id", "file").join(names, "file").drop("file")
 
     typed, decisions = normalize_rows(drop_empty_rows(by_content(rows)), identifier_mode)
-    write_batch(typed, f"{out_dir}/rows", batch_id, ["doc_id"])
-    write_batch(by_content(headers), f"{out_dir}/headers", batch_id, ["doc_id"])
-    write_batch(decisions, f"{out_dir}/columns", batch_id, ["doc_id"])
+    store_results(out_dir, batch_id, typed, by_content(headers), decisions)
     write_batch(new, f"{out_dir}/registry", batch_id, ["source_id"])
 
 

@@ -231,8 +231,8 @@ def markdown_tables(spark, sf):
 @query("scanned_and_ruled_pages", """SELECT s_suppkey // 10 AS doc_id, round(sum(s_acctbal), 2) AS total, count(*) AS n,
         count(DISTINCT s_suppkey) AS n_pages FROM supplier GROUP BY 1""")
 def scanned_and_ruled_pages(spark, sf):
-    """Every other page a ruled table, the others scans with a transcript;
-    ten pages per document run on as one table."""
+    """Every other page a ruled table, the others scans with a transcript; ten
+    pages per document run on as one table. All of it is stored and read back."""
     s = table(spark, sf, "supplier")
     key = F.col("s_suppkey")
     doc, page, ruled = F.floor(key / 10).alias("doc_id"), (key % 10 + 1).cast("int").alias("page_no"), key % 2 == 0
@@ -246,9 +246,12 @@ def scanned_and_ruled_pages(spark, sf):
     pieces = s.where(ruled).select(doc, page, F.lit(0).alias("index_on_page"), F.array(head, F.array("s_name", saldo)).alias("rows"))
     transcript = F.concat(F.lit("Seite\n| Name | Saldo |\n|---|---|\n| "), "s_name", F.lit(" | "), saldo, F.lit(" |\n"))
     text = s.select(doc, page, F.when(ruled, F.lit("Fuss")).otherwise(transcript).alias("text"))
-    typed, _, _, blocks = ingest_pages(facts, pieces, text, "digits_only")
-    amounts = typed.where("table_name = 'table1'").select("doc_id", "source_page", F.col("cells")[1]["num"].alias("saldo"))
-    counted = blocks.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    typed, headers, decisions, blocks = ingest_pages(facts, pieces, text, "digits_only")
+    out = new_path(spark, "pages")
+    store.store_results(out, 0, typed, headers, decisions, blocks)
+    amounts = store.read_table(spark, out + "/rows").where("table_name = 'table1'").select(
+        "doc_id", F.col("cells")[1]["num"].alias("saldo"))
+    counted = store.read_table(spark, out + "/text_blocks").groupBy("doc_id").agg(F.count("*").alias("n_pages"))
     return amounts.groupBy("doc_id").agg(F.round(F.sum("saldo"), 2).alias("total"), F.count("*").alias("n")).join(counted, "doc_id")
 
 
