@@ -6,15 +6,16 @@ piece on a page, ``rows`` being an array of string arrays.
 A piece continues the one before it when it is the first on its page, that one
 stood on the page before, and both are equally wide; unless its first row looks
 like a header other than the current one. Instead of walking through a document
-piece by piece, the header and the start of the current table are *carried
-values*: the last one set at or before each piece. Pages are cut into ranges
-(``page_range``), so the windows also stay small for a document that makes up
-much of the data; between ranges only one row per range is carried on.
+piece by piece, each page is reduced to its first and last piece, and the header
+and the start of the current table are *carried values*: the last one set before
+each page. Pages are cut into ranges, so the windows also stay small for a
+document that makes up much of the data; between ranges only one row per range
+is carried on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.headers import fit_width, looks_like_header
 from ..functions.text import is_filled, squeeze
@@ -58,95 +59,118 @@ def _heads(fragments: DataFrame) -> DataFrame:
     )
 
 
-def label_fragments(fragments: DataFrame, pages_per_range: int = PAGES_PER_RANGE) -> DataFrame:
-    """For each piece the place where its table starts and, at that place, the header.
+def _page_ends(heads: DataFrame) -> DataFrame:
+    """One row per page: its piece 0 (``front``, if any) and its last piece.
 
-    Output: doc_id, page_no, index_on_page, start_page, start_index, header,
-    is_header (its first row is one), width, n_rows (without a header row),
-    has_value. Only these few values per piece are shuffled, never its rows;
-    they are written once because they are needed twice.
+    Only a front can continue a table, and only the last piece of the page
+    before it can be continued, so a page of any number of pieces is one row.
     """
-    heads = written(_heads(fragments), "page-heads")
-    pieces = heads.withColumn("page_range", F.floor(F.col("page_no") / pages_per_range))
+    index = F.col("index_on_page")
+    front = F.struct("width", "is_header", "first_row", "n_rows", "has_value")
+    end = F.struct("index_on_page", "width", "is_header", "first_row")
+    return heads.groupBy("doc_id", "page_no").agg(
+        F.max_by(front, F.when(index == 0, F.lit(0))).alias("front"), F.max_by(end, index).alias("end")
+    )
+
+
+def _label_fronts(pages: DataFrame, pages_per_range: int) -> DataFrame:
+    """Where the table of each page's front starts, and whether that is here."""
+    own_range = F.floor(F.col("page_no") / pages_per_range)
+    ranged = pages.withColumn("page_range", own_range)
 
     # The last page of a range is also shown to the next range, so that the
     # first page there can see its predecessor.
     both = F.array(F.col("page_range"), F.col("page_range") + 1)
     is_last_page = F.col("page_no") % pages_per_range == pages_per_range - 1
-    shown = pieces.withColumn(
-        "page_range_seen",
-        F.explode(F.when(is_last_page, both).otherwise(F.array("page_range"))),
+    shown = ranged.withColumn(
+        "seen_in", F.explode(F.when(is_last_page, both).otherwise(F.array("page_range")))
     )
-    shown = shown.withColumn("guest", F.col("page_range_seen") != F.col("page_range"))
 
-    here = Window.partitionBy("doc_id", "page_range_seen").orderBy("page_no", "index_on_page")
+    here = Window.partitionBy("doc_id", "seen_in").orderBy("page_no")
     upto_before = here.rowsBetween(Window.unboundedPreceding, -1)
-    place = F.struct("page_no", "index_on_page")
-    unrelated = (
-        F.lag("page_no").over(here).isNull()
-        | (F.col("index_on_page") != 0)
-        | (F.col("page_no") != F.lag("page_no").over(here) + 1)
-        | (F.col("width") != F.lag("width").over(here))
-    )
-    # What a piece sets for those after it: its header, or "no header" where
-    # a new table starts without one; null when it sets nothing.
-    sets = F.when(F.col("is_header"), F.struct(F.col("first_row").alias("names"))).when(
-        F.col("unrelated"), F.struct(F.lit(None).cast("array<string>").alias("names"))
+    before = F.lag("page_no").over(here)
+    related = (F.col("page_no") == before + 1) & (F.col("front.width") == F.lag("end.width").over(here))
+    ends_apart = F.col("end.index_on_page") != 0
+    first_row, is_header = F.col("front.first_row"), F.col("front.is_header")
+
+    def header_of(piece: str) -> Column:
+        names = F.when(F.col(f"{piece}.is_header"), F.col(f"{piece}.first_row"))
+        return F.struct(names.alias("names"))
+
+    # The header a page leaves behind for the next one: that of its last table,
+    # "none" if that has none, and null if the page only goes on with a table.
+    leaves = (
+        F.when(ends_apart, header_of("end"))
+        .when(is_header | ~F.col("related"), header_of("front"))
     )
+    other_header = is_header & F.col("known").isNotNull() & ~F.col("known.names").eqNullSafe(first_row)
     seen = (
-        shown.withColumn("unrelated", unrelated)
-        .where(~F.col("guest"))
-        .withColumn("sets", sets)
-        .withColumn("known", F.last("sets", ignorenulls=True).over(upto_before))
-        .withColumn(
-            "starts",
-            F.col("unrelated")
-            | (F.col("is_header") & F.col("known").isNotNull() & ~F.col("known.names").eqNullSafe(F.col("first_row"))),
-        )
+        shown.withColumn("related", F.coalesce(related, F.lit(False)))
+        .where(F.col("seen_in") == F.col("page_range"))
+        .withColumn("leaves", leaves)
+        .withColumn("known", F.last("leaves", ignorenulls=True).over(upto_before))
+        .withColumn("starts", F.coalesce(F.col("front").isNotNull() & (~F.col("related") | other_header), F.lit(False)))
         # Only the first header in a range can depend on earlier ranges.
-        .withColumn("open", F.col("is_header") & ~F.col("unrelated") & F.col("known").isNull())
+        .withColumn("open", F.coalesce(is_header & F.col("related") & F.col("known").isNull(), F.lit(False)))
     )
 
-    ranges = seen.groupBy("doc_id", "page_range_seen").agg(
-        F.max_by("sets", F.when(F.col("sets").isNotNull(), place)).alias("last_sets"),
-        F.max(F.when(F.col("starts"), place)).alias("last_start"),
-        F.max(F.when(F.col("open"), place)).alias("open_place"),
-        F.max_by("first_row", F.when(F.col("open"), place)).alias("open_row"),
-    )
-    earlier = (
-        Window.partitionBy("doc_id").orderBy("page_range_seen").rowsBetween(Window.unboundedPreceding, -1)
+    # The last table start on a page, apart from a start that is still open.
+    def start_on_page(front_starts: Column) -> Column:
+        index = F.when(ends_apart, F.col("end.index_on_page")).when(front_starts, F.lit(0))
+        return F.when(index.isNotNull(), F.struct("page_no", index.cast("int").alias("index_on_page")))
+
+    front_place = F.struct("page_no", F.lit(0).alias("index_on_page"))
+    ranges = seen.groupBy("doc_id", "seen_in").agg(
+        F.max_by("leaves", F.when(F.col("leaves").isNotNull(), F.col("page_no"))).alias("last_leaves"),
+        F.max(start_on_page(F.col("starts"))).alias("last_start"),
+        F.max(F.when(F.col("open"), front_place)).alias("open_place"),
+        F.max(F.when(F.col("open"), first_row)).alias("open_row"),
     )
-    open_starts = F.col("open_place").isNotNull() & ~F.col("from_sets.names").eqNullSafe(F.col("open_row"))
+    earlier = Window.partitionBy("doc_id").orderBy("seen_in").rowsBetween(Window.unboundedPreceding, -1)
+    open_starts = F.col("open_place").isNotNull() & ~F.col("from_leaves.names").eqNullSafe(F.col("open_row"))
     carried = (
-        ranges.withColumn("from_sets", F.last("last_sets", ignorenulls=True).over(earlier))
+        ranges.withColumn("from_leaves", F.last("last_leaves", ignorenulls=True).over(earlier))
         .withColumn("open_starts", F.coalesce(open_starts, F.lit(False)))
-        .withColumn(
-            "range_start", F.greatest("last_start", F.when(F.col("open_starts"), F.col("open_place")))
-        )
+        .withColumn("range_start", F.greatest("last_start", F.when(F.col("open_starts"), F.col("open_place"))))
         .withColumn("from_start", F.last("range_start", ignorenulls=True).over(earlier))
-        .select("doc_id", "page_range_seen", "from_sets", "from_start", "open_starts")
+        .select("doc_id", "seen_in", "from_start", "open_starts")
     )
 
-    upto_here = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = F.col("starts") | (F.col("open") & F.col("open_starts"))
-    start = F.coalesce(F.last(F.when(starts, place), ignorenulls=True).over(upto_here), F.col("from_start"))
-    current = F.coalesce(F.last("sets", ignorenulls=True).over(upto_here), F.col("from_sets"))
-    no_names = F.array_repeat(F.lit(""), F.col("width"))
+    last_before = F.last("start_on_page", ignorenulls=True).over(upto_before)
     return (
-        seen.join(carried, ["doc_id", "page_range_seen"])
-        .withColumn("start", start)
-        .withColumn("names", current["names"])
-        .withColumn("at_start", F.col("start").eqNullSafe(place))
-        .select(
-            *PIECE,
-            F.col("start.page_no").alias("start_page"),
-            F.col("start.index_on_page").alias("start_index"),
-            F.when(F.col("at_start"), F.coalesce("names", no_names)).alias("header"),
-            "is_header",
-            "width",
-            "n_rows",
-            "has_value",
-        )
+        seen.join(carried, ["doc_id", "seen_in"])
+        .withColumn("starts", starts)
+        .withColumn("start_on_page", start_on_page(F.col("starts")))
+        .withColumn("start", F.when(F.col("starts"), front_place).otherwise(F.coalesce(last_before, F.col("from_start"))))
+        .where(F.col("front").isNotNull())
+    )
+
+
+def label_fragments(fragments: DataFrame, pages_per_range: int = PAGES_PER_RANGE) -> DataFrame:
+    """For each piece the place where its table starts and, at that place, the header.
+
+    Output: doc_id, page_no, index_on_page, start_page, start_index, header,
+    is_header (its first row is one), width, n_rows (without a header row),
+    has_value. Only these few values per piece are shuffled, never its rows;
+    they are written once because they are needed twice.
+    """
+    heads = written(_heads(fragments), "page-heads")
+    pages = written(_page_ends(heads), "page-ends")
+    fronts = _label_fronts(pages, pages_per_range).select(
+        "doc_id", "page_no", F.lit(0).alias("index_on_page"), "front.*", "start.*", "starts"
+    )
+    # ``start.*`` repeats two names; they are told apart by position.
+    fronts = fronts.toDF(
+        *PIECE, "width", "is_header", "first_row", "n_rows", "has_value", "start_page", "start_index", "starts"
+    )
+    others = heads.where(F.col("index_on_page") != 0).select(
+        "*", F.col("page_no").alias("start_page"), F.col("index_on_page").alias("start_index"), F.lit(True).alias("starts")
+    )
+    names = F.when(F.col("is_header"), F.col("first_row")).otherwise(F.array_repeat(F.lit(""), F.col("width")))
+    return fronts.unionByName(others).select(
+        *PIECE, "start_page", "start_index", F.when(F.col("starts"), names).alias("header"),
+        "is_header", "width", "n_rows", "has_value",
     )
 
 
@@ -165,7 +189,11 @@ def named_tables(labels: DataFrame) -> DataFrame:
         .where("has_value")
         .drop("has_value")
     )
-    counted = numbered(tables, ["doc_id"], ["start_page", "start_index"], "number")
+    # Page and piece as one number that rises with them, so that the tables of
+    # one page can be spread as well.
+    piece = F.least(F.col("start_index").cast("bigint"), F.lit((1 << 20) - 1))
+    placed = tables.withColumn("place", F.col("start_page").cast("bigint") * (1 << 20) + piece)
+    counted = numbered(placed, ["doc_id"], ["place", "start_page", "start_index"], "number").drop("place")
     return counted.withColumn("table_name", F.concat(F.lit("table"), F.col("number").cast("string"))).drop("number")
 
 

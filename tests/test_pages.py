@@ -124,6 +124,19 @@ def test_one_huge_document(spark):
     assert tuple(r) == (n, 0, n - 1, 0)
 
 
+def test_one_huge_page(spark):
+    n = 2000
+    pieces = spark.range(n).select(
+        F.lit("big").alias("doc_id"), F.lit(1).alias("page_no"), F.col("id").cast("int").alias("index_on_page"),
+        F.array(F.array(F.lit("Teil"), F.lit("Menge")), F.array(F.lit("x"), F.col("id").cast("string"))).alias("rows"))
+    more = spark.createDataFrame([("big", 2, 0, [["y", "5"]])], FRAGMENT)
+    rows, headers = merge_page_tables(pieces.unionByName(more))
+    assert headers.count() == n
+    got = {(r.table_name, r.row_no): list(r.cells) for r in rows.collect()}
+    assert len(got) == n + 1 and got[("table7", 0)] == ["x", "6"]
+    assert got[(f"table{n}", 1)] == ["y", "5"]
+
+
 def python_names(names):
     out = []
     for i, raw in enumerate(names):

@@ -31,9 +31,10 @@ def q_filtered_total(spark, sf):
     return Q.total(df, "quantity", (F.col("l_returnflag") == "A") & (F.col("l_shipdate") >= F.lit("1996-01-01").cast("date")))
 
 
-@query("q_value", "SELECT round(sum(l_quantity * l_extendedprice), 2) AS total FROM lineitem")
+@query("q_value", "SELECT round(sum(l_quantity * l_extendedprice)) AS total FROM lineitem")
 def q_value(spark, sf):
-    return _rounded(Q.total_product(_cleaned(spark, sf, "quantity", "price"), "quantity", "price"), "total")
+    value = Q.total_product(_cleaned(spark, sf, "quantity", "price"), "quantity", "price")
+    return value.select(F.round("total").alias("total"))
 
 
 @query("q_distinct", "SELECT count(DISTINCT l_extendedprice) AS n FROM lineitem")
