@@ -93,6 +93,7 @@ def sniff(lines: DataFrame) -> DataFrame:
         "first_line",
         (for_separator([F.col(f"most_{i}") for i in places]) + 1).cast("int").alias("width"),
         for_separator(runs).alias("multi_line"),
+        for_separator([runs_on(F.col("first_line"), s) for s in SEPARATORS]).alias("open_header"),
     )
 
 
@@ -115,22 +116,30 @@ def _schema(width: int) -> str:
     return ", ".join(f"c{i} string" for i in range(width))
 
 
+def _cell(c: Column, cp1252: bool) -> Column:
+    text = F.translate(c, E.CP1252_BYTES, E.CP1252_GLYPHS) if cp1252 else c
+    return F.when(~text.isin(*NO_VALUE), text)
+
+
 def _cells(width: int, cp1252: bool) -> Column:
-    def cell(c: Column) -> Column:
-        text = F.translate(c, E.CP1252_BYTES, E.CP1252_GLYPHS) if cp1252 else c
-        return F.when(~text.isin(*NO_VALUE), text)
+    return F.array(*[_cell(F.col(f"c{i}"), cp1252) for i in range(width)])
+
 
-    return F.array(*[cell(F.col(f"c{i}")) for i in range(width)])
+def _charset(encoding: str) -> str:
+    """Spark reads no Windows-1252: such bytes come as Latin-1 and are translated."""
+    return "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
 
 
-def _read_group(spark: SparkSession, paths: list[str], encoding: str, sep: str, multi: bool, width: int) -> DataFrame:
-    charset = "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
+def _read_group(
+    spark: SparkSession, paths: list[str], encoding: str, sep: str, multi: bool, width: int, header: bool = True
+) -> DataFrame:
+    """Records of like files; the first of each file is left out as its header."""
     return (
         spark.read.options(**_options(sep))
-        .option("header", True)
+        .option("header", header)
         .option("enforceSchema", True)
         .option("multiLine", multi)
-        .option("encoding", charset)
+        .option("encoding", _charset(encoding))
         .schema(_schema(width))
         .csv(paths)
         .select(
@@ -145,20 +154,36 @@ def _read_group(spark: SparkSession, paths: list[str], encoding: str, sep: str,
     )
 
 
-def _headers(files: DataFrame, widths: dict[str, int]) -> DataFrame:
-    """Header cells of each file; a missing one is null."""
+def _multi_line_width(spark: SparkSession, paths: list[str], encoding: str, sep: str, width: int) -> int:
+    """Width of files whose records run over lines, where counting separators
+    per line falls short: records that do not fit ``width`` are counted whole."""
+    read = (
+        spark.read.options(**_options(sep))
+        .option("multiLine", True)
+        .option("encoding", _charset(encoding))
+        .option("columnNameOfCorruptRecord", "misfit")
+        .schema(_schema(width) + ", misfit string")
+        .csv(paths)
+    )
+    fields = F.array_max(F.array(*[F.when(F.col(f"c{i}").isNotNull(), i + 1).otherwise(1) for i in range(width)]))
+    needed = F.when(F.col("misfit").isNotNull(), count_of(F.col("misfit"), sep) + 1).otherwise(fields)
+    return max(width, read.agg(F.max(needed)).first()[0] or 0)
+
+
+def _headers(files: DataFrame, widths: dict[str, int]) -> list[DataFrame]:
+    """Header cells of each file whose header is one line; a missing one is null."""
     parts = []
     for sep, width in widths.items():
         parsed = F.from_csv("first_line", F.lit(_schema(width)), _options(sep))
         header = F.array(*[parsed[f"c{i}"] for i in range(width)])
         parts.append(
-            files.where(F.col("separator") == sep).select(
+            files.where((F.col("separator") == sep) & ~F.col("open_header")).select(
                 F.col("path").alias("doc_id"),
                 F.lit("data").alias("table_name"),
                 F.slice(header, F.lit(1), F.col("width")).alias("header"),
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    return parts
 
 
 def read_csv_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -170,28 +195,40 @@ def read_csv_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Dat
     it to group like files: at most 3 encodings x 4 separators x 2 record kinds.
     """
     files = written(sniff(read_lines(spark, paths)), "csv-files")
+    listed = files.select("path", "encoding", "separator", "multi_line", "width", "open_header")
     groups: dict[tuple, list] = {}
-    for r in files.select("path", "encoding", "separator", "multi_line", "width").toLocalIterator():
-        groups.setdefault((r.encoding, r.separator, r.multi_line), []).append((r.path, r.width))
+    for r in listed.toLocalIterator():
+        groups.setdefault((r.encoding, r.separator, r.multi_line), []).append(r)
     if not groups:
-        empty = spark.createDataFrame([], "doc_id string, table_name string, row_no struct<block:bigint,line:bigint>, cells array<string>")
+        empty = spark.createDataFrame(
+            [], "doc_id string, table_name string, row_no struct<block:bigint,line:bigint>, cells array<string>"
+        )
         return empty, spark.createDataFrame([], "doc_id string, table_name string, header array<string>")
-    rows = [
-        _read_group(spark, [unquote(p) for p, _ in members], encoding, sep, multi, max(w for _, w in members))
-        for (encoding, sep, multi), members in groups.items()
-    ]
-    widths: dict[str, int] = {}
-    for (_, sep, _), members in groups.items():
-        widths[sep] = max(widths.get(sep, 1), max(w for _, w in members))
-    return reduce(DataFrame.unionByName, rows), _headers(files, widths)
+
+    rows, open_headers, widths = [], [], {}
+    for (encoding, sep, multi), members in groups.items():
+        names = [unquote(m.path) for m in members]
+        width = max(m.width for m in members)
+        widths[sep] = max(widths.get(sep, 1), width)
+        if multi:
+            width = _multi_line_width(spark, names, encoding, sep, width)
+        rows.append(_read_group(spark, names, encoding, sep, multi, width))
+        opened = [unquote(m.path) for m in members if m.open_header]
+        if opened:
+            first = _read_group(spark, opened, encoding, sep, True, width, header=False)
+            open_headers.append(
+                first.where(F.exists("cells", lambda c: c.isNotNull()))
+                .groupBy("doc_id", "table_name")
+                .agg(F.min_by("cells", "row_no").alias("header"))
+            )
+    headers = [*_headers(files, widths), *open_headers]
+    return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, headers)
 
 
 def read_csv_table(spark: SparkSession, paths: list[str], sep: str, encoding: str = "utf-8") -> DataFrame:
     """One table of like files with ordinary, still textual columns."""
-    charset = "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
-    df = spark.read.options(**_options(sep)).option("header", True).option("encoding", charset).csv(paths)
-    if encoding != "cp1252":
-        return df
-    glyphs = [F.translate(f"`{c}`", E.CP1252_BYTES, E.CP1252_GLYPHS).alias(c.translate(
-        str.maketrans(E.CP1252_BYTES, E.CP1252_GLYPHS))) for c in df.columns]
-    return df.select(*glyphs)
+    df = spark.read.options(**_options(sep)).option("header", True).option("encoding", _charset(encoding)).csv(paths)
+    glyphs = str.maketrans(E.CP1252_BYTES, E.CP1252_GLYPHS) if encoding == "cp1252" else {}
+    return df.select(*[
+        _cell(F.col(f"`{c}`"), encoding == "cp1252").alias(c.translate(glyphs)) for c in df.columns
+    ])

@@ -13,13 +13,13 @@ from sheetwright.streaming.chats import stream_current_doc, stream_open_chats
 
 
 def test_question_is_found_in_every_wrapping(spark):
-    q = "Wie viele Teile?"
+    q = "Wie hoch ist der Bestand in Bremen?"
     wrapped = [
         q,
-        '<attached_files>\n<file id="1"/>\n</attached_files>\n\n' + q,
-        f"### Task: ...<source>...</source> <user_query>{q}</user_query>",
-        f'### Task:\nRespond ...\n\n<context>\n<source id="1">Artikel;Menge: A;1</source>\n</context>\n\n{q}',
-        '[{"type": "text", "text": "Wie viele"}, {"type": "image_url", "image_url": {"url": "x"}}, {"type": "text", "text": "Teile?"}]',
+        f"<attached_files>\nstock.csv\nmore\n</attached_files>  \n{q}",
+        f"Answer from the excerpt. <user_query>\n {q} </user_query> Be brief.",
+        f"Use this:\n<context>a;b</context> and <context>\nc;d\n</context>\n{q}",
+        '[{"type": "text", "text": "Wie hoch ist der Bestand"}, {"type": "image_url", "image_url": {"url": "x"}}, {"type": "text", "text": "in Bremen?"}]',
         f"  {q}\n",
     ]
     df = spark.createDataFrame([(w,) for w in wrapped], "c string")
@@ -39,7 +39,8 @@ def test_task_replies(spark):
         '{"queries": []}', '{"title": "Document question"}', ""]
 
 
-def python_base64(text):
+def lenient_base64(text):
+    """Python's own decoder, None where it refuses."""
     try:
         return base64.b64decode(text)
     except ValueError:
@@ -54,7 +55,7 @@ def test_base64_like_python(spark):
     for r in df.select("t", M.decode_base64(F.col("t")).alias("b")).collect():
         if r.t == "====":
             continue
-        assert (None if r.b is None else bytes(r.b)) == python_base64(r.t), r.t
+        assert (None if r.b is None else bytes(r.b)) == lenient_base64(r.t), r.t
 
 
 def test_pictures_are_attached_once(spark):
@@ -73,14 +74,14 @@ def test_pictures_are_attached_once(spark):
 
 def test_file_refs(spark):
     entries = [
-        '{"type":"file","file":{"id":"abc","filename":"lager.csv","path":"/p"}}', '{"id":"x","name":"n"}',
+        '{"type":"file","file":{"id":"abc","filename":"bestand.csv","path":"/p"}}', '{"id":"x","name":"n"}',
         '{"type":"image","id":"x","name":"n"}', '{"type":"collection","id":"x","name":"n"}', '{"type":"file","id":"x"}',
         '{"type":"image","file":{"id":"i","meta":{"name":"m.png"}}}',
         '{"type":"file","id":"outer","name":"outer","path":"/o","file":{"id":"","filename":""}}',
     ]
     df = spark.createDataFrame(list(enumerate(entries)), "i int, e string").select("i", F.from_json("e", M.FILE_SCHEMA).alias("entry"))
     got = {r.i: (r.id, r.name, r.path) for r in R.file_refs(df).collect()}
-    assert got == {0: ("abc", "lager.csv", "/p"), 1: ("x", "n", None), 5: ("i", "m.png", None), 6: ("outer", "outer", "/o")}
+    assert got == {0: ("abc", "bestand.csv", "/p"), 1: ("x", "n", None), 5: ("i", "m.png", None), 6: ("outer", "outer", "/o")}
 
 
 def test_names_and_cuts(spark):

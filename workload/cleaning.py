@@ -242,7 +242,7 @@ def header_rows(spark, sf):
 @query("cell_text", r"""SELECT doc_id, md5(trim(regexp_replace(text, '[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) AS hash
     FROM documents""")
 def cell_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(X.squeeze(F.col("text"))).alias("hash"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.md5(X.squeeze(F.col("text"))).alias("hash"))
 
 
 @query("safe_names", """SELECT p_partkey, regexp_replace(p_name || '.' || p_brand, '[^A-Za-z0-9_]', '_', 'g') AS table_name,

@@ -20,6 +20,7 @@ from .render import (
     chat_events,
     german,
     order_pages,
+    spread,
     supplier_transcripts,
     table,
     write_part_files,
@@ -168,7 +169,7 @@ def doc_meta(spark, sf):
     FROM lines WHERE trim(t, ' ' || chr(9) || chr(13) || chr(160)) <> ''""")
 def text_blocks(spark, sf):
     """Every line of a document as a page; blank pages give no block."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    lines = spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
     blocks = pages.text_blocks(lines.select("doc_id", (F.col("i") + 1).alias("page_no"), F.lit("text").alias("route"), "text"))
     return blocks.select("doc_id", "block_index", F.md5("content").alias("hash"))
 
