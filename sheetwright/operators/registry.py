@@ -29,7 +29,11 @@ def first_arrivals(incoming: DataFrame, arrival: str) -> DataFrame:
 def ingest_once(incoming: DataFrame, arrival: str) -> DataFrame:
     """Add ``first_arrival`` and ``cached``: only a content's first arrival is
     ingested, later ones are answered from it. Contents that make up much of
-    the input are joined apart, see ``join_back``."""
+    the input are joined apart, see ``join_back``.
+
+    ``incoming`` has fingerprints, not contents; it is written once so that the
+    contents are read and hashed once."""
+    incoming = written(incoming, "incoming")
     firsts = first_arrivals(incoming, arrival)
     joined = join_back(incoming, firsts, ["source_id"], "n_arrivals")
     return joined.withColumn("cached", F.col(arrival) != F.col("first_arrival"))
@@ -40,7 +44,9 @@ def known_docs(incoming: DataFrame, registry: DataFrame) -> DataFrame:
 
     ``registry`` has one row per ``source_id``. Incoming contents are made
     distinct first, so copies of one content meet the registry as one row.
+    ``incoming`` has fingerprints, not contents, and is written once.
     """
+    incoming = written(incoming, "incoming")
     counted = incoming.groupBy("source_id").agg(F.count("*").alias("n"))
     found = counted.join(registry.select("source_id", "doc_id"), "source_id", "left")
     return join_back(incoming, found, ["source_id"], "n").withColumn("cached", F.col("doc_id").isNotNull())

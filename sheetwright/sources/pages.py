@@ -26,7 +26,7 @@ def image_share(images: Column, width: Column, height: Column) -> Column:
         + F.greatest(zero, i["x1"] - i["x0"]) * F.greatest(zero, i["bottom"] - i["top"]),
     )
     page = width * height
-    return area / F.when(page == 0, F.lit(1.0)).otherwise(page)
+    return F.coalesce(area, zero) / F.when(page == 0, F.lit(1.0)).otherwise(page)
 
 
 def is_scan(facts: DataFrame) -> Column:
