@@ -192,6 +192,22 @@ def _decide(stats: DataFrame) -> DataFrame:
     )
 
 
+def _decisions(rows: DataFrame, stats: DataFrame, all_identifiers: bool = False) -> DataFrame:
+    """Decisions from column stats, which must be cheap to read again.
+
+    Distinct values are counted only where they can change the outcome: in
+    columns of long values that would otherwise become numbers. So the second
+    look at the data, and its shuffle by value, is skipped for most columns.
+    """
+    open_question = F.col("maybe_unique_ids")
+    if not all_identifiers:
+        open_question = open_question & F.col("converts")
+    wanted = stats.where(open_question)
+    if wanted.isEmpty():
+        return _decide(stats.withColumn("n_distinct", F.lit(None).cast("bigint")))
+    return _decide(stats.join(_distinct_counts(rows, wanted), COLUMN_KEY, "left"))
+
+
 def column_decisions(
     rows: DataFrame,
     identifier_mode: str = "all_values",
@@ -200,21 +216,10 @@ def column_decisions(
 ) -> DataFrame:
     """Format, identifier flag and type per column, as a written small table.
 
-    Distinct values are counted only where they can change the outcome: in
-    columns of long values that would otherwise become numbers. So the second
-    look at the data, and its shuffle by value, is skipped for most columns.
     ``all_identifiers`` asks for the flag on text columns too.
     """
     stats = written(column_stats(rows, identifier_mode, default), "column-stats")
-    open_question = F.col("maybe_unique_ids")
-    if not all_identifiers:
-        open_question = open_question & F.col("converts")
-    wanted = stats.where(open_question)
-    if wanted.isEmpty():
-        counted = stats.withColumn("n_distinct", F.lit(None).cast("bigint"))
-    else:
-        counted = stats.join(_distinct_counts(rows, wanted), COLUMN_KEY, "left")
-    return written(_decide(counted), "column-decisions")
+    return written(_decisions(rows, stats, all_identifiers), "column-decisions")
 
 
 def column_names(headers: DataFrame) -> DataFrame:
@@ -276,7 +281,7 @@ def wide_decisions(
     """(type, format) for each text column of one big table.
 
     The columns are unpivoted to (column, value), counted in one aggregation,
-    and only the decisions, one row per column, come to the driver.
+    and only its result, one row per column, comes to the driver.
     """
     names = _string_columns(df, columns)
     if not names:
@@ -284,6 +289,8 @@ def wide_decisions(
     rows = df.select(
         F.lit(0).alias("doc_id"), F.lit("data").alias("table_name"), F.array(*[F.col(f"`{c}`") for c in names]).alias("cells")
     )
-    found = column_decisions(rows, identifier_mode, default).select("col_no", "type", "fmt").collect()
+    counted = column_stats(rows, identifier_mode, default)
+    stats = df.sparkSession.createDataFrame(counted.collect(), counted.schema)
+    found = _decisions(rows, stats).select("col_no", "type", "fmt").collect()
     decided = {names[r.col_no]: (r.type, r.fmt) for r in found}
     return {c: decided.get(c, ("empty", "unknown")) for c in names}
