@@ -26,3 +26,10 @@ SELECT doc_id, n_words::BIGINT n_words, word_chars::BIGINT word_chars, n_symbols
   b AS base_failed, coalesce(greatest(rb, rs, rx) <= 0.5, true) host_kept, rb AS host_rate, NOT b AND coalesce(greatest(rb, rs, rx) <= 0.5, true) kept
 FROM f LEFT JOIN v USING (source)
 """
+
+CHECKS["op7_hamming_search"] = """
+WITH v AS (SELECT vec_id, [(x > 0)::INT FOR x IN embedding] c FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT q.vec_id query_id, v.vec_id, len(list_filter(list_zip(q.c, v.c), lambda x: x[1] <> x[2])) d FROM v q, v WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) k FROM p)
+SELECT query_id, k::INTEGER AS "rank", vec_id, d::INTEGER distance FROM r WHERE k <= 10
+"""
