@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..operators.joining import join_back
 from ..plans.session import written
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+# A tag has at most 200 parts between quotes or without, so that stray signs cost no more than a look ahead.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'){0,200}+)>|<[!?][^<>]*+>|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 SPACE = re.compile(r"\s+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -92,7 +93,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             elif tag in BLOCK:
                 flush()
             continue
-        for i in range(len(stack) - 1, -1, -1) if tag in CLOSERS else ():
+        for i in range(len(stack) - 1, -1, -1) if tag in CLOSERS and any(open_tags[t] for t in CLOSED_BY) else ():
             if tag in CLOSED_BY.get(stack[i][0], ()):
                 while len(stack) > i:
                     pop()
