@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
-KEPT = 400_000  # encoded words, cuts and checked pairs kept by a task, each
+KEPT = 200_000  # encoded words, cuts and checked pairs kept by a task, each
 LONGEST_KEPT = 64
 
 
