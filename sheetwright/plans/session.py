@@ -38,8 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "sheetwright-checkpoints")
 
 
+# Paths of intermediate tables written in this process and not removed, oldest first.
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sheetwright/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sheetwright/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def written_paths() -> list[str]:
+    """Intermediate tables of this process, oldest first."""
+    return list(_WRITTEN)
+
+
+def remove_written(spark: SparkSession, paths: list[str]) -> None:
+    """Remove intermediate tables that no result still to be computed reads."""
+    for path in paths:
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
