@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..operators.joining import join_back
 from ..plans.session import written
 from .expr import whole, words
+from .tables import joined
 
 
 @dataclass(frozen=True)
@@ -90,9 +91,10 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), source: str = "source", text: str =
     name = F.col(f"`{source}`")
     # A null source is a name of its own, after all others.
     src = F.struct(name.isNull().alias("none"), F.coalesce(name, F.lit("")).alias("name"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), src.alias("src"),
-                       F.size(words(whole(F.col(f"`{text}`")))).cast("long").alias("size"), F.col(f"`{key}`").alias("key"))
-    rows = written(rows, "sized")
+    whole_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), src.alias("src"),
+                             F.size(words(whole(F.col(f"`{text}`")))).cast("long").alias("size"), F.col(f"`{key}`").alias("key"))
+    whole_rows = written(whole_rows.withColumn("rid", F.monotonically_increasing_id()), "sized")
+    rows = whole_rows.drop("row")
     sizes = written(rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")), "sizes")
     wanted = targets(sizes, mix).withColumn("all", F.lit(0))
     wanted = wanted.withColumn("blocks", F.floor(F.sum("target").over(W.partitionBy("all")) / mix.block_words + 0.5).cast("long"))
@@ -107,7 +109,9 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), source: str = "source", text: str =
     shards = streamed.groupBy("src", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.count(F.lit(1)).alias("n"))
     shards = apportion(shards, ["src"], ["shard"], "words", "quota", "given")
     back = join_back(streamed.drop("quota"), shards.select("src", "shard", "words", "given", "n"), ["src", "shard"], "n")
-    return back.select("row", "size", "source_size", "target", _taken(mix).alias("taken"))
+    # Only numbers were moved; the rows get theirs by number.
+    taken = written(back.select("rid", "source_size", "target", _taken(mix).alias("taken")), "taken")
+    return joined(whole_rows.select("row", "rid", "size"), taken, ["rid"]).drop("rid")
 
 
 def _taken(mix: Mix) -> Column:
