@@ -29,6 +29,8 @@ import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
+from .tables import small_batches
+
 # Strings that mark turns in templates in use; fixed values.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|turn|>", "<|says|>", "<|over|>"]
 TURN, SAYS, OVER = CONTROL[-3:]
@@ -73,7 +75,7 @@ def encode_turns(rows: DataFrame, path: str, pattern: str, chat: str = "conv_id"
     over.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     ids = F.pandas_udf(over, "binary")
     whole = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    one = rows.select(F.col(f"`{chat}`").alias("chat"), F.col(f"`{turn}`").alias("turn"), whole(role).alias("role"), whole(text).alias("text"))
+    one = small_batches(rows).select(F.col(f"`{chat}`").alias("chat"), F.col(f"`{turn}`").alias("turn"), whole(role).alias("role"), whole(text).alias("text"))
     return one.withColumn("role_ids", ids("role")).withColumn("text_ids", ids("text"))
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.joining import join_back
 from ..plans.session import written
+from .tables import small_batches
 
 # A tag has at most 200 parts between quotes or without, so that stray signs cost no more than a look ahead.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'){0,200}+)>|<[!?][^<>]*+>|[^<]++|<", re.S)
@@ -163,7 +164,7 @@ def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
             out = [(h, p, s) for h, text in zip(batch["host"], batch["page"]) for p, s in page_scores(blocks(text)).items()]
             yield pd.DataFrame(out, columns=["host", "path", "score"])
 
-    some = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page")).where("host IS NOT NULL AND page IS NOT NULL")
+    some = small_batches(pages).select(host_of(F.col(url)).alias("host"), F.col(page).alias("page")).where("host IS NOT NULL AND page IS NOT NULL")
     voted = some.mapInPandas(votes, "host string, path string, score double")
     # Whole millionths, so that sums are the same in any order.
     each = voted.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1_000_000).cast("long")).alias("score"), F.count(F.lit(1)).alias("pages"))
@@ -178,7 +179,7 @@ def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
 def main_text(pages: DataFrame, url: str = "url", page: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The rows of ``pages`` as ``row`` with the ``text`` of the article."""
     carried = pages.columns if keep is None else keep
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), host_of(F.col(url)).alias("host"), F.col(page).alias("page"))
+    rows = small_batches(pages).select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), host_of(F.col(url)).alias("host"), F.col(page).alias("page"))
     known = join_back(rows, host_paths(pages, url, page), ["host"], "host_pages")
 
     def over(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .sampling import per_class
-from .tables import joined
+from .tables import joined, small_batches
 
 # Languages by family (ISO 639-1 codes).
 FAMILIES = {
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, how: Fit = Fit(), text: str = "text", lang: str = "lang
     """
     narrow = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("mark"))
     chosen = per_class(narrow, "lang", how.bound, "mark")
-    texts = joined(docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")), chosen, ["key", "mark"])
+    texts = joined(small_batches(docs).select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")), chosen, ["key", "mark"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,5 +162,5 @@ def identify(docs: DataFrame, machines: dict[str, Svm], how: Fit = Fit(), text:
 
     over.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     predict = F.pandas_udf(over, "lang_pred string, family_pred string, score double")
-    found = docs.select(*[F.col(f"`{c}`") for c in carried], predict(F.col(f"`{text}`")).alias("found_"))
+    found = small_batches(docs).select(*[F.col(f"`{c}`") for c in carried], predict(F.col(f"`{text}`")).alias("found_"))
     return found.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"found_.{c}").alias(c) for c in added])

@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.session import written
 from .graph import components
-from .tables import joined
+from .tables import joined, small_batches
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-WORDS_KEPT = 500_000  # word hashes kept by a task
+WORDS_KEPT = 150_000  # word hashes kept by a task
 
 
 @dataclass(frozen=True)
@@ -160,7 +160,7 @@ def _signed(rows: DataFrame, how: Banding) -> DataFrame:
                 out.append((rid, blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(n.sum()), _bands(sig, how.rows), (sig >> np.uint64(56)).astype(np.uint8).tobytes()))
             yield pd.DataFrame(out, columns=["rid", "content", "weight", "bands", "sig"])
 
-    return rows.select("rid", "text").mapInPandas(run, "rid long, content binary, weight long, bands array<long>, sig binary")
+    return small_batches(rows).select("rid", "text").mapInPandas(run, "rid long, content binary, weight long, bands array<long>, sig binary")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, how: Banding) -> DataFrame:

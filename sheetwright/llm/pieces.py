@@ -21,16 +21,20 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import groupby
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from .tables import small_batches
+
 SPACE = "▁"
-KEPT = 200_000  # encoded words, cuts and checked pairs kept by a task, each
+KEPT = 100_000  # encoded words, cuts and checked pairs kept by a task, each
 LONGEST_KEPT = 64
 
 
@@ -185,7 +189,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
             yield pd.Series([first + pieces.encode(t or "") + last for t in texts], dtype=object)
 
     over.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.select(*[F.col(f"`{c}`") for c in carried], F.pandas_udf(over, "binary")(F.col(f"`{text}`")).alias("ids"))
+    return small_batches(docs).select(*[F.col(f"`{c}`") for c in carried], F.pandas_udf(over, "binary")(F.col(f"`{text}`")).alias("ids"))
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -197,11 +201,28 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
             yield pd.Series([model.decode(np.frombuffer(b, "<u4").tolist()) for b in batch], dtype=object)
 
     over.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return rows.withColumn(into, F.pandas_udf(over, "string")(F.col(f"`{ids}`")))
+    return small_batches(rows).withColumn(into, F.pandas_udf(over, "string")(F.col(f"`{ids}`")))
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document the number of ids and the digests of ids and decoded text."""
-    both = decoded(encoded(docs.select(key, text), path, text, [key]), path)
-    return both.select(key, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    """Per document the number of ids and the digests of ids and decoded text.
+
+    Encodes and decodes one text after the other in one pass, so that a task
+    holds the ids of one text only.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(path)
+        first, last = (array("I", [i]).tobytes() for i in (pieces.model.bos_id(), pieces.model.eos_id()))
+        for batch in batches:
+            out = []
+            for t in batch.column(1):
+                ids = first + pieces.encode(t.as_py() or "") + last
+                text = pieces.model.decode(np.frombuffer(ids, "<u4").tolist())
+                out.append((len(ids) // 4, sha256(ids).hexdigest(), sha256(text.encode()).hexdigest()))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()))]],
+                                             [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return small_batches(docs).select(key, text).mapInArrow(over, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -25,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .sampling import per_class
-from .tables import joined
+from .tables import joined, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), text: str = "text"
     """Machine for ``labels`` (key, label 0 or 1); at most ``how.bound`` texts of each class come to the driver, as hashed terms."""
     narrow = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropDuplicates()
     chosen = per_class(narrow, "label", how.bound, "key")
-    texts = joined(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), chosen, ["key"])
+    texts = joined(small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")), chosen, ["key"])
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,5 +162,5 @@ def scored(docs: DataFrame, machine: Machine, how: Fit = Fit(), text: str = "tex
             yield pd.Series(out, dtype="float64")
 
     over.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    found = docs.select(*[F.col(f"`{c}`") for c in carried], F.pandas_udf(over, "double")(F.col(f"`{text}`")).alias("score"))
+    found = small_batches(docs).select(*[F.col(f"`{c}`") for c in carried], F.pandas_udf(over, "double")(F.col(f"`{text}`")).alias("score"))
     return found.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
