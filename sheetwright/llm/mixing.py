@@ -32,7 +32,7 @@ class Mix:
     budget: float = 1.5  # of all words
     limit: int = 2  # passes over a source
     block_words: int = 32
-    shard_rows: int = 20_000
+    shard_rows: int = 5_000
     seed: int = 7
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..plans.session import written
+from .tables import joined
 
 
 def per_class(rows: DataFrame, label: str, bound: int, key: str) -> DataFrame:
@@ -14,8 +15,8 @@ def per_class(rows: DataFrame, label: str, bound: int, key: str) -> DataFrame:
     twice the bound, so that only so many rows of a class are put in order.
     """
     rows = written(rows, "labelled")
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("class_rows"))
+    sizes = written(rows.groupBy(label).agg(F.count(F.lit(1)).alias("class_rows")), "classes")
     place = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30))
-    thin = rows.join(sizes, label).where(place * F.col("class_rows") < F.lit(float(2 * bound + 200)) * (1 << 30))
+    thin = joined(rows, sizes, [label]).where(place * F.col("class_rows") < F.lit(float(2 * bound + 200)) * (1 << 30))
     order = W.partitionBy(label).orderBy(place, key)
     return written(thin.withColumn("class_place", F.row_number().over(order)).where(F.col("class_place") <= bound).select(*rows.columns), "sample")
