@@ -9,9 +9,10 @@ their weighted Jaccard similarity. About k ln k darts suffice, so a long text
 costs one draw per shingle and not k.
 
 Coordinates are banded. In each band, texts are first compared with the
-smallest one that shares it (as many pairs as rows); what these links leave
-apart in a band is then compared in full, so no candidate is lost. Candidates
-pass when their exact similarity reaches the threshold; classes are connected
+smallest one that shares it (as many pairs as rows). Bands that these links
+leave in several components are then compared in full, in blocks that give out
+links only, so no candidate is lost and no list of all pairs is made. A link is
+a pair whose exact similarity reaches the threshold; classes are connected
 components.
 
 Cases: words are lower-cased and split at white space; a text of one to four
@@ -38,6 +39,9 @@ from .tables import joined, small_batches
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 WORDS_KEPT = 150_000  # word hashes kept by a task
+# Texts of a band that are compared in full meet in parts of about so many
+# texts and words, and their elements so many at a time.
+PART_TEXTS, PART_WORDS, COLUMNS = 1024, 400_000, 4096
 
 
 @dataclass(frozen=True)
@@ -200,6 +204,54 @@ def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, how: Banding, na
     return written(_similar(likely, texts, how), f"{name}-links")
 
 
+def _shared(elements: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of elements that each of the ``left`` sets has in common with each of the ``right`` ones."""
+    owner = np.repeat(np.arange(len(elements)), [len(e) for e in elements])
+    _, column, n = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    often = n[column] > 1  # only these can be shared
+    owner, column = owner[often], np.unique(column[often], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(elements), COLUMNS), np.float32)
+        part[owner[lo:hi], column[lo:hi] - first] = 1
+        out += part[left] @ part[right].T
+    return out
+
+
+def _apart_links(apart: DataFrame, texts: DataFrame, how: Banding) -> DataFrame:
+    """Links between texts of one band in different components, by exact similarity.
+
+    A band's texts are dealt to parts of bounded number and length, and every
+    two parts are compared as a whole; only links come out.
+    """
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        hashes, elements = WordHashes(), []
+        for text in block["text"]:
+            h, n = shingles(text.lower().split(), how.words, hashes)
+            # A shingle that occurs c times is c elements.
+            again = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            elements.append(mix(np.repeat(h, n) + again.astype(np.uint64) * GOLDEN))
+        part, root, node = (block[c].to_numpy() for c in ("part", "root", "node"))
+        left, right = np.flatnonzero(part == block["lo"].iloc[0]), np.flatnonzero(part == block["hi"].iloc[0])
+        size = np.array([len(e) for e in elements], np.float32)
+        both = _shared(elements, left, right)
+        near = both >= how.threshold * (size[left][:, None] + size[right][None, :] - both)
+        i, j = np.nonzero(near & (root[left][:, None] != root[right][None, :]))
+        return pd.DataFrame({"u": node[left[i]], "v": node[right[j]]})
+
+    parts = F.greatest(F.ceil(F.col("n") / PART_TEXTS), F.ceil(F.col("w") / PART_WORDS)).cast("long")
+    dealt = apart.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("band", "node", "root", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    wanted = written(apart.select(F.col("node").alias("rid")).distinct(), "apart-nodes")
+    some = joined(texts.select("rid", "text"), wanted, ["rid"]).withColumnRenamed("rid", "node")
+    return dealt.join(some, "node").groupBy("band", "lo", "hi").applyInPandas(run, "u long, v long")
+
+
 def classes(rows: DataFrame, how: Banding = Banding()) -> DataFrame:
     """``rid, class_rid`` for every row of a written table with ``rid`` and ``text``: the smallest row of its class."""
     signed = written(_signed(rows, how), "signed")
@@ -214,19 +266,11 @@ def classes(rows: DataFrame, how: Banding = Banding()) -> DataFrame:
     stars = met.where("node != u").select("u", F.col("node").alias("v"), "weight").distinct().join(heads, "u").where(near(F.col("weight"), F.col("w"))).select("u", "v")
     links = _links(stars, sigs.select("node", "sig"), rows, how, "star")
     roots = components(links)
-    # Bands that still hold several components: what is not of the band's
-    # largest one is compared with all others.
-    rooted = met.join(roots, "node", "left").select("band", "node", "weight", "u", F.coalesce("root", "node").alias("root"))
-    groups = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = groups.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    apart = written(rooted.join(largest.select("band", "main"), "band"), "apart")
-    one = apart.where("root != main").select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
-    # A pair outside the largest component is met from its smaller side; pairs
-    # with the band's head have been compared.
-    other = (F.col("root") != F.col("ra")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("node"))) & (F.col("a") != F.col("u")) & (F.col("node") != F.col("u"))
-    rest = one.join(apart, "band").where(other & near(F.col("weight"), F.col("wa")))
-    rest = rest.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v")).distinct()
-    more = _links(rest, sigs.select("node", "sig"), rows, how, "rest")
+    # Bands that still hold several components are compared in full.
+    rooted = met.join(roots, "node", "left").select("band", "node", "weight", F.coalesce("root", "node").alias("root"))
+    sums = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    apart = written(rooted.join(sums.where("lo != hi").select("band", "n", "w"), "band"), "apart")
+    more = written(_apart_links(apart, rows, how), "apart-links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     members = signed.select("rid", "content").join(sigs.select("content", "node"), "content", "left")
