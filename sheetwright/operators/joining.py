@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.session import written
@@ -15,11 +18,19 @@ HOT_SHARE = 1 / 1000
 HOT_ROWS = 1_000_000
 
 
+def _matched(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join in which null keys equal each other; the keys appear once."""
+    other = table.withColumnsRenamed({k: f"_{i}_of_summary" for i, k in enumerate(keys)})
+    same = reduce(and_, [F.col(f"rows_.`{k}`").eqNullSafe(F.col(f"_{i}_of_summary")) for i, k in enumerate(keys)])
+    out = rows.alias("rows_").join(F.broadcast(other) if how.startswith("broadcast ") else other, same, how.removeprefix("broadcast "))
+    return out.drop(*[f"_{i}_of_summary" for i in range(len(keys))])
+
+
 def join_back(rows: DataFrame, summary: DataFrame, keys: list[str], count_col: str) -> DataFrame:
     """Add the columns of ``summary`` (one row per key) to every row.
 
     ``summary`` holds in ``count_col`` how many rows each key has; a row whose
-    key is not in it is kept with nulls. It is written once and measured. When
+    key is not in it is kept with nulls; null keys equal each other. It is written once and measured. When
     it is small it is broadcast whole. Otherwise the keys with more than a
     thousandth of the rows, at most a thousand of them, are joined by broadcast
     and never shuffled, and the remaining rows by a plain join in which no key
@@ -29,12 +40,12 @@ def join_back(rows: DataFrame, summary: DataFrame, keys: list[str], count_col: s
     text = F.to_json(F.struct(*table.columns))
     total, size = table.agg(F.sum(count_col), F.sum(F.octet_length(text))).first()
     if (size or 0) <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(table.drop(count_col)), keys, "left")
+        return _matched(rows, table.drop(count_col), keys, "broadcast left")
     limit = max(int(total * HOT_SHARE), HOT_ROWS)
     hot = table.where(F.col(count_col) > limit)
     if hot.isEmpty():
-        return rows.join(table.drop(count_col), keys, "left")
-    hot_rows = rows.join(F.broadcast(hot.drop(count_col)), keys)
-    other_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+        return _matched(rows, table.drop(count_col), keys, "left")
+    hot_rows = _matched(rows, hot.drop(count_col), keys, "broadcast inner")
+    other_rows = _matched(rows, hot.select(*keys), keys, "broadcast left_anti")
     cold = table.where(F.col(count_col) <= limit).drop(count_col)
-    return hot_rows.unionByName(other_rows.join(cold, keys, "left"))
+    return hot_rows.unionByName(_matched(other_rows, cold, keys, "left"))

@@ -138,14 +138,25 @@ def rank_within(
     out: str = "rank",
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Rank rows of each key by ``value``, largest first, ties sharing a rank.
+    """Rank rows of each key by ``value``, largest first, nulls last, ties sharing a rank.
 
     Works on the distinct values with their counts, so a hot key or a hot
     value is already combined before any shuffle.
     """
     from .joining import join_back
 
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n")).withColumn("down", -F.col(value))
-    upto = running_sum(counts, keys, ["down"], "n", "upto", rows_per_range)
-    ranks = upto.select(*keys, value, (F.col("upto") - F.col("n") + 1).alias(out), "n")
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    kind = df.schema[value].dataType.typeName()
+    nan = F.isnan(value) if kind in ("double", "float") else F.lit(False)
+    usual = F.col(value).isNotNull() & ~nan
+    running = running_sum(counts.where(usual).withColumn("down", -F.col(value)), keys, ["down"], "n", "upto", rows_per_range)
+    upto = running.select(*keys, value, "n", "upto")
+    # NaN is above all values and comes first; nulls come after all values.
+    odd = counts.where(~usual).select(*keys, value, "n", F.col("n").alias("upto"))
+    sums = counts.groupBy(*keys).agg(
+        F.sum(F.when(nan, F.col("n")).otherwise(0)).alias("n_nan"), F.sum(F.when(F.col(value).isNull(), 0).otherwise(F.col("n"))).alias("n_some"),
+        F.sum("n").alias("n_of_key"))
+    shift = F.when(F.col(value).isNull(), F.col("n_some")).when(nan, 0).otherwise(F.col("n_nan"))
+    ranks = join_back(upto.unionByName(odd), sums, keys, "n_of_key")
+    ranks = ranks.select(*keys, value, (F.col("upto") - F.col("n") + 1 + shift).alias(out), "n")
     return join_back(df, ranks, [*keys, value], "n")

@@ -71,12 +71,18 @@ def exploded(rows: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+def _plain(num: Column) -> Column:
+    short = num.cast("string")
+    digits = F.when(F.abs(num) < 1, num.try_cast("decimal(38,34)")).otherwise(num.try_cast("decimal(38,8)")).cast("string")
+    return F.when(short.contains("E"), F.coalesce(F.regexp_replace(digits, r"\.?0+$", ""), short)).otherwise(short)
+
+
 def as_text(text: Column, num: Column, ts: Column, flag: Column) -> Column:
-    """A cell of any kind as text; whole numbers without a decimal point."""
+    """A cell of any kind as text; whole numbers without a decimal point, and none with an exponent that 38 digits can hold."""
     whole = (num == F.floor(num)) & (F.abs(num) < 1e15)
     return F.coalesce(
         text,
-        F.when(whole, num.cast("bigint").cast("string")).otherwise(num.cast("string")),
+        F.when(whole, num.cast("bigint").cast("string")).otherwise(_plain(num)),
         F.date_format(ts, "yyyy-MM-dd HH:mm:ss"),
         F.when(flag, F.lit("True")).when(~flag, F.lit("False")),
     )

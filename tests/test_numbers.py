@@ -170,3 +170,12 @@ def test_tables_do_not_mix(spark):
     typed, _ = normalize_rows(rows)
     got = sorted((r.doc_id, r.row_no, r.cells[0].num) for r in typed.collect())
     assert got == [("d", 0, 1234.0), ("d", 1, 2500.0), ("e", 0, 1.23), ("e", 1, 2.5)]
+
+
+def test_numbers_as_text_have_no_exponent(spark):
+    from sheetwright.operators.profile import as_text
+
+    rows = [(12345678.5,), (1e-5,), (2.5,), (3.0,), (1.5e20,)]
+    none = [F.lit(None).cast(t) for t in ("string", "timestamp", "boolean")]
+    got = spark.createDataFrame(rows, "n double").select(as_text(none[0], F.col("n"), none[1], none[2]).alias("t")).collect()
+    assert [r.t for r in got] == ["12345678.5", "0.00001", "2.5", "3", "150000000000000000000"]

@@ -138,3 +138,10 @@ def test_most_frequent_per_column(spark):
     cells = spark.createDataFrame([("d", "t", 0, x) for x in "bbaac"] + [("d", "t", 1, None)], "doc_id string, table_name string, col_no int, text string")
     (r,) = all_frequent(cells).collect()
     assert (r.value, r.n) == ("a", 2)
+
+
+@pytest.mark.parametrize("rows_per_range", [2, 1_000_000])
+def test_rank_of_nulls_and_null_keys(spark, rows_per_range):
+    rows = [("g", "a", None), ("g", "b", 5.0), ("g", "c", 9.0), ("g", "d", float("nan")), (None, "e", 1.0), (None, "f", 2.0)]
+    out = rank_within(spark.createDataFrame(rows, "k string, i string, v double"), ["k"], "v", rows_per_range=rows_per_range).collect()
+    assert {r.i: r["rank"] for r in out} == {"d": 1, "c": 2, "b": 3, "a": 4, "f": 1, "e": 2}

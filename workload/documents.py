@@ -482,7 +482,7 @@ def drop_background(spark, sf):
     return e.where("task is not null").select("event_id", M.task_reply(F.col("task")).alias("reply"))
 
 
-@query("fingerprints", "SELECT doc_id, sha256(text) AS source_id, left(sha256(text), 12) AS stored_as FROM documents")
+@query("fingerprints", "SELECT doc_id, sha256(text) AS source_id, sha256(text) AS stored_as FROM documents")
 def fingerprints(spark, sf):
     source = R.fingerprint(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", source.alias("source_id"), R.doc_id_of(source).alias("stored_as"))
