@@ -221,11 +221,30 @@ def _shared(elements: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return out
 
 
+def _forest(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[int]:
+    """Places of links that join all components that the links join, each of them joining two that were apart."""
+    pairs, first = np.unique(np.stack([root[u], root[v]], 1), axis=0, return_index=True)
+    parent, kept = list(range(len(root))), []
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for (a, b), at in zip(pairs.tolist(), first.tolist()):
+        a, b = top(a), top(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            kept.append(at)
+    return kept
+
+
 def _apart_links(apart: DataFrame, texts: DataFrame, how: Banding) -> DataFrame:
     """Links between texts of one band in different components, by exact similarity.
 
     A band's texts are dealt to parts of bounded number and length, and every
-    two parts are compared as a whole; only links come out.
+    two parts are compared as a whole. Of the links between the same
+    components one comes out, so no more than a band has texts.
     """
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
@@ -241,7 +260,9 @@ def _apart_links(apart: DataFrame, texts: DataFrame, how: Banding) -> DataFrame:
         both = _shared(elements, left, right)
         near = both >= how.threshold * (size[left][:, None] + size[right][None, :] - both)
         i, j = np.nonzero(near & (root[left][:, None] != root[right][None, :]))
-        return pd.DataFrame({"u": node[left[i]], "v": node[right[j]]})
+        u, v = left[i], right[j]
+        kept = _forest(np.unique(root, return_inverse=True)[1], u, v)
+        return pd.DataFrame({"u": node[u[kept]], "v": node[v[kept]]})
 
     parts = F.greatest(F.ceil(F.col("n") / PART_TEXTS), F.ceil(F.col("w") / PART_WORDS)).cast("long")
     dealt = apart.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), "parts"))
