@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.messages import file_ref, picture_urls, pictures
+from ..functions.messages import bare_question, file_ref, message_text, picture_urls, pictures, task_reply
 from ..plans.session import written
 from .joining import join_back
 from .ordered import ROWS_PER_RANGE, carry_last
@@ -71,13 +71,17 @@ def current_doc(attachments: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def resolve_chat_doc(
-    questions: DataFrame, attachments: DataFrame, seq: str = "seq", rows_per_range: int = ROWS_PER_RANGE
+    questions: DataFrame, attachments: DataFrame, seq: str = "seq", rows_per_range: int = ROWS_PER_RANGE,
+    docs: DataFrame | None = None,
 ) -> DataFrame:
     """The document each question is about at the time it is asked.
 
     A question's own ``doc_id`` (if the column exists) wins; else the last
     attachment in its chat at or before its time. ``found`` is false where
-    there is none. Attachments and questions are first reduced to one row per
+    there is none. With the stored ``docs``, a document that is not among them
+    any more is not found either; the question does not fall back to an older
+    one, and ``reason`` is then ``removed``, or ``none`` without any document.
+    Attachments and questions are first reduced to one row per
     chat and time, then the last attachment is carried along; a busy chat is
     cut into time ranges, see ``ordered``.
     """
@@ -93,7 +97,19 @@ def resolve_chat_doc(
     answers = known.select("chat_id", "ts", F.col("current.doc_id").alias("chat_doc"), "n")
     joined = join_back(questions, answers, ["chat_id", "ts"], "n")
     own = F.coalesce("doc_id", "chat_doc") if "doc_id" in questions.columns else F.col("chat_doc")
-    return joined.withColumn("doc_id", own).drop("chat_doc").withColumn("found", F.col("doc_id").isNotNull())
+    resolved = joined.withColumn("doc_id", own).drop("chat_doc").withColumn("found", F.col("doc_id").isNotNull())
+    if docs is None:
+        return resolved
+    resolved = written(resolved, "chat-answers")
+    live = resolved.groupBy("doc_id").agg(F.count("*").alias("n")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    marked = join_back(resolved, live.withColumn("live", F.lit(True)), ["doc_id"], "n")
+    gone = F.col("found") & F.col("live").isNull()
+    return marked.select(
+        *[F.col(f"`{c}`") for c in resolved.columns if c not in ("doc_id", "found")],
+        F.when(~gone, F.col("doc_id")).alias("doc_id"),
+        (F.col("found") & ~gone).alias("found"),
+        F.when(gone, "removed").when(~F.col("found"), "none").alias("reason"),
+    )
 
 
 def file_refs(entries: DataFrame, entry_col: str = "entry") -> DataFrame:
@@ -106,6 +122,28 @@ def file_refs(entries: DataFrame, entry_col: str = "entry") -> DataFrame:
     )
 
 
+def last_messages(messages: DataFrame, chat: str, order: str, role: str = "user") -> DataFrame:
+    """The whole last message of each chat that has the role; combined on the map side."""
+    row = F.struct(*[F.col(f"`{c}`") for c in messages.columns])
+    last = messages.where(F.col("role") == role).groupBy(F.col(f"`{chat}`").alias("chat_")).agg(F.max_by(row, order).alias("last"))
+    return last.select("last.*")
+
+
+def last_questions(messages: DataFrame, chat: str = "conv_id", order: str = "turn") -> DataFrame:
+    """The bare question of each chat's last user message, from ``content``."""
+    return last_messages(messages, chat, order).select(chat, bare_question(message_text(F.col("content"))).alias("question"))
+
+
+def background_replies(requests: DataFrame, task: str = "task") -> DataFrame:
+    """Requests that are a background job, with their canned ``reply``."""
+    return requests.where(F.col(task).isNotNull()).withColumn("reply", task_reply(F.col(task)))
+
+
+def without_background(requests: DataFrame, task: str = "task") -> DataFrame:
+    """Requests that are questions of a person."""
+    return requests.where(F.col(task).isNull())
+
+
 def inline_images(messages: DataFrame) -> DataFrame:
     """Pictures in ``messages(chat_id, ts, parts, files)``, one row each."""
     found = pictures(picture_urls(F.col("parts"), F.col("files")))

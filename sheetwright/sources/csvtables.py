@@ -2,18 +2,21 @@
 
 Files are looked at once, line by line and split across tasks, to find each
 file's encoding, separator and width. Then every group of like files is read by
-Spark's own CSV reader, all columns as text. A file of any size is split unless
-a quoted field runs over several lines.
+Spark's own CSV reader, all columns as text. Widths are grouped by powers of
+two, so a wide file does not widen the records of a narrow one. A file of any
+size is split unless a quoted field runs over several lines.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import encoding as E
+from ..functions.headers import unique_names
 from ..functions.text import is_filled
 from ..plans.session import written
 
@@ -30,6 +33,18 @@ def count_of(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
 
+def plain_path(path: str) -> str:
+    """A file's path as Spark's readers take it: characters that stand for other names stand for themselves."""
+    return re.sub(r"[][{}*?\\]", r"\\\g<0>", path)
+
+
+def count_between_fields(line: Column, sep: str) -> Column:
+    """Number of separators of a line that are not inside a quoted field."""
+    s = "\\" + sep if sep == "|" else sep
+    bare = F.regexp_replace(line, rf'(?<![^{s}])"(?:[^"]++|"")*+"', "")
+    return F.when(F.contains(line, F.lit('"')), count_of(bare, sep)).otherwise(count_of(line, sep))
+
+
 def guess_separator(line: Column) -> Column:
     """Most frequent separator of a line; the first listed wins a tie."""
     counts = F.array(*[
@@ -66,7 +81,9 @@ def sniff(lines: DataFrame) -> DataFrame:
         F.bool_and(E.is_utf8(raw)).alias("utf8"),
         F.bool_or(E.has_gap_bytes(raw)).alias("gaps"),
         F.min_by(raw, F.when(is_filled(F.col("value")), place)).alias("first_raw"),
-        *[F.max(count_of(F.col("value"), s)).alias(f"most_{i}") for i, s in enumerate(SEPARATORS)],
+        F.min(place).alias("first_place"),
+        F.min(F.when(is_filled(F.col("value")), place)).alias("filled_place"),
+        *[F.max(count_between_fields(F.col("value"), s)).alias(f"most_{i}") for i, s in enumerate(SEPARATORS)],
         F.collect_set(any_mark).alias("run_on_marks"),
     )
     facts = facts.where(F.col("first_raw").isNotNull()).withColumn(
@@ -94,6 +111,7 @@ def sniff(lines: DataFrame) -> DataFrame:
         (for_separator([F.col(f"most_{i}") for i in places]) + 1).cast("int").alias("width"),
         for_separator(runs).alias("multi_line"),
         for_separator([runs_on(F.col("first_line"), s) for s in SEPARATORS]).alias("open_header"),
+        (F.col("first_place") < F.col("filled_place")).alias("blank_first"),
     )
 
 
@@ -108,8 +126,12 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _options(sep: str) -> dict[str, str]:
-    return {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxColumns": "100000",
-            "maxCharsPerColumn": "-1"}
+    return {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+
+
+def _max_columns(width: int) -> dict[str, str]:
+    """The parser keeps room for so many fields; twice a file's width and more."""
+    return {"maxColumns": str(max(20_480, 2 * width))}
 
 
 def _schema(width: int) -> str:
@@ -135,7 +157,7 @@ def _read_group(
 ) -> DataFrame:
     """Records of like files; the first of each file is left out as its header."""
     return (
-        spark.read.options(**_options(sep))
+        spark.read.options(**_options(sep), **_max_columns(width))
         .option("header", header)
         .option("enforceSchema", True)
         .option("multiLine", multi)
@@ -158,7 +180,7 @@ def _multi_line_width(spark: SparkSession, paths: list[str], encoding: str, sep:
     """Width of files whose records run over lines, where counting separators
     per line falls short: records that do not fit ``width`` are counted whole."""
     read = (
-        spark.read.options(**_options(sep))
+        spark.read.options(**_options(sep), **_max_columns(width))
         .option("multiLine", True)
         .option("encoding", _charset(encoding))
         .option("columnNameOfCorruptRecord", "misfit")
@@ -170,14 +192,26 @@ def _multi_line_width(spark: SparkSession, paths: list[str], encoding: str, sep:
     return max(width, read.agg(F.max(needed)).first()[0] or 0)
 
 
-def _headers(files: DataFrame, widths: dict[str, int]) -> list[DataFrame]:
+def _first_records(records: DataFrame) -> DataFrame:
+    """The first filled record of each file and its place."""
+    filled = records.where(F.exists("cells", is_filled))
+    return filled.groupBy("doc_id", "table_name").agg(F.min_by("cells", "row_no").alias("header"), F.min("row_no").alias("header_row"))
+
+
+def _after_header(records: DataFrame) -> DataFrame:
+    """Records below the first filled one of their file, where lines before it are blank."""
+    heads = _first_records(records).select("doc_id", "header_row")
+    return records.join(heads, "doc_id").where(F.col("row_no") > F.col("header_row")).drop("header_row")
+
+
+def _headers(files: DataFrame, classes: set[tuple[str, int]]) -> list[DataFrame]:
     """Header cells of each file whose header is one line; a missing one is null."""
     parts = []
-    for sep, width in widths.items():
-        parsed = F.from_csv("first_line", F.lit(_schema(width)), _options(sep))
+    for sep, width in sorted(classes):
+        parsed = F.from_csv("first_line", F.lit(_schema(width)), {**_options(sep), **_max_columns(width)})
         header = F.array(*[parsed[f"c{i}"] for i in range(width)])
         parts.append(
-            files.where((F.col("separator") == sep) & ~F.col("open_header")).select(
+            files.where((F.col("separator") == sep) & (F.col("width_class") == width) & ~F.col("open_header")).select(
                 F.col("path").alias("doc_id"),
                 F.lit("data").alias("table_name"),
                 F.slice(header, F.lit(1), F.col("width")).alias("header"),
@@ -192,43 +226,51 @@ def read_csv_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Dat
     ``rows(doc_id, table_name, row_no, cells)`` has every record after the
     header; a record may be longer than the header, its extra cells are kept.
     Only one short row per file, which the driver lists anyway, comes back to
-    it to group like files: at most 3 encodings x 4 separators x 2 record kinds.
+    it to group like files: at most 3 encodings x 4 separators x 4 kinds of records x the
+    powers of two up to the widest file.
     """
-    files = written(sniff(read_lines(spark, paths)), "csv-files")
-    listed = files.select("path", "encoding", "separator", "multi_line", "width", "open_header")
+    power = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("width").cast("double")))).cast("int")
+    files = written(sniff(read_lines(spark, paths)).withColumn("width_class", power), "csv-files")
+    kind = ["encoding", "separator", "multi_line", "blank_first", "width_class"]
+    listed = files.select("path", *kind, "open_header")
     groups: dict[tuple, list] = {}
     for r in listed.toLocalIterator():
-        groups.setdefault((r.encoding, r.separator, r.multi_line), []).append(r)
+        groups.setdefault(tuple(r[k] for k in kind), []).append(r)
     if not groups:
         empty = spark.createDataFrame(
             [], "doc_id string, table_name string, row_no struct<block:bigint,line:bigint>, cells array<string>"
         )
         return empty, spark.createDataFrame([], "doc_id string, table_name string, header array<string>")
 
-    rows, open_headers, widths = [], [], {}
-    for (encoding, sep, multi), members in groups.items():
-        names = [unquote(m.path) for m in members]
-        width = max(m.width for m in members)
-        widths[sep] = max(widths.get(sep, 1), width)
+    rows, open_headers = [], []
+    for (encoding, sep, multi, blank_first, width), members in groups.items():
+        names = [plain_path(unquote(m.path)) for m in members]
         if multi:
             width = _multi_line_width(spark, names, encoding, sep, width)
-        rows.append(_read_group(spark, names, encoding, sep, multi, width))
-        opened = [unquote(m.path) for m in members if m.open_header]
+        # Over several lines the reader takes a line of blanks for the header.
+        if multi and blank_first:
+            rows.append(_after_header(_read_group(spark, names, encoding, sep, multi, width, header=False)))
+        else:
+            rows.append(_read_group(spark, names, encoding, sep, multi, width))
+        opened = [plain_path(unquote(m.path)) for m in members if m.open_header]
         if opened:
             first = _read_group(spark, opened, encoding, sep, True, width, header=False)
-            open_headers.append(
-                first.where(F.exists("cells", lambda c: c.isNotNull()))
-                .groupBy("doc_id", "table_name")
-                .agg(F.min_by("cells", "row_no").alias("header"))
-            )
-    headers = [*_headers(files, widths), *open_headers]
+            open_headers.append(_first_records(first).drop("header_row"))
+    headers = [*_headers(files, {(sep, width) for _, sep, _, _, width in groups}), *open_headers]
     return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, headers)
 
 
 def read_csv_table(spark: SparkSession, paths: list[str], sep: str, encoding: str = "utf-8") -> DataFrame:
-    """One table of like files with ordinary, still textual columns."""
-    df = spark.read.options(**_options(sep)).option("header", True).option("encoding", _charset(encoding)).csv(paths)
+    """One table of like files with ordinary, still textual columns, named by their header row.
+
+    Blank and repeated names become distinct ones; files without a record give no column.
+    """
+    read = spark.read.options(**_options(sep), **_max_columns(0)).option("encoding", _charset(encoding))
+    df, first = read.option("header", True).csv(paths), read.option("header", False).csv(paths).first()
+    if first is None:
+        return df
     glyphs = str.maketrans(E.CP1252_BYTES, E.CP1252_GLYPHS) if encoding == "cp1252" else {}
-    return df.select(*[
-        _cell(F.col(f"`{c}`"), encoding == "cp1252").alias(c.translate(glyphs)) for c in df.columns
-    ])
+    found = F.array(*[F.lit(c and c.translate(glyphs)).cast("string") for c in first])
+    names = spark.range(1).select(unique_names(found)).first()[0]
+    places = [f"c{i}" for i in range(len(names))]
+    return df.toDF(*places).select(*[_cell(F.col(c), encoding == "cp1252").alias(n) for c, n in zip(places, names)])

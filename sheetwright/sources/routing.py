@@ -34,3 +34,9 @@ def route_files(files: DataFrame, path_col: str = "path") -> DataFrame:
 
 def quarantine(routed: DataFrame) -> DataFrame:
     return routed.where(F.col("route") == "quarantine")
+
+
+def without_reader(routed: DataFrame, readable: list[str]) -> DataFrame:
+    """Files of other kinds than the ``readable`` ones, each with a ``reason``."""
+    extracted = F.concat(F.lit("Needs extracted content: "), F.col("route"))
+    return routed.where(~F.col("route").isin(*readable)).withColumn("reason", F.coalesce("reason", extracted))

@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.clean import drop_empty_rows, normalize_rows
 from ..operators.registry import doc_id_of, fingerprint
 from ..plans.session import written
-from ..sources.csvtables import read_csv_rows
-from ..sources.routing import quarantine, route_files
+from ..sources.csvtables import plain_path, read_csv_rows
+from ..sources.routing import route_files, without_reader
 from ..sources.store import has_table, read_table, store_results, write_batch
 
 
@@ -39,6 +39,9 @@ def _new_files(spark: SparkSession, files: DataFrame, out_dir: str, batch_id: in
 def ingest_batch(files: DataFrame, batch_id: int, out_dir: str, identifier_mode: str = "all_values") -> None:
     """One batch of ``binaryFile`` rows: tables first, the registry row last.
 
+    Files that cannot be read here, such as workbooks and pictures, whose
+    extracted cells have ways of their own, are kept in quarantine with a reason.
+
     A batch that is repeated after a loss replaces its own folders and leaves
     the same state; nothing counts as stored before its registry row exists.
     """
@@ -46,9 +49,9 @@ def ingest_batch(files: DataFrame, batch_id: int, out_dir: str, identifier_mode:
     routed = written(
         route_files(files.withColumn("source_id", fingerprint(F.col("content"))).drop("content")), "routed-files"
     )
-    write_batch(quarantine(routed).select("path", "reason"), f"{out_dir}/quarantine", batch_id)
+    write_batch(without_reader(routed, ["csv"]).select("path", "reason"), f"{out_dir}/quarantine", batch_id)
     new = _new_files(spark, routed.where(F.col("route") == "csv"), out_dir, batch_id)
-    paths = [unquote(r.path) for r in new.select("path").toLocalIterator()]
+    paths = [plain_path(unquote(r.path)) for r in new.select("path").toLocalIterator()]
     if not paths:
         return
     rows, headers = read_csv_rows(spark, paths)

@@ -118,3 +118,18 @@ def test_streamed_current_document(spark, tmp_path):
     q.awaitTermination()
     closed = spark.table("open_chats")
     assert closed.count() > 0 and closed.groupBy("chat_id", "period_start").count().where("count > 1").count() == 0
+
+
+def test_last_message_and_its_pictures(spark):
+    rows = [("c", 1, "user", "first"), ("c", 2, "user", "second"), ("c", 3, "assistant", "reply"), ("d", 1, "assistant", "x")]
+    messages = spark.createDataFrame(rows, "conv_id string, turn int, role string, content string")
+    assert [tuple(r) for r in R.last_messages(messages, "conv_id", "turn").collect()] == [("c", 2, "user", "second")]
+    assert [tuple(r) for r in R.last_questions(messages).collect()] == [("c", "second")]
+
+
+def test_removed_documents_are_not_answered_from(spark):
+    questions = spark.createDataFrame([("c", 5, "q1"), ("c", 2, "q2"), ("d", 5, "q3")], "chat_id string, ts int, q string")
+    attached = spark.createDataFrame([("c", 1, 1, "old"), ("c", 3, 2, "new")], "chat_id string, ts int, seq int, doc_id string")
+    docs = spark.createDataFrame([("old",)], "doc_id string")
+    got = {r.q: (r.doc_id, r.found, r.reason) for r in R.resolve_chat_doc(questions, attached, docs=docs).collect()}
+    assert got == {"q1": (None, False, "removed"), "q2": ("old", True, None), "q3": (None, False, "none")}

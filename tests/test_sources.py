@@ -9,7 +9,7 @@ from sheetwright.operators.clean import normalize_rows
 from sheetwright.operators.profile import column_names
 from sheetwright.plans.ingest import ingest_csv
 from sheetwright.sources.csvtables import first_filled_line, guess_separator, read_csv_rows, read_csv_table
-from sheetwright.sources.store import read_document, read_table, write_batch
+from sheetwright.sources.store import read_document, read_table, retire, write_batch
 from sheetwright.streaming.files import stream_ingest
 
 
@@ -159,3 +159,62 @@ def test_repeated_batch_leaves_the_same_state(spark, tmp_path):
         ingest_batch(files, 5, str(tmp_path / "out"))
     assert read_table(spark, str(tmp_path / "out/rows")).count() == 1
     assert read_table(spark, str(tmp_path / "out/registry")).count() == 1
+
+
+def test_names_with_pattern_characters_and_widths(spark, tmp_path):
+    (tmp_path / "a[1].csv").write_text("k;v\nx;1\n")
+    (tmp_path / "b{2}.csv").write_text("k;v\ny;2\n")
+    (tmp_path / "quoted.csv").write_text('k;v\nz;"' + ";" * 400 + '"\n')
+    (tmp_path / "wide.csv").write_text(";".join(f"h{i}" for i in range(400)) + "\n" + ";".join(map(str, range(400))) + "\n")
+    rows, headers = read_csv_rows(spark, [str(tmp_path)])
+    got = {r.doc_id.rsplit("/", 1)[1]: r.cells for r in rows.collect()}
+    assert got["a%5B1%5D.csv"] == ["x", "1"] and got["b%7B2%7D.csv"] == ["y", "2"]
+    assert got["quoted.csv"] == ["z", ";" * 400]
+    assert len(got["wide.csv"]) >= 400 and got["wide.csv"][399] == "399"
+    assert sorted(len(r.header) for r in headers.collect()) == [2, 2, 2, 400]
+
+
+def test_blank_lines_before_a_header_over_several_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('   \nname;v\n"A\nB";1\nC;2\n')
+    rows, headers = read_csv_rows(spark, [str(tmp_path / "a.csv")])
+    assert sorted(tuple(r.cells) for r in rows.collect()) == [("A\nB", "1"), ("C", "2")]
+    assert headers.first().header == ["name", "v"]
+
+
+def test_wide_names_are_made_distinct(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Menge;;Menge; Preis  x;a`b.c\n1;2;3;4;5\n")
+    df = read_csv_table(spark, [str(tmp_path / "a.csv")], ";")
+    assert df.columns == ["Menge", "column_2", "Menge_2", "Preis x", "a`b.c"] and tuple(df.first()) == tuple("12345")
+
+
+def test_every_streamed_file_is_accounted_for(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    for name in ("b.pdf", "c.xlsx", "d.png", "e.xyz"):
+        (src / name).write_bytes(name.encode())
+    for name in ("a[1].csv", "copy.csv"):
+        (src / name).write_text("k,v\nA,1\n")
+    stream_ingest(spark, str(src), str(out), str(tmp_path / "mark")).awaitTermination()
+    bad = {r.path.rsplit("/", 1)[1]: r.reason for r in read_table(spark, str(out / "quarantine")).collect()}
+    assert sorted(bad) == ["b.pdf", "c.xlsx", "d.png", "e.xyz"] and all(bad.values())
+    assert read_table(spark, str(out / "registry")).count() == 1
+
+
+def test_retired_batches(spark, tmp_path):
+    out = str(tmp_path / "store")
+    docs = spark.createDataFrame([("a", 1), ("b", 9), ("c", 1), ("d", 9)], "doc_id string, ingested_at int")
+    for batch, names in (("007", ["a", "b"]), ("8", ["c"]), ("9", ["d"])):
+        some = docs.where(F.col("doc_id").isin(names))
+        write_batch(some, f"{out}/rows", batch)
+        write_batch(some, f"{out}/registry", batch)
+    write_batch(docs.where("doc_id = 'a'"), f"{out}/text_blocks", "007")  # the other batches have none
+    # A run cut short between taking batch 9 away and putting its successor in place.
+    (tmp_path / "store/rows/batch=9").rename(tmp_path / "store/rows/_next-9")
+    for expected in (["a", "c"], []):
+        gone = retire(spark, out, F.lit(5), ("rows", "text_blocks"))
+        assert sorted(r.doc_id for r in gone.collect()) == expected
+        assert sorted(r.doc_id for r in read_table(spark, f"{out}/rows").collect()) == ["b", "d"]
+        assert sorted(r.doc_id for r in read_table(spark, f"{out}/registry").collect()) == ["b", "d"]
+    assert not (tmp_path / "store/rows/batch=8").exists()
+    assert retire(spark, out, F.lit(99), ("rows", "text_blocks")).count() == 2
+    assert retire(spark, out, F.lit(99), ("rows", "text_blocks")).count() == 0

@@ -300,6 +300,18 @@ def chat_asof(spark, sf):
     return R.resolve_chat_doc(asked, attached).select("event_id", "chat_id", "doc_id", "found")
 
 
+@query("chat_asof_live", """SELECT q.event_id, q.user_id AS chat_id, d.doc_id, d.doc_id IS NOT NULL AS found,
+        CASE WHEN a.event_id IS NULL THEN 'none' WHEN d.doc_id IS NULL THEN 'removed' END AS reason
+    FROM (SELECT * FROM events WHERE event_type = 'view') q
+    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') a ON q.user_id = a.user_id AND q.ts >= a.ts
+    LEFT JOIN documents d ON d.doc_id = a.event_id""")
+def chat_asof_live(spark, sf):
+    """As ``chat_asof``, with the documents that are gone by now, and why there is none."""
+    attached, asked = chat_events(spark, sf)
+    live = R.resolve_chat_doc(asked, attached, docs=table(spark, sf, "documents"))
+    return live.select("event_id", "chat_id", "doc_id", "found", "reason")
+
+
 _CURRENT_SQL = """SELECT user_id AS chat_id, arg_max(event_id, ts) AS doc_id, max(ts) AS ts FROM events WHERE event_type = 'signup' GROUP BY 1"""
 
 
@@ -454,12 +466,7 @@ def last_question(spark, sf):
     content = F.when(F.col("conv_id") % 3 == 0, F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text")))))
     content = F.coalesce(content, _wrapped(F.col("text"), F.col("turn")))
     messages = c.select("conv_id", "turn", "role", content.alias("content"))
-    return last_questions(messages).select("conv_id", F.md5("question").alias("hash"))
-
-
-def last_questions(messages):
-    last = messages.where("role = 'user'").groupBy("conv_id").agg(F.max_by("content", "turn").alias("content"))
-    return last.select("conv_id", M.bare_question(M.message_text(F.col("content"))).alias("question"))
+    return R.last_questions(messages).select("conv_id", F.md5("question").alias("hash"))
 
 
 @query("code_blocks", """SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN md5(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) END AS hash
@@ -479,7 +486,15 @@ def drop_background(spark, sf):
     task = (F.when(kind == "signup", "query_generation").when(kind == "error", "tags_generation")
             .when(kind == "click", "title_generation").when(kind == "purchase", "emoji_generation"))
     e = table(spark, sf, "events").withColumn("task", task)
-    return e.where("task is not null").select("event_id", M.task_reply(F.col("task")).alias("reply"))
+    return R.background_replies(e).select("event_id", "reply")
+
+
+@query("keep_questions", "SELECT event_id FROM events WHERE event_type = 'view'")
+def keep_questions(spark, sf):
+    """What remains without the background jobs."""
+    kind = F.col("event_type")
+    e = table(spark, sf, "events").withColumn("task", F.when(kind != "view", F.concat(kind, F.lit("_generation"))))
+    return R.without_background(e).select("event_id")
 
 
 @query("fingerprints", "SELECT doc_id, sha256(text) AS source_id, sha256(text) AS stored_as FROM documents")
