@@ -28,9 +28,13 @@ from ..operators.joining import join_back
 from ..plans.session import written
 from .tables import small_batches
 
-# A tag has at most 200 parts between quotes or without, so that stray signs cost no more than a look ahead.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'){0,200}+)>|<[!?][^<>]*+>|[^<]++|<", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+# Usual tags in one step; a longer one, or one that is not closed, comes as "<" and is read part by part, see ``_Tags``.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[\s/]++|[^\s/<>="']++(?:\s*+=\s*+(?:"[^"]{0,300}+"|'[^']{0,300}+'|[^\s<>"'][^\s<>]{0,300}+(?=[\s>])))?+){0,40}+)>|<[!?][^<>]*+>|[^<]++|<""", re.S)
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)")
+GAP = re.compile(r"[\s/]*+")
+NAME = re.compile(r"[^\s/<>][^\s/<>=]*+(\s*+=\s*+)?+")
+BARE = re.compile(r"[^\s>]*+")
+ATTRIBUTE = re.compile(r"""([^\s/<>][^\s/<>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
 SPACE = re.compile(r"\s+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in "script style textarea title noscript iframe svg template".split()}
@@ -46,6 +50,61 @@ DEEPEST = 64  # containers further in count as part of the one around them
 PAGE_SHARE = 0.1  # of a host's score, from which a path is kept
 
 
+class _Tags:
+    """Ends of the tags of a page, with values of any length, in time linear in the page.
+
+    A quote that no other follows is part of a bare value. Places from which a
+    tag was found not to end are kept, so that no later tag is read on from there.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.dead: set[int] = set()
+        self.run = (0, 0)  # the bare value read last
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``; -1 if another tag or the page's end comes first."""
+        page, seen = self.page, []
+        while True:
+            at = GAP.match(page, at).end()
+            if at in self.dead:
+                break
+            seen.append(at)
+            name = NAME.match(page, at)
+            if not name:
+                if page[at : at + 1] == ">":
+                    return at + 1
+                break
+            at = name.end()
+            if not name.group(1):
+                continue
+            if at < self.last.get(page[at : at + 1], -1):
+                at = page.index(page[at], at + 1) + 1
+            else:
+                if not self.run[0] <= at < self.run[1]:
+                    self.run = (at, BARE.match(page, at).end())
+                at = self.run[1]
+        self.dead.update(seen)
+        return -1
+
+
+def attributes(given: str) -> dict[str, str]:
+    """Attributes by lower-case name; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(given):
+        out.setdefault(name.lower(), value[1:-1] if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0] else value)
+    return out
+
+
+def self_closed(given: str) -> bool:
+    """Whether the slash at the end stands for itself, not at the end of a bare value."""
+    end = 0
+    for m in ATTRIBUTE.finditer(given):
+        end = m.end()
+    return end < len(given)
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(paths of the containers around it, outermost first; text; characters in links) of every block outside menus and the like."""
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -76,17 +135,23 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             paths = paths[:-1]
 
     at = 0
+    tags: _Tags | None = None
     while m := TOKEN.match(page, at):
         at = m.end()
-        tag = m.group(2)
+        closing, tag, given_as = m.groups()
+        piece = m.group()
+        if piece == "<" and (start := OPEN.match(page, m.start())):
+            tags = tags or _Tags(page)
+            end = tags.end(start.end())
+            if end > 0:
+                (closing, tag), given_as, at = start.groups(), page[start.end() : end - 1], end
         if tag is None:
-            piece = m.group()
             if not skipped and (piece[0] != "<" or piece == "<"):
                 text.append(piece)
                 linked[0] += len(piece) if links else 0
             continue
         tag = tag.lower()
-        if m.group(1):
+        if closing:
             if open_tags[tag]:
                 while stack[-1][0] != tag:
                     pop()
@@ -103,7 +168,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 break
         if tag in BLOCK:
             flush()
-        if tag in VOID or (m.group(3).endswith("/") and tag not in BLOCK):
+        if tag in VOID or (given_as.endswith("/") and (tag == "svg" or tag not in BLOCK) and self_closed(given_as)):
             if not skipped:
                 text.append(" ")
             continue
@@ -111,7 +176,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             end = RAW[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        given = {k.lower(): v.strip("\"'") if v else "" for k, v in ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
+        given = attributes(given_as) if given_as else {}
         named = f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}"
         hidden = tag in SKIP or "hidden" in given or (tag not in ("html", "body", "article", "main") and bool(ASIDE.search(named)))
         path = None

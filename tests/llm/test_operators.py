@@ -296,6 +296,28 @@ def test_main_text_by_host(spark):
     assert extract.main_text(pages.limit(0)).count() == 0
 
 
+def plain(page):
+    return extract.chosen(extract.blocks(page), [])
+
+
+@pytest.mark.parametrize("n", [5000, 1_000_000])
+def test_main_text_long_attributes(n):
+    long = "data:" + "a<b>'" * (n // 5)
+    assert plain(f'<article><p>One <img src="{long}"> two</article>') == "One two"
+    assert plain(f'<article><p>One</p><nav data-props="{long}">Menu</nav><div data-x="{long}"><p>Two</p></div><p>Three</article>') == "One\nTwo\nThree"
+    assert plain(f'<article><p {"a=b " * (n // 4)}>One</article>') == "One"
+
+
+def test_main_text_odd_attributes():
+    assert plain("<article><p title=it's>One</p><p title='x>Two</p></article>") == "One\nTwo"
+    assert plain('<article><svg width="1"/><p>One</p><svg><text>no</text></svg><p>Two</article>') == "One\nTwo"
+    assert plain('<article><p style="overflow:hidden" title="class=hidden">One <a href=/x/>link</a> on</article>') == "One link on"
+    assert extract.blocks("<p><a href=/x/>link</a>")[0][2] == 4
+    assert plain("<article><p hidden>No</p><p>One <b and 1 < 2</article>") == "One <b and 1 < 2"
+    for part in ('<a x="<a" ', "<a/x=", "<a x='", '<a x="', "<a <", "<a x=<b ", "<p a=' \""):
+        plain(part * 50_000)
+
+
 @pytest.mark.parametrize("block_codes,part_queries", [(16384, 2048), (50, 7)])
 def test_hamming_search_is_exact(spark, block_codes, part_queries):
     rng = random.Random(4)
