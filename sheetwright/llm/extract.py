@@ -6,7 +6,9 @@ by the text in their own blocks, less what stands in links. Scores are summed
 per host and path in Spark; every host keeps the paths with at least a tenth
 of its score, best first, so ten at most. Each page is then extracted again:
 all containers on the first of its host's paths that it has, or, where it has
-none, its own best one.
+none, its own best one. Containers whose class, id or role says that they are
+not the article (``sidebar``, ``comment-list``) get a quarter of the score, and
+are left out where they stand inside the container that was voted for.
 
 Cases: a null or empty page, or one without text, gives the empty string; a
 page without a host goes by itself; ties go to the path first in order;
@@ -38,13 +40,18 @@ ATTRIBUTE = re.compile(r"""([^\s/<>][^\s/<>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[
 SPACE = re.compile(r"\s+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in "script style textarea title noscript iframe svg template".split()}
-SKIP = set("nav header footer aside form button select option menu dialog figure object canvas audio video head math".split()) | set(RAW)
-BLOCK = set("address article blockquote body caption center dd details div dl dt fieldset figcaption h1 h2 h3 h4 h5 h6 html hgroup li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | SKIP
-CONTAINER = set("article body center div main section table tbody td tr html".split())
+SKIP = set("nav header footer aside form button select option menu canvas audio video head".split()) | set(RAW)
+BLOCK = set("address article blockquote body caption center dd details dialog div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 html hgroup li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | SKIP
+CONTAINER = set("article body center dialog div main section table tbody td tr html".split())
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 STOP_AT = set("article body div html main ol section table td ul".split())
-# Words of class names and ids that mark what is not the article.
-ASIDE = re.compile(r"(?<![a-z])(ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?![a-z])", re.I)
+# Whole class tokens, ids and roles of containers and lists that speak against the article, alone or with words for their form.
+ASIDE = re.compile(r"(?:(?:{0})[-_]+)*(?:{1})(?:[-_]+(?:{0}|{1}))*".format(
+    "area|bar|block|box|buttons?|container|items?|links?|list|section|wrap|wrapper",
+    r"ads?|advert\w*?|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promos|promotions?|related|respond|share|sharing|sidebar|social|sponsors?|sponsored|subscribe|toolbar|widget"), re.I)
+ASIDE_TAGS = CONTAINER | set("ul ol dl details figure".split())
+MARK = " !"  # before the name of such a container in a path; no class has a space
+ASIDE_WORTH = 0.25  # of the score of what stands in it
 CLOSERS = set().union(*CLOSED_BY.values())
 DEEPEST = 64  # containers further in count as part of the one around them
 PAGE_SHARE = 0.1  # of a host's score, from which a path is kept
@@ -178,10 +185,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         given = attributes(given_as) if given_as else {}
         named = f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}"
-        hidden = tag in SKIP or "hidden" in given or (tag not in ("html", "body", "article", "main") and bool(ASIDE.search(named)))
+        hidden = tag in SKIP or "hidden" in given
+        marked = tag in ASIDE_TAGS and tag not in ("html", "body", "article", "main") and any(ASIDE.fullmatch(c.strip("-_")) for c in re.sub(r"\d+", "", named).split())
         path = None
-        if tag in CONTAINER and len(paths) < DEEPEST:
+        if (tag in CONTAINER or marked) and len(paths) < DEEPEST:
             name = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in given.get("class", "").lower().split()} - {""})])
+            name = MARK * marked + name
             path = f"{paths[-1]}>{name}" if paths else name
             paths = (*paths, path)
         stack.append((tag, hidden, path))
@@ -198,7 +207,7 @@ def page_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str, floa
     """Share of the page's text that speaks for each container: all of its own blocks', half for the one around it."""
     scores: dict[str, float] = {}
     for paths, text, linked in found:
-        worth = max(0, len(text) - 2 * linked)
+        worth = max(0, len(text) - 2 * linked) * (ASIDE_WORTH if paths and MARK in paths[-1] else 1)
         for path, part in zip(paths[::-1], (1.0, 0.5)):
             scores[path] = scores.get(path, 0.0) + part * worth
     whole = sum(scores.values()) or 1.0
@@ -206,13 +215,16 @@ def page_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str, floa
 
 
 def chosen(found: list[tuple[tuple[str, ...], str, int]], ranked: list[str]) -> str:
-    """Blocks inside the first of the ranked paths that the page has, else inside its own best; all where there is no container."""
+    """Blocks inside the first of the ranked paths that the page has, else inside its own best; all where there is no container.
+
+    What stands in a marked container further in is left out.
+    """
     have = {p for paths, _, _ in found for p in paths}
     best = next((p for p in ranked if p in have), None)
     if best is None and have:
         scores = page_scores(found)
         best = min(have, key=lambda p: (-scores.get(p, 0.0), p))
-    return "\n".join(text for paths, text, _ in found if best is None or best in paths)
+    return "\n".join(text for paths, text, _ in found if best is None or (best in paths and MARK not in paths[-1][len(best) :]))
 
 
 def host_of(url: Column) -> Column:

@@ -318,6 +318,20 @@ def test_main_text_odd_attributes():
         plain(part * 50_000)
 
 
+@pytest.mark.parametrize("given", ['class="post has-sidebar"', 'class="no-sidebar content"', 'class="navy-text"', 'class="with-comments"', 'id="related-work"', 'class="widget"'])
+def test_main_text_names_that_only_sound_like_menus(given):
+    assert plain(f"<body><div {given}><p>A long text of the article.</p><p>More.</div></body>") == "A long text of the article.\nMore."
+    assert plain(f"<article><p>One</p><h2 {given}>Head</h2><pre>x <span {given}># note</span></pre></article>") == "One\nHead\nx # note"
+
+
+def test_main_text_marked_containers_and_figures():
+    page = '<article><p>One long text</p>%s<p>Two</article>'
+    for given in ('class="sidebar"', "id=comments", 'class="x comment-list"', 'role="navigation"', 'class="related-2"'):
+        assert plain(page % f"<div {given}><p>No</p></div>") == plain(page % f"<ul {given}><li>No</ul>") == "One long text\nTwo"
+    assert plain(page % "<figure><table><tr><td>1</table><figcaption>Caption</figcaption></figure><p><math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>") == "One long text\n1\nCaption\nx=1\nTwo"
+    assert plain("<body><div class=sidebar><p>Twice as long as the text</p></div><div class=story><p>Just the text</p></div></body>") == "Just the text"
+
+
 @pytest.mark.parametrize("block_codes,part_queries", [(16384, 2048), (50, 7)])
 def test_hamming_search_is_exact(spark, block_codes, part_queries):
     rng = random.Random(4)
