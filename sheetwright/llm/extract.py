@@ -6,9 +6,10 @@ by the text in their own blocks, less what stands in links. Scores are summed
 per host and path in Spark; every host keeps the paths with at least a tenth
 of its score, best first, so ten at most. Each page is then extracted again:
 all containers on the first of its host's paths that it has, or, where it has
-none, its own best one. Containers whose class, id or role says that they are
-not the article (``sidebar``, ``comment-list``) get a quarter of the score, and
-are left out where they stand inside the container that was voted for.
+none, its own best one, and with them what else the article around them holds
+beside lists of links: headline, lead, other sections. Containers whose class, id or role says that they are
+not the article (``sidebar``, ``comment-list``) get a quarter of the score, and are
+ left out where they stand beside or inside the one that was voted for.
 
 Cases: a null or empty page, or one without text, gives the empty string; a
 page without a host goes by itself; ties go to the path first in order;
@@ -214,17 +215,51 @@ def page_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str, floa
     return {p: s / whole for p, s in scores.items()}
 
 
+def _tag(path: str, around: str | None) -> str:
+    return (path[len(around) + 1 :] if around else path).removeprefix(MARK).split(".")[0]
+
+
 def chosen(found: list[tuple[tuple[str, ...], str, int]], ranked: list[str]) -> str:
-    """Blocks inside the first of the ranked paths that the page has, else inside its own best; all where there is no container.
+    """The article around the first of the ranked paths that the page has, else around its own best; all where there is no container.
 
-    What stands in a marked container further in is left out.
+    The article is the ``main`` or else the innermost ``article`` around that
+    path. Without these it is what stands in the body: the part with the path,
+    blocks directly in the body, and parts with another of the ranked paths.
+    Beside the path, what is mainly links or stands in a marked container is
+    left out, and so is a marked container further in.
     """
     have = {p for paths, _, _ in found for p in paths}
     best = next((p for p in ranked if p in have), None)
     if best is None and have:
         scores = page_scores(found)
+        ranked = sorted((p for p in have if scores.get(p, 0.0) >= PAGE_SHARE), key=lambda p: (-scores[p], p))
         best = min(have, key=lambda p: (-scores.get(p, 0.0), p))
-    return "\n".join(text for paths, text, _ in found if best is None or (best in paths and MARK not in paths[-1][len(best) :]))
+    if best is None:
+        return "\n".join(text for _, text, _ in found)
+    line = next(paths[: paths.index(best) + 1] for paths, _, _ in found if best in paths)
+    tags = [_tag(p, a) for p, a in zip(line, (None, *line))]
+    top = tags.index("main") if "main" in tags else max((i for i, t in enumerate(tags) if t == "article"), default=None)
+    page_tags = next((i for i, t in enumerate(tags) if t not in ("html", "body")), len(tags) - 1)  # how many stand for the whole page
+    winners = set(ranked)
+    parts: list[tuple[object, str, int]] = []
+    sums: dict[object, list[int]] = {}
+    for no, (paths, text, linked) in enumerate(found):
+        if best in paths:
+            if MARK not in paths[-1][len(best) :]:
+                parts.append((None, text, linked))
+            continue
+        shared = next((i for i, (p, q) in enumerate(zip(paths, line)) if p != q), min(len(paths), len(line)))
+        if top is not None and shared <= top:
+            continue
+        beside = paths[shared:]
+        if beside and (MARK in paths[-1][len(paths[shared - 1]) if shared else 0 :] or (shared <= page_tags and winners.isdisjoint(beside))):
+            continue
+        part = beside[0] if beside else no
+        parts.append((part, text, linked))
+        total = sums.setdefault(part, [0, 0])
+        total[0] += len(text)
+        total[1] += linked
+    return "\n".join(text for part, text, _ in parts if part is None or 2 * sums[part][1] <= sums[part][0])
 
 
 def host_of(url: Column) -> Column:

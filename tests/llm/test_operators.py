@@ -332,6 +332,24 @@ def test_main_text_marked_containers_and_figures():
     assert plain("<body><div class=sidebar><p>Twice as long as the text</p></div><div class=story><p>Just the text</p></div></body>") == "Just the text"
 
 
+def test_main_text_is_the_whole_article(spark):
+    body = "<p>" + "The body goes on and on. " * 12 + "</p>"
+    text = ("The body goes on and on. " * 12).strip()
+    links = "<div class=more><a href=/1>Another story</a> <a href=/2>One more</a></div>"
+    bodies = {
+        f"<article><h1>Head</h1><p>Lead</p><div class=content>{body}</div>{links}</article><div class=foot>Imprint</div>": f"Head\nLead\n{text}",
+        f"<article><section class=a><p>First</section><section class=b>{body}</section><section class=c><p>Last</section></article>": f"First\n{text}\nLast",
+        f"<main><h1>Head</h1>{links}<article>{body}</article></main><div>Imprint</div>": f"Head\n{text}",
+        f"<div class=page><div class=top><h1>Head</h1></div><div class=in>{body}</div>{links}<div class=sidebar>Side</div></div>": f"Head\n{text}",
+        f"<h1>Head</h1><div class=one>{body}{body}</div><div class=two>{body}</div><div class=foot>Imprint</div>": "\n".join(["Head", text, text, text]),
+    }
+    for inner, want in bodies.items():
+        assert plain(f"<html><body>{inner}</body></html>") == plain(inner) == want
+    rows = [(10 * h + i, f"http://h{h}.org/{i}", f"<html><body>{inner}</body></html>") for h, inner in enumerate(bodies) for i in range(3)]
+    out = extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("row.page_id", "text").collect()
+    assert {r.page_id: r.text for r in out} == {10 * h + i: want for h, want in enumerate(bodies.values()) for i in range(3)}
+
+
 @pytest.mark.parametrize("block_codes,part_queries", [(16384, 2048), (50, 7)])
 def test_hamming_search_is_exact(spark, block_codes, part_queries):
     rng = random.Random(4)
