@@ -3,8 +3,8 @@
 A text is the set of its words and of their first letters, hashed. The machine
 adds a weight for each term and, for each two terms that occur together, the
 product of their factors, so that a word can count only beside another one.
-Terms that say nothing about the label in the sample are left out before the
-fit. The machine is fitted on a bounded sample and sent with the job.
+Terms that say nothing about the label in the sample, neither alone nor in a
+pair, are left out before the fit. The machine is fitted on a bounded sample and sent with the job.
 
 Cases: null and empty texts score what the machine gives for no term; texts
 are taken whole; repeated words count once; with no labelled row, or only one
@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,6 +30,7 @@ from .tables import joined, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 WORDS_KEPT = 150_000
+PAIR_BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -36,8 +38,9 @@ class Fit:
     bound: int = 3000  # texts of each class to learn from
     bits: int = 22
     prefix: int = 5  # letters of a word's beginning that count as a term
-    terms: int = 4000  # at most so many hashed terms are kept
-    least: float = 8.0  # chi-square that a term must reach
+    least: float = 8.0  # chi-square that a term must reach by itself,
+    least_pair: float = 50.0  # or that one of its pairs must add to those of its two terms
+    common: float = 0.005  # share of the sample's texts that a term of such a pair is in, and 5 texts
     factors: int = 8
     rounds: int = 25
     rate: float = 0.1
@@ -78,25 +81,54 @@ def chance(x: float) -> float:
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
 
-def _telling(texts: list[set[int]], toxic: np.ndarray, how: Fit) -> dict[int, int]:
-    """Rows for the terms with the largest chi-square."""
+def _telling(texts: list[Collection[int]], toxic: np.ndarray, how: Fit) -> dict[int, int]:
+    """Rows for the terms that tell something about the label, by themselves or in a pair."""
     n, n1 = len(texts), int(toxic.sum())
     every, ones = Counter(), Counter()
     for t, y in zip(texts, toxic):
         every.update(t)
         if y:
             ones.update(t)
-    scored = []
+    chi = {}
     for t, k in every.items():
         a = ones[t]
         parts = k * (n - k) * n1 * (n - n1)
-        chi = n * (a * (n - n1) - (k - a) * n1) ** 2 / parts if parts else 0.0
-        if chi >= how.least:
-            scored.append((-chi, t))
-    return {t: i for i, (_, t) in enumerate(sorted(scored)[: how.terms])}
+        chi[t] = n * (a * (n - n1) - (k - a) * n1) ** 2 / parts if parts else 0.0
+    kept = {t for t, c in chi.items() if c >= how.least}
+    if 0 < n1 < n:
+        kept |= _paired(texts, toxic, chi, sorted(t for t, k in every.items() if max(5, how.common * n) <= k < n), how)
+    return {t: i for i, t in enumerate(sorted(kept, key=lambda t: (-chi[t], t)))}
 
 
-def train(texts: list[set[int]], toxic: np.ndarray, how: Fit = Fit()) -> Machine:
+def _paired(texts: list[Collection[int]], toxic: np.ndarray, chi: dict[int, float], terms: list[int], how: Fit) -> set[int]:
+    """Terms of pairs whose four cases (both, either, none) differ in the label by more than each term alone explains."""
+    n, n1 = len(texts), int(toxic.sum())
+    place = {t: i for i, t in enumerate(terms)}
+    has = np.zeros((n, len(terms)), np.uint8)
+    for row, t in zip(has, texts):
+        row[[place[x] for x in t if x in place]] = 1
+    ones = toxic == 1
+    alone = np.array([chi[t] for t in terms])
+    k, k1 = has.sum(0, dtype=np.float64), has[ones].sum(0, dtype=np.float64)
+    found = np.zeros(len(terms), bool)
+    for at in range(0, len(terms), PAIR_BLOCK):
+        i = slice(at, at + PAIR_BLOCK)
+        left = has[:, i].astype(np.float32).T
+        for to in range(at, len(terms), PAIR_BLOCK):
+            j = slice(to, to + PAIR_BLOCK)
+            right = has[:, j].astype(np.float32)
+            both, both1 = (left @ right).astype(np.float64), (left[:, ones] @ right[ones]).astype(np.float64)
+            a, b, a1, b1 = k[i][:, None], k[j], k1[i][:, None], k1[j]
+            gain = -alone[i][:, None] - alone[j]
+            for c, c1 in ((both, both1), (a - both, a1 - both1), (b - both, b1 - both1), (n - a - b + both, n1 - a1 - b1 + both1)):
+                gain += (c1 - c * n1 / n) ** 2 / np.maximum(c, 1) * (n * n / (n1 * (n - n1)))
+            told = gain >= how.least_pair
+            found[i] |= told.any(1)
+            found[j] |= told.any(0)
+    return {t for t, f in zip(terms, found) if f}
+
+
+def train(texts: list[Collection[int]], toxic: np.ndarray, how: Fit = Fit()) -> Machine:
     """Logistic loss, adaptive steps, rows in a fixed shuffle; the two classes weigh the same."""
     rng = np.random.default_rng(0)
     m = Machine(place=_telling(texts, toxic, how))
@@ -134,11 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), text: str = "text"
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "label": batch["label"], "x": [sorted({t for w in words(s) for t in hashed(w, how)}) for s in batch["text"]]})
+            yield pd.DataFrame({"key": batch["key"], "label": batch["label"], "x": [array("i", sorted({t for w in words(s) for t in hashed(w, how)})).tobytes() for s in batch["text"]]})
 
-    rows = texts.select(F.col("key").cast("string").alias("key"), "label", "text").mapInPandas(terms, "key string, label int, x array<int>").collect()
+    rows = texts.select(F.col("key").cast("string").alias("key"), "label", "text").mapInPandas(terms, "key string, label int, x binary").collect()
     rows.sort(key=lambda r: (r.key or "", r.label, r.x))
-    return train([set(r.x) for r in rows], np.array([r.label for r in rows], np.int64), how)
+    return train([array("i", bytes(r.x)) for r in rows], np.array([r.label for r in rows], np.int64), how)
 
 
 def scored(docs: DataFrame, machine: Machine, how: Fit = Fit(), text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -267,6 +267,25 @@ def test_factorization_machine_learns_a_pair(spark):
     assert out == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0}
 
 
+def test_factorization_machine_learns_a_pair_of_words_without_effect_alone():
+    rng = random.Random(2)
+    how = toxicity.Fit()
+
+    def made(n):
+        rows, labels = [], []
+        for i in range(n):
+            insult, group = rng.random() < 0.5, rng.random() < 0.5
+            said = {*prose(rng, 10).split(), *["insult"] * insult, *["folk"] * group}
+            rows.append({t for w in said for t in toxicity.hashed(w, how)})
+            labels.append(int(insult != group))
+        return rows, np.array(labels)
+
+    machine = toxicity.train(*made(1200), how)
+    rows, labels = made(400)
+    scores = [toxicity.chance(toxicity.margin(machine, np.array(sorted(machine.place[t] for t in r if t in machine.place), np.int64))) for r in rows]
+    assert np.mean((np.array(scores) >= 0.5) == labels) > 0.95
+
+
 def test_chat_reads_back(spark):
     rng = random.Random(3)
     parts = chat.CONTROL + ["\\", "<", "s>", "hello", "é😀", "\n"]
