@@ -122,11 +122,12 @@ def choose(svm: Svm, x: np.ndarray) -> tuple[str, float]:
 def fit(docs: DataFrame, how: Fit = Fit(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, Svm]:
     """Machines for the families (under an empty name) and for the languages of each family.
 
-    At most ``how.bound`` rows of each language come to the driver, as counts.
+    At most ``how.bound`` texts of each language come to the driver, as counts; copies count once.
     """
-    narrow = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("mark"))
+    named = docs.where(F.col(lang).isNotNull()).select(F.xxhash64(F.col(key)).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    narrow = named.where(F.col("text").rlike(r"\p{L}")).groupBy("lang", "mark").agg(F.min("key").alias("key"))
     chosen = per_class(narrow, "lang", how.bound, "mark")
-    texts = joined(small_batches(docs).select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")), chosen, ["key", "mark"])
+    texts = joined(small_batches(named), chosen, ["lang", "mark", "key"]).dropDuplicates(["lang", "mark"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -253,6 +253,16 @@ def test_language_families_and_cases(spark):
     assert language.fit(spark.createDataFrame([], DOCS)) == {}
 
 
+def test_language_of_few_texts_with_many_copies_is_learned(spark, monkeypatch):
+    seen = []
+    votes = language._votes
+    monkeypatch.setattr(language, "_votes", lambda x, names, how: (seen.append(Counter(names.tolist())), votes(x, names, how))[1])
+    copies = spark.range(30_000).selectExpr("id % 900 AS doc_id", "concat('tekst ', translate(cast(id % 30 AS string), '0123456789', 'abcdefghij')) AS text", "'da' AS lang")
+    few = spark.createDataFrame([(i, f"text {chr(97 + i)}", "en") for i in range(20)] + [(None, "no key", "en")], "doc_id long, text string, lang string")
+    language.fit(copies.unionByName(few), language.Fit(dims=64, rounds=1))
+    assert {"da": 30, "en": 21} in seen
+
+
 def test_factorization_machine_learns_a_pair(spark):
     rng = random.Random(2)
     rows, labels = [], []
