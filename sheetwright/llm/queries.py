@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, extract, hamming, language, minhash, mixing, pieces, privacy, quality, toxicity
+from . import chat, decontamination, divergence, extract, hamming, language, minhash, mixing, phrases, pieces, privacy, quality, toxicity
 from .sql import CHECKS  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,21 @@ def op7_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    hit = F.expr("aggregate(spans, 0L, (sum, s) -> sum + s.end - s.start)")
+    return found.select("row.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
