@@ -12,7 +12,8 @@ reading back undoes it.
 Cases: a null text or role is empty; turns are put in order by number, then
 role, then text, null numbers first; repeated rows are repeated turns; rows
 with a null conversation belong to one chat; an empty table gives no chat;
-texts are taken whole. A chat becomes one row, and is put together from sorted
+texts are encoded whole at any length; other columns are not carried along. A
+chat becomes one row, and is put together from sorted
 rows one after the other.
 """
 
@@ -57,8 +58,7 @@ class Coder:
         self.base = max(ranks.values()) + 1
 
     def encode(self, text: str) -> np.ndarray:
-        parts = [self.coding.encode_ordinary(text[i : i + 20_000]) for i in range(0, len(text), 20_000)]
-        return np.array([i for p in parts for i in p], "<u4")
+        return np.array(self.coding.encode_ordinary(text), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         return self.coding.decode_bytes(ids.tolist()).decode("utf-8")

@@ -38,9 +38,15 @@ class Search:
 
 
 def sign_code(vector: Column, bits: int) -> Column:
-    """64-bit code: bit i is set where element i is above 0; null without a whole vector."""
-    one = F.transform(F.slice(vector, 1, bits), lambda x: F.when(x > 0, 1).otherwise(0).cast("long"))
-    return F.when(vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull()), F.aggregate(one, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b)))
+    """Code of up to 64 bits: bit i is set where element i is above 0; null without a whole vector.
+
+    A vector of more elements than ``bits`` is an error: its code would leave some out.
+    """
+    if not 0 < bits <= 64:
+        raise ValueError(f"a code has 1 to 64 bits, not {bits}")
+    one = F.transform(vector, lambda x: F.when(x > 0, 1).otherwise(0).cast("long"))
+    too_long = F.raise_error(F.format_string(f"a vector of %s elements does not fit a code of {bits} bits", F.size(vector))).cast("long")
+    return F.when(F.size(vector) > bits, too_long).when(vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull()), F.aggregate(one, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b)))
 
 
 def plan(bits: int, n: int) -> list[tuple[int, int]]:

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sheetwright.llm import chat, extract, graph, hamming, language, minhash, mixing, pieces, privacy, quality, toxicity
+from sheetwright.llm import chat, extract, graph, hamming, language, minhash, mixing, pieces, privacy, quality, sampling, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that the operators use inside, as extra columns.
@@ -392,3 +392,23 @@ def test_hamming_search_is_exact(spark, block_codes, part_queries):
     assert set(got) == {i for i in range(len(codes)) if i % 9 == 0}
     for q, answers in got.items():
         assert answers == sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes))[:10]
+
+
+def test_a_class_of_billions_is_thinned_without_overflow(spark):
+    rows = spark.range(100_000).withColumn("class_rows", F.lit(30_000_000_000))
+    assert 4_500 < sampling.thinned(rows, 750_000_000, "id").count() < 5_500  # one in twenty
+
+
+def test_long_turns_are_encoded_without_seams(spark):
+    coder = chat.Coder(RANKS, public_tokenizers.PATTERN)
+    for text in ("word" * 15_000, "ab cd. " * 9_000, "é" * 60_000):
+        assert coder.encode(text).tolist() == coder.coding.encode_ordinary(text)
+        assert coder.decode(coder.encode(text)) == text
+
+
+def test_a_vector_wider_than_its_code_is_refused(spark):
+    rows = spark.createDataFrame([(1, [0.5] * 65)], "id long, v array<double>")
+    with pytest.raises(Exception, match="65 elements"):
+        rows.select(hamming.sign_code(F.col("v"), 64)).collect()
+    with pytest.raises(ValueError):
+        hamming.sign_code(F.col("v"), 65)
