@@ -4,6 +4,10 @@ A window over a key puts all rows of that key into one task. Where a key may
 hold a large share of all rows, the order axis is cut into ranges first: one
 window works inside (key, range), one row per (key, range) is passed on, and a
 second window over those few rows supplies what came before the range.
+
+The axis may be of any type that Spark can order, structs included: ranges are
+cut between its own distinct values. Nulls come first and NaN last, as they do
+in a window, and each is a value like any other.
 """
 
 from __future__ import annotations
@@ -11,47 +15,43 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..plans.session import written
+from .joining import join_back
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 4096
 RANGE = "order_range"
-_AXIS = "order_axis"
 
 
-def _axis(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StructType):
-        return F.col(name)[kind.fields[0].name].cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.col(name).cast("timestamp").cast("double")
-    return F.col(name).cast("double")
+def _ranges_of_values(df: DataFrame, order_col: str, rows: int, rows_per_range: int) -> DataFrame:
+    """Per distinct value of ``order_col`` its rows and the number of its range.
+
+    The distinct values are sorted by range partitioning. The rows before a
+    value are the sum over the partitions before its own, a few rows, and over
+    the values before it in its partition.
+    """
+    values = df.groupBy(order_col).agg(F.count(F.lit(1)).alias("value_rows"))
+    parts = -(-rows // rows_per_range)
+    sorted_values = written(values.repartitionByRange(parts, order_col).withColumn("part", F.spark_partition_id()), "order-values")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sorted_values.groupBy("part").agg(F.sum("value_rows").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before_part"))
+    inside = Window.partitionBy("part").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("before_part") + F.coalesce(F.sum("value_rows").over(inside), F.lit(0))
+    return sorted_values.join(before, "part").select(order_col, "value_rows", F.floor(place / rows_per_range).alias(RANGE))
 
 
 def with_ranges(df: DataFrame, order_col: str, rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, bool]:
     """Add ``order_range``: ranges of ``order_col`` with about as many rows each.
 
-    One aggregate brings back the row count and at most 4095 cut points. Small
-    inputs get a single range; the flag says whether there are several.
+    Equal values share a range, so one that is very frequent makes a larger
+    one. Fewer rows than one range has need no cuts; the flag says whether
+    there are several ranges.
     """
-    axis = df.select(_axis(df, order_col).alias(_AXIS))
-    share = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    n = df.count()
-    ranges = min(MAX_RANGES, -(-n // rows_per_range))
-    if ranges <= 1:
-        return df.withColumn(RANGE, F.lit(0)), False
-    step = MAX_RANGES // ranges
-    cuts = axis.agg(
-        F.percentile_approx(_AXIS, share[step - 1 :: step], 8 * MAX_RANGES).alias("cuts")
-    ).first()["cuts"]
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    cutter = Bucketizer(splits=splits, inputCol=_AXIS, outputCol=RANGE, handleInvalid="keep")
-    ranged = cutter.transform(df.withColumn(_AXIS, _axis(df, order_col)))
-    # Rows without an order value come first, as they do in a window.
-    return ranged.drop(_AXIS).withColumn(RANGE, F.coalesce(F.col(RANGE).cast("int"), F.lit(-1))), True
+    rows = df.count()
+    if rows <= rows_per_range:
+        return df.withColumn(RANGE, F.lit(0).cast("long")), False
+    return join_back(df, _ranges_of_values(df, order_col, rows, rows_per_range), [order_col], "value_rows"), True
 
 
 def _with_carried(here: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,8 +143,6 @@ def rank_within(
     Works on the distinct values with their counts, so a hot key or a hot
     value is already combined before any shuffle.
     """
-    from .joining import join_back
-
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
     kind = df.schema[value].dataType.typeName()
     nan = F.isnan(value) if kind in ("double", "float") else F.lit(False)

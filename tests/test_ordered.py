@@ -1,6 +1,8 @@
 """Running values with several ranges, hot keys, joins back, chats."""
 
 import random
+from datetime import date, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +147,32 @@ def test_rank_of_nulls_and_null_keys(spark, rows_per_range):
     rows = [("g", "a", None), ("g", "b", 5.0), ("g", "c", 9.0), ("g", "d", float("nan")), (None, "e", 1.0), (None, "f", 2.0)]
     out = rank_within(spark.createDataFrame(rows, "k string, i string, v double"), ["k"], "v", rows_per_range=rows_per_range).collect()
     assert {r.i: r["rank"] for r in out} == {"d": 1, "c": 2, "b": 3, "a": 4, "f": 1, "e": 2}
+
+
+def _as(kind, i):
+    if i % 11 == 0:
+        return None
+    if kind == "double":
+        return [float("nan"), float("inf"), float("-inf"), i / 4][min(i % 9, 3)]
+    return {"string": f"name {i % 7:02d}", "decimal(12,2)": Decimal(i) / 4, "date": date(2024, 1, 1) + timedelta(i), "boolean": i % 2 == 0,
+            "struct<a:string,b:int>": (f"x{i % 5}", None if i % 4 == 0 else i)}[kind]
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "decimal(12,2)", "date", "boolean", "struct<a:string,b:int>"])
+def test_any_order_gives_the_same_with_many_ranges(spark, kind):
+    rows = [("hot" if i % 3 else "b", _as(kind, i), i, i % 5 if i % 6 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, f"k string, o {kind}, i int, v bigint")
+    for run in (carry_last, running_sum):
+        few, many = ({r.i: r.out for r in run(df, ["k"], ["o", "i"], "v", "out", n).collect()} for n in (1_000_000, 2))
+        assert few == many and len(few) == 60
+    ranged, several = with_ranges(df, "o", 2)
+    assert several
+    # Ranges follow the order of the values, and equal values share one.
+    lows = [r.order_range for r in ranged.orderBy("o").collect()]
+    assert lows == sorted(lows) and ranged.groupBy("o").agg(F.count_distinct("order_range").alias("n")).where("n > 1").isEmpty()
+
+
+def test_an_order_of_nulls_only(spark):
+    df = spark.createDataFrame([("k", None, i) for i in range(9)], "k string, o string, v bigint")
+    assert {r.out for r in running_sum(df, ["k"], ["o"], "v", "out", 2).collect()} <= {sum(range(i + 1)) for i in range(9)} | {36}
+    assert sorted(r.out for r in numbered(df, ["k"], ["o", "v"], "out", 2).collect()) == list(range(1, 10))

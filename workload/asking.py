@@ -186,6 +186,16 @@ def q_running_total(spark, sf):
     return out.select("l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), "total", "running_total")
 
 
+@query("q_running_by_name", """SELECT l_returnflag, name, sum(l_quantity) AS total,
+        sum(sum(l_quantity)) OVER (PARTITION BY l_returnflag ORDER BY name NULLS FIRST) AS running_total
+    FROM (SELECT *, CASE WHEN p_size < 46 THEN p_name END AS name FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY l_returnflag, name""")
+def q_running_by_name(spark, sf):
+    """Running total in the order of part names, some of which are unknown, over many ranges of names."""
+    items = _cleaned(spark, sf, "l_returnflag", "l_partkey", "quantity")
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") < 46, F.col("p_name")).alias("name"))
+    return Q.running_total(items.join(names, "l_partkey"), ["l_returnflag"], "name", "quantity", rows_per_range=20)
+
+
 @query("q_rank", """SELECT l_returnflag, l_suppkey, sum(l_quantity) AS total,
         rank() OVER (PARTITION BY l_returnflag ORDER BY sum(l_quantity) DESC) AS rank FROM lineitem GROUP BY 1, 2""")
 def q_rank(spark, sf):
