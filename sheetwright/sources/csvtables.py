@@ -4,7 +4,8 @@ Files are looked at once, line by line and split across tasks, to find each
 file's encoding, separator and width. Then every group of like files is read by
 Spark's own CSV reader, all columns as text. Widths are grouped by powers of
 two, so a wide file does not widen the records of a narrow one. A file of any
-size is split unless a quoted field runs over several lines.
+size is split; where quoted fields run over several lines, its records are put
+together first (``quoted``).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ..functions import encoding as E
 from ..functions.headers import unique_names
 from ..functions.text import is_filled
 from ..plans.session import written
+from .quoted import quoted_records, runs_on
 
 # Separators in order of preference when equally frequent.
 SEPARATORS = (";", "\t", ",", "|")
@@ -39,9 +41,9 @@ def plain_path(path: str) -> str:
 
 
 def count_between_fields(line: Column, sep: str) -> Column:
-    """Number of separators of a line that are not inside a quoted field."""
+    """Number of separators of a line that are not inside a quoted field; one that is never closed ends with the line."""
     s = "\\" + sep if sep == "|" else sep
-    bare = F.regexp_replace(line, rf'(?<![^{s}])"(?:[^"]++|"")*+"', "")
+    bare = F.regexp_replace(line, rf'(?<![^{s}])"(?:[^"]++|"")*+(?:"|\z)', "")
     return F.when(F.contains(line, F.lit('"')), count_of(bare, sep)).otherwise(count_of(line, sep))
 
 
@@ -59,13 +61,6 @@ def first_filled_line(text: Column) -> Column:
     return F.regexp_extract(text, r"(?m)^.*\S.*$", 0)
 
 
-def runs_on(line: Column, sep: str) -> Column:
-    """True when a quoted field opens in this line and does not close in it."""
-    s = "\\" + sep if sep == "|" else sep
-    closed = rf'(?:"(?:[^"]++|"")*+"[^{s}]*+|[^{s}"][^{s}]*+)?+{s}'
-    return line.rlike(rf'^(?:{closed})*+"(?:[^"]++|"")*+$')
-
-
 def sniff(lines: DataFrame) -> DataFrame:
     """One row per file from ``lines(path, block, line, value)`` of raw text.
 
@@ -81,8 +76,6 @@ def sniff(lines: DataFrame) -> DataFrame:
         F.bool_and(E.is_utf8(raw)).alias("utf8"),
         F.bool_or(E.has_gap_bytes(raw)).alias("gaps"),
         F.min_by(raw, F.when(is_filled(F.col("value")), place)).alias("first_raw"),
-        F.min(place).alias("first_place"),
-        F.min(F.when(is_filled(F.col("value")), place)).alias("filled_place"),
         *[F.max(count_between_fields(F.col("value"), s)).alias(f"most_{i}") for i, s in enumerate(SEPARATORS)],
         F.collect_set(any_mark).alias("run_on_marks"),
     )
@@ -110,8 +103,6 @@ def sniff(lines: DataFrame) -> DataFrame:
         "first_line",
         (for_separator([F.col(f"most_{i}") for i in places]) + 1).cast("int").alias("width"),
         for_separator(runs).alias("multi_line"),
-        for_separator([runs_on(F.col("first_line"), s) for s in SEPARATORS]).alias("open_header"),
-        (F.col("first_place") < F.col("filled_place")).alias("blank_first"),
     )
 
 
@@ -153,14 +144,13 @@ def _charset(encoding: str) -> str:
 
 
 def _read_group(
-    spark: SparkSession, paths: list[str], encoding: str, sep: str, multi: bool, width: int, header: bool = True
+    spark: SparkSession, paths: list[str], encoding: str, sep: str, width: int
 ) -> DataFrame:
-    """Records of like files; the first of each file is left out as its header."""
+    """Records of like files, one in each line; the first of each file is left out as its header."""
     return (
         spark.read.options(**_options(sep), **_max_columns(width))
-        .option("header", header)
+        .option("header", True)
         .option("enforceSchema", True)
-        .option("multiLine", multi)
         .option("encoding", _charset(encoding))
         .schema(_schema(width))
         .csv(paths)
@@ -176,20 +166,17 @@ def _read_group(
     )
 
 
-def _multi_line_width(spark: SparkSession, paths: list[str], encoding: str, sep: str, width: int) -> int:
-    """Width of files whose records run over lines, where counting separators
-    per line falls short: records that do not fit ``width`` are counted whole."""
-    read = (
-        spark.read.options(**_options(sep), **_max_columns(width))
-        .option("multiLine", True)
-        .option("encoding", _charset(encoding))
-        .option("columnNameOfCorruptRecord", "misfit")
-        .schema(_schema(width) + ", misfit string")
-        .csv(paths)
-    )
-    fields = F.array_max(F.array(*[F.when(F.col(f"c{i}").isNotNull(), i + 1).otherwise(1) for i in range(width)]))
-    needed = F.when(F.col("misfit").isNotNull(), count_of(F.col("misfit"), sep) + 1).otherwise(fields)
-    return max(width, read.agg(F.max(needed)).first()[0] or 0)
+def _read_quoted(spark: SparkSession, paths: list[str], encoding: str, sep: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and headers of like files with quoted fields over several lines."""
+    records = written(quoted_records(spark, paths, encoding, sep), "quoted-records")
+    widths = records.groupBy("doc_id").agg((F.max(count_between_fields(F.col("text"), sep)) + 1).alias("width"))
+    widths = written(widths, "quoted-widths")
+    width = widths.agg(F.max("width")).first()[0] or 1
+    fields = F.from_csv("text", F.lit(_schema(width)), {**_options(sep), **_max_columns(width)})
+    cells = F.array(*[_cell(fields[f"c{i}"], False) for i in range(width)])
+    records = records.select("doc_id", F.lit("data").alias("table_name"), "row_no", cells.alias("cells"))
+    headers = _first_records(records).join(widths, "doc_id").select("doc_id", "table_name", F.slice("header", F.lit(1), F.col("width")).alias("header"))
+    return _after_header(records), headers
 
 
 def _first_records(records: DataFrame) -> DataFrame:
@@ -205,13 +192,13 @@ def _after_header(records: DataFrame) -> DataFrame:
 
 
 def _headers(files: DataFrame, classes: set[tuple[str, int]]) -> list[DataFrame]:
-    """Header cells of each file whose header is one line; a missing one is null."""
+    """Header cells of each file whose records are one line each; a missing one is null."""
     parts = []
     for sep, width in sorted(classes):
         parsed = F.from_csv("first_line", F.lit(_schema(width)), {**_options(sep), **_max_columns(width)})
         header = F.array(*[parsed[f"c{i}"] for i in range(width)])
         parts.append(
-            files.where((F.col("separator") == sep) & (F.col("width_class") == width) & ~F.col("open_header")).select(
+            files.where((F.col("separator") == sep) & (F.col("width_class") == width) & ~F.col("multi_line")).select(
                 F.col("path").alias("doc_id"),
                 F.lit("data").alias("table_name"),
                 F.slice(header, F.lit(1), F.col("width")).alias("header"),
@@ -226,13 +213,13 @@ def read_csv_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Dat
     ``rows(doc_id, table_name, row_no, cells)`` has every record after the
     header; a record may be longer than the header, its extra cells are kept.
     Only one short row per file, which the driver lists anyway, comes back to
-    it to group like files: at most 3 encodings x 4 separators x 4 kinds of records x the
+    it to group like files: at most 3 encodings x 4 separators x 2 kinds of records x the
     powers of two up to the widest file.
     """
     power = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("width").cast("double")))).cast("int")
     files = written(sniff(read_lines(spark, paths)).withColumn("width_class", power), "csv-files")
-    kind = ["encoding", "separator", "multi_line", "blank_first", "width_class"]
-    listed = files.select("path", *kind, "open_header")
+    kind = ["encoding", "separator", "multi_line", "width_class"]
+    listed = files.select("path", *kind)
     groups: dict[tuple, list] = {}
     for r in listed.toLocalIterator():
         groups.setdefault(tuple(r[k] for k in kind), []).append(r)
@@ -242,21 +229,16 @@ def read_csv_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Dat
         )
         return empty, spark.createDataFrame([], "doc_id string, table_name string, header array<string>")
 
-    rows, open_headers = [], []
-    for (encoding, sep, multi, blank_first, width), members in groups.items():
+    rows, more_headers = [], []
+    for (encoding, sep, multi, width), members in groups.items():
         names = [plain_path(unquote(m.path)) for m in members]
-        if multi:
-            width = _multi_line_width(spark, names, encoding, sep, width)
-        # Over several lines the reader takes a line of blanks for the header.
-        if multi and blank_first:
-            rows.append(_after_header(_read_group(spark, names, encoding, sep, multi, width, header=False)))
-        else:
-            rows.append(_read_group(spark, names, encoding, sep, multi, width))
-        opened = [plain_path(unquote(m.path)) for m in members if m.open_header]
-        if opened:
-            first = _read_group(spark, opened, encoding, sep, True, width, header=False)
-            open_headers.append(_first_records(first).drop("header_row"))
-    headers = [*_headers(files, {(sep, width) for _, sep, _, _, width in groups}), *open_headers]
+        if not multi:
+            rows.append(_read_group(spark, names, encoding, sep, width))
+            continue
+        table_rows, heads = _read_quoted(spark, names, encoding, sep)
+        rows.append(table_rows)
+        more_headers.append(heads)
+    headers = [*_headers(files, {(sep, width) for _, sep, multi, width in groups if not multi}), *more_headers]
     return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, headers)
 
 

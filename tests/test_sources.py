@@ -1,14 +1,18 @@
 """Bytes, separators, delimited files, stored tables, streaming ingest."""
 
+import csv
+import io
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheetwright.functions.encoding import decode_bytes
 from sheetwright.operators.clean import normalize_rows
 from sheetwright.operators.profile import column_names
 from sheetwright.plans.ingest import ingest_csv
-from sheetwright.sources.csvtables import first_filled_line, guess_separator, read_csv_rows, read_csv_table
+from sheetwright.sources.csvtables import _options, first_filled_line, guess_separator, read_csv_rows, read_csv_table
+from sheetwright.sources.quoted import quoted_records
 from sheetwright.sources.store import read_document, read_table, retire, write_batch
 from sheetwright.streaming.files import stream_ingest
 
@@ -218,3 +222,60 @@ def test_retired_batches(spark, tmp_path):
     assert not (tmp_path / "store/rows/batch=8").exists()
     assert retire(spark, out, F.lit(99), ("rows", "text_blocks")).count() == 2
     assert retire(spark, out, F.lit(99), ("rows", "text_blocks")).count() == 0
+
+
+def _csv_text(rnd, n, end):
+    def field():
+        kind = rnd.random()
+        if kind < 0.5:
+            return rnd.choice(["", "a", "12", "x y", "long " * 5])
+        inner = "".join(rnd.choice(["a", ";", '""', "\n", "\r\n", " ", "b;"]) for _ in range(rnd.randint(0, 12)))
+        return f'"k{inner}"'
+    return "h0;h1;h2" + end + "".join(";".join([f"r{i}", field(), field()]) + end for i in range(n))
+
+
+@pytest.mark.parametrize("seed,split,end", [(1, 7, "\n"), (2, 20, "\n"), (3, 64, "\r\n"), (4, 1000, "\n"), (5, 33, "\r\n")])
+def test_quoted_line_ends_over_many_splits(spark, tmp_path, seed, split, end):
+    """Records are the same whatever the splits; python's csv reader tells them."""
+    text = _csv_text(random.Random(seed), 40, end)
+    (tmp_path / "a.csv").write_text(text, newline="")
+    want = {tuple(r) for r in list(csv.reader(io.StringIO(text, newline=""), delimiter=";"))[1:]}
+    conf = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        records = quoted_records(spark, [str(tmp_path / "a.csv")], "utf-8", ";", rows_per_range=5)
+        cells = records.select(F.from_csv("text", F.lit("a string, b string, c string"), _options(";")).alias("r"), "text").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {tuple(x or "" for x in r.r) for r in cells if r.text != "h0;h1;h2"}
+    assert got == want and len(cells) == 41
+
+
+def test_a_quote_open_across_three_splits(spark, tmp_path):
+    inside = "line of a long note\n" * 60
+    text = f'k;v\na;1\nb;"{inside}""end"\nc;3\n'
+    (tmp_path / "a.csv").write_text(text)
+    (tmp_path / "never.csv").write_text('k;v\na;1\nb;"open\nand on\n' + "x;y\n" * 50)
+    conf = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions() >= 4
+        rows, headers = read_csv_rows(spark, [str(tmp_path / "a.csv"), str(tmp_path / "never.csv")])
+        got = sorted((r.doc_id.rsplit("/", 1)[1], *r.cells) for r in rows.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got[:3] == [("a.csv", "a", "1"), ("a.csv", "b", f'{inside}"end'), ("a.csv", "c", "3")]
+    assert got[3] == ("never.csv", "a", "1") and got[4][:2] == ("never.csv", "b") and got[4][2].startswith("open\nand on\nx;y") and len(got) == 5
+    assert [r.header for r in headers.collect()] == [["k", "v"], ["k", "v"]]
+
+
+def test_quoted_line_ends_of_one_carriage_return(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k;v\ra;"1\r2"\rb;3\r', newline="")
+    rows, _ = read_csv_rows(spark, [str(tmp_path / "a.csv")])
+    assert sorted(tuple(r.cells) for r in rows.collect()) == [("a", "1\r2"), ("b", "3")]

@@ -9,7 +9,7 @@ from sheetwright.functions import messages as M
 from sheetwright.functions import text as X
 from sheetwright.operators import clean, fragments, questions as Q, registry as R
 from sheetwright.plans.ingest import ingest_images, ingest_pages
-from sheetwright.plans.session import new_path
+from sheetwright.plans.session import new_path, written
 from sheetwright.sources import csvtables, markdown, pages, routing, store
 from sheetwright.streaming.chats import stream_current_doc
 from sheetwright.streaming.files import stream_ingest
@@ -85,6 +85,31 @@ def csv_roundtrip(spark, sf):
     return typed.select(c[0]["text"].alias("part_no"), c[1]["text"].alias("name"), c[2]["text"].alias("brand"), c[3]["num"].alias("price"))
 
 
+@query("csv_split_quoted", """SELECT l_returnflag AS flag, count(*) AS n, sum(l_orderkey) AS keys, round(sum(l_extendedprice), 2) AS total,
+        sum(CASE WHEN l_linenumber % 2 = 0 THEN 18 ELSE 0 END) AS note_chars FROM lineitem GROUP BY 1""")
+def csv_split_quoted(spark, sf):
+    """One file of line items, notes in quotes over several lines, read back in many splits."""
+    note = F.when(F.col("l_linenumber") % 2 == 0, F.lit('two "lines";\r\n\nend'))
+    path = new_path(spark, "quoted-csv")
+    table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), note.alias("note"), F.col("l_returnflag").alias("flag"), german(F.col("l_extendedprice")).alias("price")) \
+        .coalesce(1).write.option("sep", ";").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    splits = {"spark.sql.files.maxPartitionBytes": "131072", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in splits}
+    try:
+        for k, v in splits.items():
+            spark.conf.set(k, v)
+        rows, _ = csvtables.read_csv_rows(spark, [path])
+        rows = written(rows, "quoted-rows")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    typed, _ = clean.normalize_rows(rows, "digits_only")
+    cell = lambda i, part: F.col("cells")[i][part]
+    return typed.groupBy(cell(2, "text").alias("flag")).agg(
+        F.count("*").alias("n"), F.sum(cell(0, "num")).cast("long").alias("keys"), F.round(F.sum(cell(3, "num")), 2).alias("total"),
+        F.coalesce(F.sum(F.length(cell(1, "text"))), F.lit(0)).alias("note_chars"))
+
+
 @query("csv_wide_table", """SELECT p_brand, round(sum(p_retailprice), 2) AS total, count(*) AS n FROM part GROUP BY 1""")
 def csv_wide_table(spark, sf):
     """One table in one separator, read with ordinary columns and typed."""
