@@ -31,8 +31,9 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import types as T
+from pyspark import cloudpickle
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..plans.session import remove_written, written, written_paths
 from .expr import whole
@@ -216,15 +217,17 @@ def contaminated(docs: DataFrame, tests: DataFrame, keep: list[str], text: str =
             rows = written(rows, "searched")
             remove_written(spark, earlier)
             earlier = written_paths()[-1:]
-        rows = _searched(rows, spark.sparkContext.broadcast(Tests(known.where(kind == number).toArrow())), schema)
+        tests_here = cloudpickle.dumps(Tests(known.where(kind == number).toArrow()))
+        rows = _searched(rows, spark.sparkContext.broadcast(tests_here), schema)
     return rows.drop("text")
 
 
-def _searched(rows: DataFrame, tests, schema: T.StructType) -> DataFrame:
+def _searched(rows: DataFrame, tests: Broadcast, schema: T.StructType) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = cloudpickle.loads(tests.value)
         for batch in batches:
             texts, before = batch.column("text").to_pylist(), list(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()))
-            n_words, spans, items = zip(*tests.value.search(texts, before)) if texts else ((), (), ())
+            n_words, spans, items = zip(*known.search(texts, before)) if texts else ((), (), ())
             columns = {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, batch.schema.field("spans").type),
                        "items": pa.array(items, batch.schema.field("items").type)}
             yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], batch.schema.names)
