@@ -85,8 +85,8 @@ def csv_roundtrip(spark, sf):
     return typed.select(c[0]["text"].alias("part_no"), c[1]["text"].alias("name"), c[2]["text"].alias("brand"), c[3]["num"].alias("price"))
 
 
-@query("csv_split_quoted", """SELECT l_returnflag AS flag, count(*) AS n, sum(l_orderkey) AS keys, round(sum(l_extendedprice), 2) AS total,
-        sum(CASE WHEN l_linenumber % 2 = 0 THEN 18 ELSE 0 END) AS note_chars FROM lineitem GROUP BY 1""")
+@query("csv_split_quoted", """SELECT l_returnflag AS flag, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys, round(sum(l_extendedprice), 2) AS total,
+        CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN 18 ELSE 0 END) AS BIGINT) AS note_chars FROM lineitem GROUP BY 1""")
 def csv_split_quoted(spark, sf):
     """One file of line items, notes in quotes over several lines, read back in many splits."""
     note = F.when(F.col("l_linenumber") % 2 == 0, F.lit('two "lines";\r\n\nend'))
