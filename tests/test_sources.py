@@ -14,7 +14,8 @@ from sheetwright.plans.ingest import ingest_csv
 from sheetwright.sources.csvtables import _options, first_filled_line, guess_separator, read_csv_rows, read_csv_table
 from sheetwright.sources.quoted import quoted_records
 from sheetwright.sources.store import read_document, read_table, retire, write_batch
-from sheetwright.streaming.files import stream_ingest
+from sheetwright.streaming.faults import failing
+from sheetwright.streaming.files import ingest_batch, stream_ingest, with_file_path
 
 
 def is_utf8(raw):
@@ -155,8 +156,6 @@ def test_stream_takes_each_content_once(spark, tmp_path):
 
 
 def test_repeated_batch_leaves_the_same_state(spark, tmp_path):
-    from sheetwright.streaming.files import ingest_batch, with_file_path
-
     (tmp_path / "a.csv").write_text("part,qty\nA,1\n")
     files = with_file_path(spark.read.format("binaryFile").load(str(tmp_path / "a.csv")))
     for _ in range(2):
@@ -279,3 +278,42 @@ def test_quoted_line_ends_of_one_carriage_return(spark, tmp_path):
     (tmp_path / "a.csv").write_text('k;v\ra;"1\r2"\rb;3\r', newline="")
     rows, _ = read_csv_rows(spark, [str(tmp_path / "a.csv")])
     assert sorted(tuple(r.cells) for r in rows.collect()) == [("a", "1\r2"), ("b", "3")]
+
+
+def test_one_bad_file_does_not_stop_the_others(spark, tmp_path):
+    """Every file of a batch is stored, a duplicate, or in quarantine with a reason."""
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    for i in range(7):
+        (src / f"f{i}.csv").write_text(f"k,v\nA{i},{i}\n")
+    (src / "copy.csv").write_text("k,v\nA3,3\n")
+    (src / "notes.txt").write_text("no table")
+    (src / "huge.csv").write_text("k,v\n" + "B,1\n" * 1000)
+    (src / "torn.csv").write_text("k,v\nC,9\n")
+    listed = with_file_path(spark.read.format("binaryFile").load(str(src))).select("path", "modificationTime").collect()
+    (src / "f5.csv").unlink()  # gone between listing and reading
+    (src / ".torn.csv.crc").write_bytes(b"crc\0\0\0\2\0\0\0\0\0")  # does not match the content
+    files = spark.createDataFrame(listed, "path string, modificationTime timestamp")
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")
+    try:
+        for _ in range(2):
+            ingest_batch(files, 3, str(out))
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    name = lambda r: r.path.rsplit("/", 1)[1]
+    outcome = {name(r): r.outcome for r in read_table(spark, str(out / "files")).collect()}
+    assert len(outcome) == 11 and [n for n, o in outcome.items() if o == "duplicate"] in (["copy.csv"], ["f3.csv"])
+    reasons = {name(r): r.reason for r in read_table(spark, str(out / "quarantine")).collect()}
+    assert sorted(reasons) == ["f5.csv", "huge.csv", "notes.txt", "torn.csv"] == sorted(n for n, o in outcome.items() if o == "quarantine")
+    assert "exceeds" in reasons["huge.csv"] and "hecksum" in reasons["torn.csv"] and all(reasons.values())
+    assert read_table(spark, str(out / "registry")).count() == 6
+    assert sorted(r.v for r in read_table(spark, str(out / "rows")).select(F.col("cells")[1]["num"].alias("v")).collect()) == [0, 1, 2, 3, 4, 6]
+
+
+def test_a_fault_of_no_file_is_raised(spark):
+    def full(paths):
+        spark.range(1).select(F.raise_error(F.lit("disk full"))).collect()
+
+    with pytest.raises(Exception, match="disk full"):
+        failing(["a", "b"], full)

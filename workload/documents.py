@@ -12,7 +12,7 @@ from sheetwright.plans.ingest import ingest_images, ingest_pages
 from sheetwright.plans.session import new_path, written
 from sheetwright.sources import csvtables, markdown, pages, routing, store
 from sheetwright.streaming.chats import stream_current_doc
-from sheetwright.streaming.files import stream_ingest
+from sheetwright.streaming.files import ingest_batch, stream_ingest, with_file_path
 
 from .registry import query
 from .render import (
@@ -374,6 +374,25 @@ def stream_ingest_once(spark, sf):
                     F.round(F.sum(F.col("cells")[2]["num"]), 2).alias("total"))
 
 
+@query("stream_one_bad_file", """WITH n AS (SELECT count(DISTINCT s_nationkey) AS n, min(s_nationkey) AS first FROM supplier)
+    SELECT 'stored' AS outcome, n - 1 AS files, (SELECT round(sum(s_acctbal), 2) FROM supplier WHERE s_nationkey <> first) AS total FROM n
+    UNION ALL SELECT 'duplicate', n - 2, NULL FROM n UNION ALL SELECT 'quarantine', 3, NULL FROM n""")
+def stream_one_bad_file(spark, sf):
+    """Three of the supplier files are gone when they are read: both of one nation, one of another."""
+    path, out = write_supplier_files(spark, sf), new_path(spark, "ingested")
+    files = written(with_file_path(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)).select("path", "modificationTime"), "listed")
+    nation = F.regexp_extract("path", "nation=([0-9]+)", 1).cast("int")
+    ends = files.agg(F.min(nation).alias("first"), F.max(nation).alias("last")).first()
+    gone = files.where((nation == ends["first"]) | ((nation == ends["last"]) & F.contains("path", F.lit("copy=1"))))
+    for r in gone.collect():
+        place = spark._jvm.org.apache.hadoop.fs.Path(r.path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, False)
+    ingest_batch(files, 0, out, "digits_only")
+    outcomes = store.read_table(spark, out + "/files").groupBy("outcome").agg(F.count("*").alias("files"))
+    total = store.read_table(spark, out + "/rows").agg(F.round(F.sum(F.col("cells")[2]["num"]), 2).alias("total")).withColumn("outcome", F.lit("stored"))
+    return outcomes.join(total, "outcome", "left").select("outcome", "files", "total")
+
+
 @query("live_registry", """SELECT e.event_id, e.user_id AS chat_id FROM events e
     WHERE e.event_type = 'signup' AND EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.event_id)""")
 def live_registry(spark, sf):
