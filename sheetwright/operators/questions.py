@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import squeeze
 from ..plans.session import written
 from .ordered import ROWS_PER_RANGE, rank_within, running_sum
+from .profile import column_names
 
 
 def total(df: DataFrame, col: str, where: Column | None = None) -> DataFrame:
@@ -140,9 +142,33 @@ def in_interval(
     return joined.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("stretch")
 
 
-def cross_doc(typed_rows: DataFrame, col_no: int) -> DataFrame:
-    """One numeric column of like tables over all documents."""
-    value = F.try_element_at("cells", F.lit(col_no + 1))["num"]
-    return typed_rows.select("doc_id", "table_name", value.alias("value")).groupBy("table_name").agg(
-        F.sum("value").alias("total"), F.count("value").alias("n"), F.count_distinct("doc_id").alias("n_docs")
-    )
+def table_signatures(headers: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Every column with its table's ``signature``: the same for tables whose columns have the same names and types in any order.
+
+    Names are compared squeezed and without case; of columns of a table with
+    the same name and type the first is the first of another, and so on
+    (``nth``).
+    """
+    key = ["doc_id", "table_name"]
+    columns = column_names(headers).withColumn("name", F.lower("name")).join(decisions.select(*key, "col_no", "type"), [*key, "col_no"])
+    nth = F.row_number().over(Window.partitionBy(*key, "name", "type").orderBy("col_no"))
+    columns = columns.withColumn("nth", nth)
+    listed = F.array_sort(F.collect_list(F.struct("name", "type", "nth")))
+    tables = columns.groupBy(*key).agg(F.sha2(F.to_json(listed), 256).alias("signature"))
+    return columns.join(tables, key).select(*key, "col_no", "name", "nth", "type", "signature")
+
+
+def cross_doc(cells: DataFrame, headers: DataFrame, decisions: DataFrame, name: str | None = None) -> DataFrame:
+    """Numeric columns, or the one called ``name``, of like tables over all documents.
+
+    Tables are alike when their signatures are, whatever they are called and in
+    whatever order their columns stand; unlike ones are never added up. The
+    cells are totalled per table before anything is joined.
+    """
+    columns = table_signatures(headers, decisions)
+    if name is not None:
+        columns = columns.where(F.col("name") == F.lower(squeeze(F.lit(name))))
+    found = all_totals(cells).join(columns, ["doc_id", "table_name", "col_no"])
+    return found.groupBy("signature", "name", "nth").agg(
+        F.sum("total").alias("total"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"),
+        F.sum("n").alias("n"), F.count_distinct("doc_id").alias("n_docs"))

@@ -176,3 +176,25 @@ def test_an_order_of_nulls_only(spark):
     df = spark.createDataFrame([("k", None, i) for i in range(9)], "k string, o string, v bigint")
     assert {r.out for r in running_sum(df, ["k"], ["o"], "v", "out", 2).collect()} <= {sum(range(i + 1)) for i in range(9)} | {36}
     assert sorted(r.out for r in numbered(df, ["k"], ["o", "v"], "out", 2).collect()) == list(range(1, 10))
+
+
+def test_tables_are_alike_by_names_and_types(spark):
+    from sheetwright.operators.questions import cross_doc, table_signatures
+
+    tables = {  # (names, types) per document
+        "a": (["Betrag", "Jahr"], ["number", "text"]),
+        "b": (["JAHR ", " betrag"], ["text", "number"]),  # other order and case
+        "c": (["Betrag", "Jahr"], ["number", "number"]),  # other type
+        "d": (["Betrag", "Jahr", "Ort"], ["number", "text", "text"]),  # one more
+        "e": (["Wert", "Wert"], ["number", "number"]),  # names made distinct
+        "f": (["Wert", "Wert"], ["number", "number"])}
+    headers = spark.createDataFrame([(d, "table1", n) for d, (n, _) in tables.items()], "doc_id string, table_name string, header array<string>")
+    decisions = spark.createDataFrame([(d, "table1", i, t) for d, (_, ts) in tables.items() for i, t in enumerate(ts)], "doc_id string, table_name string, col_no int, type string")
+    signed = {r.doc_id: r.signature for r in table_signatures(headers, decisions).collect()}
+    assert signed["a"] == signed["b"] and signed["e"] == signed["f"] and len(set(signed.values())) == 4
+    cells = spark.createDataFrame([(d, "table1", i, float(10 ** i * (k + 1))) for k, (d, (n, _)) in enumerate(tables.items()) for i in range(len(n))],
+                                  "doc_id string, table_name string, col_no int, num double")
+    found = {(r.signature, r.name): (r.total, r.n, r.n_docs) for r in cross_doc(cells, headers, decisions, "BETRAG").collect()}
+    assert found == {(signed["a"], "betrag"): (1.0 + 20.0, 2, 2), (signed["c"], "betrag"): (3.0, 1, 1), (signed["d"], "betrag"): (4.0, 1, 1)}
+    every = cross_doc(cells, headers, decisions).where(F.col("signature") == signed["e"]).collect()
+    assert sorted((r.total, r.n_docs) for r in every) == [(11.0, 2), (110.0, 2)]

@@ -108,10 +108,39 @@ def q_all_docs_frequent(spark, sf):
     return Q.all_frequent(clean.to_cells(typed)).drop("table_name")
 
 
+def _headers(rows, names):
+    return rows.select("doc_id", "table_name").distinct().withColumn("header", F.array(*[F.lit(n) for n in names]))
+
+
 @query("q_cross_doc", "SELECT round(sum(o_totalprice), 2) AS total, count(*) AS n, count(DISTINCT o_custkey) AS n_docs FROM orders")
 def q_cross_doc(spark, sf):
-    typed, _ = clean.normalize_rows(_order_docs(spark, sf), "digits_only")
-    return _rounded(Q.cross_doc(typed, 1), "total").drop("table_name")
+    rows = _order_docs(spark, sf)
+    rows = rows.withColumn("cells", F.array(F.col("cells")[0], F.col("cells")[1], F.col("cells")[3]))
+    typed, decisions = clean.normalize_rows(rows, "digits_only")
+    found = Q.cross_doc(clean.to_cells(typed), _headers(rows, ["Rang", "Betrag", "Status"]), decisions, "Betrag")
+    return _rounded(found, "total").select("total", "n", "n_docs")
+
+
+@query("q_cross_doc_by_signature", """SELECT 'orders' AS kind, round(sum(o_totalprice), 2) AS total, count(*) AS n, count(DISTINCT o_custkey) AS n_docs FROM orders
+    UNION ALL SELECT 'suppliers', round(sum(s_acctbal), 2), count(*), count(DISTINCT s_nationkey) FROM supplier""")
+def q_cross_doc_by_signature(spark, sf):
+    """Two kinds of documents whose tables have one name: orders, with columns in two orders and letter cases, and suppliers."""
+    o, s = spread(table(spark, sf, "orders")), table(spark, sf, "supplier")
+    price, status = german(F.col("o_totalprice")), F.concat(F.lit("Status "), F.col("o_orderstatus"))
+    odd = F.col("o_custkey") % 2 == 1
+    orders = o.select(F.concat(F.lit("o"), F.col("o_custkey")).alias("doc_id"), F.lit("table1").alias("table_name"), F.col("o_orderkey").alias("row_no"),
+                      F.when(odd, F.array(price, status)).otherwise(F.array(status, price)).alias("cells"))
+    suppliers = s.select(F.concat(F.lit("s"), F.col("s_nationkey")).alias("doc_id"), F.lit("table1").alias("table_name"), F.col("s_suppkey").alias("row_no"),
+                         F.array(F.col("s_name"), german(F.col("s_acctbal"))).alias("cells"))
+    rows = orders.unionByName(suppliers)
+    names = F.when(F.startswith("doc_id", F.lit("s")), F.array(F.lit("Name"), F.lit("Betrag"))).when(
+        F.substring("doc_id", 2, 20).cast("int") % 2 == 1, F.array(F.lit("Betrag"), F.lit("Status"))).otherwise(F.array(F.lit("STATUS"), F.lit(" betrag ")))
+    headers = rows.select("doc_id", "table_name").distinct().withColumn("header", names)
+    typed, decisions = clean.normalize_rows(rows, "digits_only")
+    found = _rounded(Q.cross_doc(clean.to_cells(typed), headers, decisions, "Betrag"), "total")
+    kind = Q.table_signatures(headers, decisions).groupBy("signature").agg(
+        F.when(F.min(F.substring("doc_id", 1, 1)) == "o", F.lit("orders")).otherwise(F.lit("suppliers")).alias("kind"))
+    return found.join(kind, "signature").select("kind", "total", "n", "n_docs")
 
 
 @query("q_top_k", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 10")
