@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import squeeze
 from ..plans.session import written
@@ -125,21 +126,53 @@ def total_cube(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     )
 
 
-def in_interval(
-    points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: float
-) -> DataFrame:
+def _number(df: DataFrame, name: str) -> Column:
+    """A number that grows with the column; dates and moments become days and seconds."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.col(name).cast("timestamp").cast("double")
+    return F.col(name).cast("double")
+
+
+def _celled(df: DataFrame, cuts: list[float], cells: dict[str, str]) -> DataFrame:
+    """Add for columns the number of the cell between cut points that their value is in."""
+    for name, out in cells.items():
+        cutter = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="cell_value", outputCol=out, handleInvalid="keep")
+        df = cutter.transform(df.withColumn("cell_value", _number(df, name))).drop("cell_value").withColumn(out, F.col(out).cast("long"))
+    return df
+
+
+def in_interval(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, levels: int = 12) -> DataFrame:
     """Join points with the intervals ``low <= point < high`` that hold them.
 
-    Intervals are listed under every stretch of length ``width`` they touch,
-    so the join has an equality on the stretch and never compares all pairs.
+    The axis is cut into up to 2 ** ``levels`` cells at quantiles of the
+    intervals' ends, and cells are paired level by level into larger ones. An
+    interval, however wide, is covered by at most two cells of each level, and
+    a point is in one cell of each; so both sides meet on equal cells, no pair
+    meets twice, and no pairs are compared but those that share a cell. Values
+    that are null are in no interval, and NaN is in none either.
     """
-    def stretch(c: Column) -> Column:
-        return F.floor(c / width)
-
-    listed = intervals.withColumn("stretch", F.explode(F.sequence(stretch(F.col(low)), stretch(F.col(high)))))
-    placed = points.withColumn("stretch", stretch(F.col(point)))
-    joined = placed.join(listed, "stretch")
-    return joined.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("stretch")
+    ends = intervals.select(F.explode(F.array(_number(intervals, low), _number(intervals, high))).alias("end")).where("end IS NOT NULL AND NOT isnan(end)")
+    shares = [i / (1 << levels) for i in range(1, 1 << levels)]
+    cuts = ends.agg(F.percentile_approx("end", shares, 4 << levels).alias("cuts")).first()["cuts"] or []
+    cuts = sorted({c for c in cuts if abs(c) != float("inf")}) or [0.0]
+    depth = max(1, len(cuts)).bit_length()
+    real = lambda df, c: F.col(c).isNotNull() & ~F.isnan(_number(df, c))
+
+    placed = _celled(points.where(real(points, point)), cuts, {point: "point_cell"})
+    placed = placed.withColumn("cell", F.explode(F.expr(f"transform(sequence(0, {depth}), k -> struct(k AS level, shiftright(point_cell, k) AS place))")))
+    listed = _celled(intervals.where(real(intervals, low) & real(intervals, high) & (F.col(low) < F.col(high))), cuts, {low: "low_cell", high: "high_cell"})
+    # On each level: the first whole cell if it is the second of its pair, and the last if it is the first of its pair.
+    covers = f"""flatten(transform(sequence(0, {depth}), k -> filter(array(
+        if(shiftright(low_cell + (1L << k) - 1, k) % 2 = 1, struct(k AS level, shiftright(low_cell + (1L << k) - 1, k) AS place), NULL),
+        if(shiftright(high_cell + 1, k) % 2 = 1 AND NOT (shiftright(low_cell + (1L << k) - 1, k) % 2 = 1 AND shiftright(low_cell + (1L << k) - 1, k) + 1 = shiftright(high_cell + 1, k)),
+           struct(k AS level, shiftright(high_cell + 1, k) - 1 AS place), NULL)),
+        c -> c IS NOT NULL AND shiftright(low_cell + (1L << k) - 1, k) < shiftright(high_cell + 1, k))))"""
+    listed = listed.withColumn("cell", F.explode(F.expr(covers)))
+    joined = placed.join(listed, "cell")
+    return joined.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("cell", "point_cell", "low_cell", "high_cell")
 
 
 def table_signatures(headers: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -129,11 +129,23 @@ def test_running_total_has_one_row_per_moment(spark):
     assert got == [("a", 1, 5.0), ("a", 4, 6.0), ("b", 2, 5.0)]
 
 
-def test_interval_join_compares_no_far_pairs(spark):
-    points = spark.createDataFrame([(i, i * 1.7) for i in range(200)], "p int, x double")
-    spans = spark.createDataFrame([(i, i * 11.0, i * 11.0 + 25.0) for i in range(30)], "s int, low double, high double")
-    got = sorted((r.p, r.s) for r in in_interval(points, spans, "x", "low", "high", 10.0).collect())
-    assert got == sorted((p, s) for p in range(200) for s in range(30) if s * 11.0 <= p * 1.7 < s * 11.0 + 25.0)
+@pytest.mark.parametrize("levels", [1, 3, 12])
+def test_interval_join_of_widths_of_all_sizes(spark, levels):
+    rnd = random.Random(levels)
+    points = [(i, rnd.choice([rnd.uniform(-1e6, 1e6), rnd.uniform(-5, 5), 0.0, None, float("nan"), 1e9])) for i in range(150)]
+    spans = [(i, x := rnd.choice([rnd.uniform(-1e6, 1e6), rnd.uniform(-5, 5), 0.0]), x + 10 ** rnd.uniform(-3, 9)) for i in range(60)]
+    spans += [(60, 5.0, 5.0), (61, 9.0, 1.0), (62, None, 3.0), (63, float("-inf"), float("inf")), (64, 0.0, float("nan"))]
+    df = in_interval(spark.createDataFrame(points, "p int, x double"), spark.createDataFrame(spans, "s int, low double, high double"), "x", "low", "high", levels)
+    got = sorted((r.p, r.s) for r in df.collect())
+    assert got == sorted((p, s) for p, x in points for s, lo, hi in spans if x is not None and lo is not None and lo <= x < hi)
+
+
+def test_a_wide_interval_has_few_pieces(spark):
+    days = spark.createDataFrame([(i, date(2000, 1, 1) + timedelta(i)) for i in range(300)], "p int, x date")
+    spans = [(i, date(2000, 1, 1) + timedelta(i * 3), date(2000, 1, 1) + timedelta(i * 3 + 2 ** (i % 20))) for i in range(100)]
+    df = in_interval(days, spark.createDataFrame(spans, "s int, low date, high date"), "x", "low", "high")
+    assert df.count() == sum(1 for i in range(300) for _, lo, hi in spans if lo <= date(2000, 1, 1) + timedelta(i) < hi)
+    assert in_interval(days, spark.createDataFrame([], "s int, low date, high date"), "x", "low", "high").isEmpty()
 
 
 def test_most_frequent_per_column(spark):

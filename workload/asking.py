@@ -190,10 +190,21 @@ def q_join_full(spark, sf):
 def q_join_interval(spark, sf):
     points = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
     intervals = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 250).alias("high"))
-    joined = Q.in_interval(points, intervals, "c_acctbal", "low", "high", 250.0)
+    joined = Q.in_interval(points, intervals, "c_acctbal", "low", "high")
     return joined.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first"))
 
 
+@query("q_join_interval_mixed", """SELECT c_custkey, count(*) AS n, min(s_suppkey) AS first, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM customer
+    JOIN supplier ON c_acctbal >= s_acctbal AND c_acctbal < s_acctbal + power(10, s_suppkey % 7 - 1) GROUP BY 1""")
+def q_join_interval_mixed(spark, sf):
+    """Intervals whose widths go over six orders of magnitude."""
+    points = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    width = F.pow(F.lit(10.0), F.col("s_suppkey") % 7 - 1)
+    intervals = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + width).alias("high"))
+    joined = Q.in_interval(points, intervals, "c_acctbal", "low", "high")
+    return joined.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first"), F.sum("s_suppkey").alias("keys"))
+
+
 @query("q_rollup", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS total, count(*) AS n,
         CAST(grouping(l_returnflag, l_linestatus) AS INTEGER) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
 def q_rollup(spark, sf):
