@@ -11,8 +11,7 @@ it.
 The corrections come from a frequent-pattern tree. A term is a row of its
 counts that are not zero, in the order of the sources. Equal rows are one with
 a multiplicity, rows are put in order, and each task inserts its range of them
-into a tree, of which it holds only the path to the last row: a node is done
-when the next row leaves it. Terms that share the beginning of their rows share
+into trees of bounded size. Terms that share the beginning of their rows share
 nodes, and for each node and each of its ancestors the correction is worked out
 once and counted as often as terms pass the node.
 
@@ -31,7 +30,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.joining import join_back
@@ -42,39 +43,68 @@ from .tables import joined, small_batches
 # ASCII letters and everything beyond ASCII, in UTF-8.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-# So many distinct (language, source, term) are held by a task before they are passed on.
-HELD = 300_000
-# So many corrections are held before equal pairs are added up.
-PAIRS = 1_000_000
+# Bytes of text whose terms a task counts at once.
+BLOCK = 8_000_000
+# Places of the rows that are inserted into a tree at once.
+PLACES = 1_000_000
 SCALE = 1_000_000_000
 
 
+NAMES = ["lang", "source", "term", "n", "d"]
+
+
+def _rows(lang: str, sources: np.ndarray, terms: np.ndarray, n: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()),
+                                       pa.array(n, pa.int64()), pa.array(d, pa.int64())], NAMES)
+
+
+def _long(lang: str, source: str, text: bytes) -> Iterator[pa.RecordBatch]:
+    """Counts of one text of more than a block, taken in parts that end between terms."""
+    uses, at = Counter(), 0
+    while at < len(text):
+        inside = TERM.match(text, end - 1) if (end := at + BLOCK) < len(text) else None
+        end = inside.end() if inside else end
+        uses.update(TERM.findall(text, at, end))
+        at = end
+    terms, n = np.array(list(uses), dtype=object), np.array(list(uses.values()), dtype=np.int64)
+    yield _rows(lang, np.full(len(n), source, dtype=object), terms, n, np.ones(len(n), dtype=np.int64))
+
+
+def _block(lang: str, sources: list[str], texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """Counts of the terms of some texts of a language, each with its source, equal terms next to each other."""
+    tokens = [t for terms in texts for t in terms]
+    if tokens:
+        places, terms = pd.factorize(np.array(tokens, dtype=object))
+        source, names = pd.factorize(np.array(sources, dtype=object))
+        doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        # A text's uses of a term, then the texts of a source.
+        key, n = np.unique(places * len(texts) + doc, return_counts=True)
+        key = key // len(texts) * len(names) + source[key % len(texts)]
+        key, at, d = np.unique(key, return_inverse=True, return_counts=True)
+        yield _rows(lang, names[key % len(names)], terms[key // len(names)], np.bincount(at, n).astype(np.int64), d)
+
+
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Per (lang, source, term) the occurrences ``n`` and documents ``d``, dealt by language and term."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "source", "term", "n", "d"]
-
-        def rows(uses: dict, seen: dict) -> Iterator[pa.RecordBatch]:
-            # In the order of terms, so that equal ones lie together in what is shuffled.
-            flat = sorted((lang, term, source, n, seen[lang, source][term]) for (lang, source), c in uses.items() for term, n in c.items())
-            for i in range(0, len(flat), 50_000):
-                langs, terms, sources, n, d = zip(*flat[i : i + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(sources), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n), pa.array(d)], names)
-
-        uses, seen, held = defaultdict(Counter), defaultdict(Counter), 0
+        waiting, size = defaultdict(lambda: ([], [])), 0
         for batch in batches:
             for lang, source, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                terms = TERM.findall(t.as_py().translate(LOWER))
-                uses_here, seen_here = uses[lang, source], seen[lang, source]
-                held -= len(uses_here)
-                uses_here.update(terms)
-                seen_here.update(set(terms))
-                held += len(uses_here)
-                if held >= HELD:
-                    yield from rows(uses, seen)
-                    uses, seen, held = defaultdict(Counter), defaultdict(Counter), 0
-        yield from rows(uses, seen)
+                t = t.as_py().translate(LOWER)
+                if len(t) > BLOCK:
+                    yield from _long(lang, source, t)
+                    continue
+                sources, texts = waiting[lang]
+                sources.append(source)
+                texts.append(TERM.findall(t))
+                size += len(t)
+                if size >= BLOCK:
+                    for lang_here, some in waiting.items():
+                        yield from _block(lang_here, *some)
+                    waiting, size = defaultdict(lambda: ([], [])), 0
+        for lang_here, some in waiting.items():
+            yield from _block(lang_here, *some)
 
     texts = small_batches(docs).select(whole(lang).alias("lang"), whole(source).alias("source"), whole(text).cast("binary").alias("text"))
     parts = texts.mapInArrow(counted, "lang string, source string, term string, n long, d long")
@@ -91,75 +121,75 @@ def distance(p: str, q: str) -> Column:
     return F.expr(f"({p} - {q}) * ({p} - {q}) DIV ({p} + {q})")
 
 
-def _tree(rows: DataFrame) -> DataFrame:
-    """Sums of the corrections of all pairs of sources, one row per pair and batch of a task."""
-
-    def inserted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sources, place = [], {}
-        lang, path, uses = None, [], []
-        # The path from the root to the last row's end: source, share, share without uses.
-        node = [np.empty(64, dtype=np.int64) for _ in range(3)]
-        done, size = [], 0
-
-        def leave(depth: int) -> None:
-            """Nodes below ``depth`` are complete: each with each of its ancestors."""
-            nonlocal size
-            while len(path) > depth:
-                at, times = len(path) - 1, uses.pop()
-                path.pop()
-                if uses:
-                    uses[-1] += times
-                if at:
-                    (s, t), (p, q), (p0, q0) = [(a[:at], a[at]) for a in node]
-                    more = _differ(p, q) - _differ(p, q0) - _differ(p0, q) + _differ(p0, q0)
-                    done.append((s.copy(), np.full(at, t), more * times))
-                    size += at
-
-        def sums() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            if done:
-                s, t, more = (np.concatenate(a) for a in zip(*done))
-                keys, at = np.unique(s * len(sources) + t, return_inverse=True)
-                value = np.zeros(len(keys), dtype=np.int64)
-                np.add.at(value, at, more)
-                names = np.array(sources, dtype=object)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(names[keys // len(sources)], pa.string()),
-                                                  pa.array(names[keys % len(sources)], pa.string()), pa.array(value)], ["lang", "source", "item", "value"])
-                done.clear()
-                size = 0
+def _differ(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) * (p - q) // (p + q)
 
-        for batch in batches:
-            for lang_here, items, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if lang_here != lang:
-                    leave(0)
-                    yield from sums()
-                    lang, sources, place = lang_here, [], {}
-                row = [(i["source"], i["n"]) for i in items]
-                same = 0
-                while same < min(len(row), len(path)) and row[same] == path[same]:
-                    same += 1
-                leave(same)
-                if len(row) > len(node[0]):
-                    node = [np.concatenate([a, np.empty(len(row), dtype=np.int64)]) for a in node]
-                for depth in range(same, len(row)):
-                    name = row[depth][0]
-                    if name not in place:
-                        place[name] = len(sources)
-                        sources.append(name)
-                    node[0][depth], node[1][depth], node[2][depth] = place[name], items[depth]["p"], items[depth]["p0"]
-                    path.append(row[depth])
-                    uses.append(0)
-                uses[-1] += times
-                if size >= PAIRS:
-                    yield from sums()
-        leave(0)
-        yield from sums()
-
-    return rows.mapInArrow(inserted, "lang string, source string, item string, value long")
 
+def _inserted(rows: pa.Table) -> pa.RecordBatch:
+    """Sums of the corrections of all pairs of sources, from a tree of ``rows`` in order.
 
-def _differ(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return (p - q) * (p - q) // (p + q)
+    All nodes of one depth are worked on at once. A row's nodes are new from
+    the depth on at which it leaves the row before, and a node's multiplicity
+    is summed up to the next new node of its depth.
+    """
+    langs, sources = rows["lang"].combine_chunks().dictionary_encode(), rows["source"].combine_chunks()
+    lang, size = langs.indices.to_numpy(), pc.list_value_length(sources).to_numpy()
+    deepest = int(size.max())
+    owner = np.repeat(np.arange(len(size)), size)
+    depth = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+
+    def laid(values: np.ndarray) -> np.ndarray:
+        out = np.full((len(size), deepest), -1, dtype=np.int64)
+        out[owner, depth] = values
+        return out
+
+    named = sources.flatten().dictionary_encode()
+    names = named.dictionary.to_numpy(zero_copy_only=False)
+    source = laid(named.indices.to_numpy())
+    n, p, p0 = (laid(rows[c].combine_chunks().flatten().to_numpy()) for c in ("n", "p", "p0"))
+    differs = (source[1:] != source[:-1]) | (n[1:] != n[:-1])
+    leaves = np.where(differs.any(axis=1), differs.argmax(axis=1), deepest)
+    leaves = np.concatenate([[0], np.where(lang[1:] != lang[:-1], 0, leaves)])
+    times = rows["times"].to_numpy()
+
+    keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+    for d in range(1, deepest):
+        new = np.flatnonzero((leaves <= d) & (size > d))
+        if not len(new):
+            continue
+        mine, q, q0 = source[new, d][:, None], p[new, d][:, None], p0[new, d][:, None]
+        above, up, up0 = source[new, :d], p[new, :d], p0[new, :d]
+        passing = np.add.reduceat(np.where(size > d, times, 0), new)
+        more = (_differ(up, q) - _differ(up, q0) - _differ(up0, q) + _differ(up0, q0)) * passing[:, None]
+        key = (lang[new][:, None].astype(np.int64) * len(names) + above) * len(names) + mine
+        keys, at = np.unique(np.concatenate([keys, key.reshape(-1)]), return_inverse=True)
+        both = np.concatenate([sums, more.reshape(-1)])
+        sums = np.zeros(len(keys), dtype=np.int64)
+        np.add.at(sums, at, both)
+    of = lambda codes: pa.array(names[codes], pa.string())
+    return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(keys // len(names) ** 2)), of(keys // len(names) % len(names)), of(keys % len(names)), pa.array(sums)],
+                                      ["lang", "source", "item", "value"])
+
+
+def _tree(rows: DataFrame) -> DataFrame:
+    """Sums of the corrections of pairs of sources, those of each tree in rows of their own.
+
+    ``rows`` are in order of ``lang`` and ``items``; a task inserts as many at
+    once as have about ``PLACES`` places. What two trees share is in both.
+    """
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table, at = pa.Table.from_batches([batch]), 0
+            ends = np.maximum.accumulate(pc.list_value_length(batch.column("source")).to_numpy())
+            while at < table.num_rows:
+                many = np.searchsorted((ends[at:] * np.arange(1, len(ends) - at + 1)), PLACES)
+                many = max(1, int(many))
+                yield _inserted(table.slice(at, many))
+                at += many
+
+    items = [F.col(f"items.{c}").alias(c) for c in ("source", "n", "p", "p0")]
+    return rows.select("lang", "times", *items).mapInArrow(trees, "lang string, source string, item string, value long")
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
