@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 MAX_ROWS = 200
 
@@ -23,6 +23,22 @@ def capped(df: DataFrame, order: list[Column | str], n: int = MAX_ROWS) -> DataF
     )
 
 
+def capped_now(df: DataFrame, order: list[Column | str], n: int = MAX_ROWS) -> DataFrame:
+    """The first ``n`` rows in ``order`` with ``total_rows`` and a ``note``.
+
+    Unlike ``capped``, which stays a plan and asks twice, the question runs
+    once, when this is called: every task keeps its first
+    ``n`` rows and counts all that pass on their way there, so what comes to
+    the driver is ``n`` rows and a number, as for any result that is shown.
+    """
+    passed = Observation()
+    first = df.observe(passed, F.count(F.lit(1)).alias("rows")).orderBy(*order).limit(n).collect()
+    # A result that the optimizer knows to be empty is not run at all.
+    total = passed.get["rows"] if first else 0
+    note = f"only the first {n} of {total} rows are shown" if total > n else None
+    return df.sparkSession.createDataFrame(first, df.schema).withColumns({"total_rows": F.lit(total).cast("long"), "note": F.lit(note).cast("string")})
+
+
 def capped_list(df: DataFrame, list_col: str, n: int = MAX_ROWS) -> DataFrame:
     """First items of a long list and how many there are."""
     return df.withColumn("first_items", F.slice(list_col, 1, n)).withColumn("total_items", F.size(list_col))

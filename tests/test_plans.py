@@ -4,6 +4,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from workload import CHECKS, QUERIES
 
@@ -70,3 +71,24 @@ def test_filters_reach_the_scan(spark):
 
 def test_few_decisions_are_broadcast(spark):
     assert "BroadcastHashJoin" in plan_of(QUERIES["normalize_cells"](spark, SF))
+
+
+def test_a_capped_result_is_computed_once(spark, tmp_path):
+    from sheetwright.operators.results import capped_now
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 5000, 1, 7).withColumn("v", F.col("id") % 13).mapInArrow(count, "id long, v long")
+    out = capped_now(rows, [F.col("v").desc(), "id"], 20)
+    got = out.collect()
+    assert seen.value == 5000
+    assert [r.id for r in got] == [i for v in (12,) for i in range(12, 5000, 13)][:20] and out.columns == ["id", "v", "total_rows", "note"]
+    assert {(r.total_rows, r.note) for r in got} == {(5000, "only the first 20 of 5000 rows are shown")}
+    few = capped_now(spark.range(3).withColumn("x", F.lit(None).cast("string")), ["id"], 20).collect()
+    assert [(r.id, r.x, r.total_rows, r.note) for r in few] == [(i, None, 3, None) for i in range(3)]
+    assert capped_now(spark.range(3).where("id > 9"), ["id"]).isEmpty() and capped_now(spark.range(0), ["id"]).columns == ["id", "total_rows", "note"]
