@@ -6,12 +6,13 @@ from the end of the piece on. Every occurrence of a phrase begins exactly one
 window, so a ROLLUP over the window's columns, which sums successively shorter
 prefixes, gives the count of every phrase of each length.
 
-A phrase that occurs often enough has only words and neighbours that do. Counts
-of words, then of neighbours, are therefore taken first, and a window is also
-null from the first word or neighbour that is too rare on: no count that is
-reported changes, as no such phrase could be. What is frequent is told to the
-tasks by a table of bits of one fixed size, ``SLOTS``, in which a rare pair may
-by chance look frequent and then only costs a row.
+A phrase that occurs often enough has only words and neighbours that do. Words
+and then runs of two and three frequent words are therefore counted first, and
+a window is also null from the first word, pair or triple that is too rare on:
+no count that is reported changes, as no such phrase could be. Runs are counted
+by hash, in ``COUNTERS`` counters dealt over the tasks, and what is frequent is
+told to the tasks by a table of ``SLOTS`` bits. Both have a fixed size, and a
+rare run that meets a frequent one there looks frequent and costs a row.
 
 Texts that are null or empty have no words; an empty table gives no rows.
 Repeated rows count each time; columns other than text and language are not
@@ -30,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..plans.session import written
 from .expr import whole
@@ -44,6 +45,7 @@ LONGEST = 5
 WINDOW = [f"w{i + 1}" for i in range(LONGEST)]
 BLOCK = 8_000_000
 SLOTS = 1 << 26
+COUNTERS, PARTS = 1 << 31, 1 << 10
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,34 +89,78 @@ def _hashed(words: np.ndarray, lang: str) -> np.ndarray:
     return both[:-1] ^ (both[-1:] * MIX)
 
 
-def _slots(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-    mixed = first if second is None else (first ^ (second >> np.uint64(29))) * MIX + second
-    return (mixed * MIX) >> np.uint64(64 - SLOTS.bit_length() + 1)
+def _joined(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of runs that are one word longer."""
+    return (hashes ^ (hashes >> np.uint64(29))) * MIX + word
 
 
-def _has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
+def _counters(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * MIX) >> np.uint64(65 - COUNTERS.bit_length())).astype(np.uint32)
 
 
-def _bits(rows: DataFrame, columns: list[str]) -> Broadcast:
-    """A table of ``SLOTS`` bits with those of the rows' languages and words set, on every executor."""
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the counters' bits are set; a bit stands for as many counters as there are for each bit."""
+    slots = _counters(hashes) // np.uint32(COUNTERS // SLOTS)
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
-    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bits(spark: SparkSession, cells: pa.Table) -> Broadcast:
+    """A table of ``SLOTS`` bits from ``cell, bits``, its parts that are not empty, on every executor."""
+    bits = np.zeros((PARTS, SLOTS // PARTS // 8), dtype=np.uint8)
+    for cell, value in zip(cells["cell"].to_pylist(), cells["bits"].to_pylist()):
+        bits[cell] = np.frombuffer(value, np.uint8)
+    return spark.sparkContext.broadcast(bits.reshape(-1))
+
+
+def _frequent(counted: DataFrame, least: int) -> Broadcast:
+    """Bits of the counters that reach ``least``.
+
+    ``counted`` has a block's counts of one part of the counters in each row:
+    ``cell``, places in the part, and counts, both as unsigned 32-bit integers.
+    """
+    each, bits = COUNTERS // PARTS, COUNTERS // SLOTS
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(cell: int, sums: np.ndarray) -> pa.RecordBatch:
+            often = (sums >= least).reshape(-1, bits).any(axis=1)
+            return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([np.packbits(often, bitorder="little").tobytes()], pa.binary())], ["cell", "bits"])
+
+        now, sums = None, np.zeros(each, dtype=np.int64)
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            words = [np.array(batch.column(i + 1).to_pylist(), dtype=object) for i in range(len(columns))]
-            out = np.empty(batch.num_rows, dtype=np.uint64)
-            for lang in set(langs):
-                here = langs == lang
-                out[here] = _slots(*[_hashed(w[here], lang) for w in words])
-            yield pa.RecordBatch.from_arrays([pa.array(out.astype(np.int64))], ["slot"])
+            for cell, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if cell != now:
+                    if now is not None:
+                        yield row(now, sums)
+                    now, sums = cell, np.zeros(each, dtype=np.int64)
+                sums[np.frombuffer(places, "<u4")] += np.frombuffer(counts, "<u4")
+        if now is not None:
+            yield row(now, sums)
+
+    dealt = counted.repartition("cell").sortWithinPartitions("cell")
+    return _bits(counted.sparkSession, dealt.mapInArrow(marked, "cell int, bits binary").toArrow())
+
+
+def _dealt(counters: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Distinct counters in order, and their counts, as one row for each part of the counters."""
+    each = COUNTERS // PARTS
+    cells = counters // np.uint32(each)
+    edges = np.searchsorted(cells, np.arange(PARTS + 1))
+    some = np.flatnonzero(np.diff(edges))
+    rows = lambda x: pa.array([x[edges[i] : edges[i + 1]].astype("<u4").tobytes() for i in some], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), rows(counters % np.uint32(each)), rows(counts)], ["cell", "places", "counts"])
 
-    marked = rows.select("lang", *[F.col(c).cast("binary") for c in columns]).mapInArrow(slots_of, "slot long")
-    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
-    cells = marked.groupBy(F.shiftright("slot", 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bits = np.zeros(SLOTS // 64, dtype=np.uint64)
-    bits[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
-    return rows.sparkSession.sparkContext.broadcast(bits)
+
+def _summed(counters: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct counters in order and how often each occurs."""
+    if counts is not None:
+        distinct, at = np.unique(counters, return_inverse=True)
+        return distinct, np.bincount(at, counts, len(distinct)).astype(np.int64)
+    counters = np.sort(counters)
+    edges = np.flatnonzero(np.concatenate([[True], counters[1:] != counters[:-1], [True]])) if len(counters) else np.zeros(1, np.int64)
+    return counters[edges[:-1]], np.diff(edges)
+
+
+DEALT = "cell int, places binary, counts binary"
 
 
 def _texts(words: np.ndarray) -> pa.Array:
@@ -135,38 +181,59 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("a"))
 
 
-def _pair_counts(texts: DataFrame, frequent: Broadcast) -> DataFrame:
-    """Per language and two neighbours, both frequent, the number of occurrences."""
+def _word_counters(words: DataFrame) -> DataFrame:
+    """Counters of the words of ``lang, word``, each as often as ``a``."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, names = (np.array(batch.column(i).to_pylist(), dtype=object) for i in range(2))
+            hashes = np.empty(batch.num_rows, dtype=np.uint64)
+            for lang in set(langs):
+                hashes[langs == lang] = _hashed(names[langs == lang], lang)
+            yield _dealt(*_summed(_counters(hashes), np.minimum(batch.column(2).to_numpy(), 1 << 31)))
+
+    return words.select("lang", F.col("word").cast("binary"), "a").mapInArrow(counts, DEALT)
+
+
+def _run_counters(texts: DataFrame, frequent: Broadcast) -> DataFrame:
+    """Counters of the runs of two and three frequent words."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, places in _blocks(batches):
-            known = np.append(_has(frequent.value, _slots(_hashed(words, lang))), False)
-            keys = (places[:-1] * len(words) + places[1:])[known[places[:-1]] & known[places[1:]]]
-            keys, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), _texts(words[keys // len(words)]), _texts(words[keys % len(words)]),
-                                              pa.array(n)], ["lang", "w1", "w2", "n"])
+            hashes = _hashed(words, lang)
+            known = np.append(_has(frequent.value, hashes), False)[places]
+            first = np.flatnonzero(known[:-1] & known[1:])
+            pairs = _joined(hashes[places[first]], hashes[places[first + 1]])
+            longer = first + 2 < len(places)
+            longer[longer] = known[first[longer] + 2]
+            triples = _joined(pairs[longer], hashes[places[first[longer] + 2]])
+            yield _dealt(*_summed(np.concatenate([_counters(pairs), _counters(triples)])))
 
-    return texts.mapInArrow(counts, "lang string, w1 string, w2 string, n long").groupBy("lang", "w1", "w2").agg(F.sum("n").alias("a"))
+    return texts.mapInArrow(counts, DEALT)
 
 
-def _windows(texts: DataFrame, frequent: Broadcast, neighbours: Broadcast) -> DataFrame:
-    """Per language the longest windows, each with its lead columns and number, null from the first rare word or neighbour on."""
+def _windows(texts: DataFrame, frequent: Broadcast, runs: Broadcast) -> DataFrame:
+    """Per language the longest windows, each with its lead columns and number, null from the first rare word or run on."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, places in _blocks(batches):
             hashes = _hashed(words, lang)
-            known = np.append(_has(frequent.value, _slots(hashes)), False)
-            first, second = places[:-1], places[1:]
-            near = np.flatnonzero(known[first] & known[second])
-            linked = np.zeros(len(places) + LONGEST, dtype=bool)
-            linked[near[_has(neighbours.value, _slots(hashes[first[near]], hashes[second[near]]))]] = True
-            start = np.flatnonzero(linked)
-            if not len(start):
+            known = np.append(_has(frequent.value, hashes), False)[places]
+            first = np.flatnonzero(known[:-1] & known[1:])
+            pairs = _joined(hashes[places[first]], hashes[places[first + 1]])
+            often = _has(runs.value, pairs)
+            first, pairs = first[often], pairs[often]
+            # Whether a frequent pair, and a frequent triple, begins at a word.
+            two, three = np.zeros(len(places) + LONGEST, dtype=bool), np.zeros(len(places) + LONGEST, dtype=bool)
+            two[first] = True
+            longer = two[first + 1]
+            three[first[longer]] = _has(runs.value, _joined(pairs[longer], hashes[places[first[longer] + 2]]))
+            if not len(first):
                 continue
-            lead, key, going = [places[start]], places[start], np.ones(len(start), dtype=bool)
+            lead, key, going = [places[first]], places[first], np.ones(len(first), dtype=bool)
             for k in range(1, LONGEST):
-                going = going & linked[start + k - 1]
-                lead.append(np.where(going, places[np.minimum(start + k, len(places) - 1)], -1))
+                going = going & (two[first] if k == 1 else three[first + k - 2])
+                lead.append(np.where(going, places[np.minimum(first + k, len(places) - 1)], -1))
                 key = pd.factorize(key * (len(words) + 1) + lead[-1] + 1)[0]
             # One row for each distinct window of the block.
             _, at, n = np.unique(key, return_index=True, return_counts=True)
@@ -208,9 +275,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     counts = written(counts.where((F.col("a") >= least) | F.col("word").isNull()), "words")
     words = counts.where("word IS NOT NULL")
     totals = counts.where("word IS NULL").select("lang", F.col("a").alias("n"))
-    frequent = _bits(words, ["word"])
-    neighbours = _bits(written(_pair_counts(texts, frequent).where(F.col("a") >= least), "neighbours"), ["w1", "w2"])
-    phrases = written(_marginal(_windows(texts, frequent, neighbours), least), "phrases")
+    frequent = _frequent(_word_counters(words), least)
+    runs = _frequent(_run_counters(texts, frequent), least)
+    phrases = written(_marginal(_windows(texts, frequent, runs), least), "phrases")
 
     known = written(phrases.select("lang", "phrase", "a").unionByName(words.select("lang", F.col("word").alias("phrase"), "a")), "counts")
     part = lambda begin, size: F.array_join(F.slice("parts", begin, size), " ")
