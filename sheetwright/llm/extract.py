@@ -3,13 +3,21 @@
 Each page is parsed into blocks of text, each with the path of the containers
 around it: tag and class names, without digits. A page scores its containers
 by the text in their own blocks, less what stands in links. Scores are summed
-per host and path in Spark; every host keeps the paths with at least a tenth
-of its score, best first, so ten at most. Each page is then extracted again:
-all containers on the first of its host's paths that it has, or, where it has
-none, its own best one, and with them what else the article around them holds
-beside lists of links: headline, lead, other sections. Containers whose class, id or role says that they are
-not the article (``sidebar``, ``comment-list``) get a quarter of the score, and are
- left out where they stand beside or inside the one that was voted for.
+per host and path in Spark. The pages that have a path are its template's, and
+they alone vote on it: a host keeps, best first, the paths that have on average
+at least a tenth of the score of the pages they are on, so a host may have many
+templates. Paths on less than a thousandth of a host's pages are left to those
+pages, so a host keeps ten thousand paths at most. Each page is then extracted
+again: all containers on the first of its host's paths that it has, or, where
+it has none, its own best one, and with them what else the article around them
+holds beside lists of links: headline, lead, other sections. Containers whose
+class, id or role says that they are not the article (``sidebar``,
+``comment-list``), and forms, get a quarter of the score, and are left out where
+they stand beside or inside the one that was voted for; a form around the
+article stays. The header of an article is part of it, other headers are not.
+What is not shown, by ``hidden`` or ``display: none``, is left out; what is only
+hidden from screen readers (``aria-hidden``) is shown and stays. Containers more
+than ``DEEPEST`` deep count as part of the one around them.
 
 Cases: a null or empty page, or one without text, gives the empty string; a
 page without a host goes by itself; ties go to the path first in order;
@@ -41,10 +49,11 @@ ATTRIBUTE = re.compile(r"""([^\s/<>][^\s/<>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[
 SPACE = re.compile(r"\s+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in "script style textarea title noscript iframe svg template".split()}
-SKIP = set("nav header footer aside form button select option menu canvas audio video head".split()) | set(RAW)
-BLOCK = set("address article blockquote body caption center dd details dialog div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 html hgroup li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | SKIP
-CONTAINER = set("article body center dialog div main section table tbody td tr html".split())
+SKIP = set("nav header footer aside button label legend select option menu canvas audio video head".split()) | set(RAW)
+BLOCK = set("address article blockquote body caption center dd details dialog div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 html hgroup li main ol p pre section summary table tbody td tfoot th thead tr form ul".split()) | SKIP
+CONTAINER = set("article body center dialog div form main section table tbody td tr html".split())
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 STOP_AT = set("article body div html main ol section table td ul".split())
 # Whole class tokens, ids and roles of containers and lists that speak against the article, alone or with words for their form.
 ASIDE = re.compile(r"(?:(?:{0})[-_]+)*(?:{1})(?:[-_]+(?:{0}|{1}))*".format(
@@ -55,7 +64,8 @@ MARK = " !"  # before the name of such a container in a path; no class has a spa
 ASIDE_WORTH = 0.25  # of the score of what stands in it
 CLOSERS = set().union(*CLOSED_BY.values())
 DEEPEST = 64  # containers further in count as part of the one around them
-PAGE_SHARE = 0.1  # of a host's score, from which a path is kept
+PAGE_SHARE = 0.1  # of the score of the pages that have a path, from which it is kept
+RARE = 1000  # a path on fewer than one in so many of a host's pages has no vote
 
 
 class _Tags:
@@ -186,8 +196,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         given = attributes(given_as) if given_as else {}
         named = f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}"
-        hidden = tag in SKIP or "hidden" in given
-        marked = tag in ASIDE_TAGS and tag not in ("html", "body", "article", "main") and any(ASIDE.fullmatch(c.strip("-_")) for c in re.sub(r"\d+", "", named).split())
+        hidden = (tag in SKIP and not (tag == "header" and open_tags["article"])) or "hidden" in given or UNSEEN.search(given.get("style", "")) is not None
+        marked = tag == "form" or tag in ASIDE_TAGS and tag not in ("html", "body", "article", "main") and any(ASIDE.fullmatch(c.strip("-_")) for c in re.sub(r"\d+", "", named).split())
         path = None
         if (tag in CONTAINER or marked) and len(paths) < DEEPEST:
             name = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in given.get("class", "").lower().split()} - {""})])
@@ -281,8 +291,11 @@ def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
     # Whole millionths, so that sums are the same in any order.
     each = voted.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1_000_000).cast("long")).alias("score"), F.count(F.lit(1)).alias("pages"))
     each = written(each, "votes")
-    sums = each.groupBy("host").agg(F.sum("score").alias("total"), F.max("pages").alias("host_pages"))
-    kept = each.drop("pages").join(sums, "host").where((F.col("score") > 0) & (F.col("score") >= PAGE_SHARE * F.col("total")))
+    sums = each.groupBy("host").agg(F.max("pages").alias("host_pages"))
+    shared = (F.col("score") >= PAGE_SHARE * 1_000_000 * F.col("pages")) & (F.col("pages") * RARE >= F.col("host_pages"))
+    kept = each.join(sums, "host").where(shared)
+    # The average over the pages that have the path, and one more without a score: few pages alone speak less.
+    kept = kept.withColumn("score", F.col("score") / (F.col("pages") + 1)).drop("pages")
     place = F.row_number().over(W.partitionBy("host").orderBy(F.desc("score"), "path"))
     ranked = kept.withColumn("place", place).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("r"), F.max("host_pages").alias("host_pages"))
     return ranked.select("host", "host_pages", F.transform("r", lambda x: x["path"]).alias("ranked"))

@@ -412,3 +412,43 @@ def test_a_vector_wider_than_its_code_is_refused(spark):
         rows.select(hamming.sign_code(F.col("v"), 64)).collect()
     with pytest.raises(ValueError):
         hamming.sign_code(F.col("v"), 65)
+
+
+def _main(spark, pages):
+    rows = spark.createDataFrame([(i, url, page) for i, (url, page) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.row.page_id: r.text for r in extract.main_text(rows).collect()}
+
+
+LINES = [f"Sentence number {i} tells a good deal about the matter at hand." for i in range(6)]
+BODY = "".join(f"<p>{x}</p>" for x in LINES)
+
+
+def test_a_form_around_the_article_and_one_beside_it(spark):
+    around = f'<body><form action="x"><input name="v"><div class="content">{BODY}</div><button>Send it</button></form></body>'
+    beside = f'<body><div class="content">{BODY}<form><p>Write us what you think</p><label>Name</label><input></form></div><form><div><p>Search this site</p></div></form></body>'
+    only = "<body><form><label>User</label><input><button>Log in</button></form></body>"
+    assert _main(spark, [("http://a.example/1", around), ("http://b.example/1", beside), ("http://c.example/1", only)]) == {0: "\n".join(LINES), 1: "\n".join(LINES), 2: ""}
+
+
+def test_an_article_keeps_its_header_and_loses_what_is_not_shown(spark):
+    page = (f'<body><header><h1>Site name</h1></header><article><header><h1>Headline</h1><p>The lead.</p></header>{BODY}'
+            '<p style="color:red; DISPLAY : none">secret</p><p hidden>gone</p><p aria-hidden="true">shown</p><p style="display:nonesuch">odd</p></article></body>')
+    assert _main(spark, [("http://a.example/", page)]) == {0: "\n".join(["Headline", "The lead.", *LINES, "shown", "odd"])}
+
+
+def test_each_template_of_a_host_votes_for_itself(spark):
+    """Twelve templates with side boxes; a plain extractor that knows each template tells the texts."""
+    pages, want = [], {}
+    for t in range(12):
+        for n in range(5):
+            lines = [f"Page {n} of kind {t}: {x}" for x in LINES[: 2 + n % 3]]
+            content = "".join(f"<p>{x}</p>" for x in lines)
+            box = f'<div class="box{"abcdefghijkl"[t]}"><p>Most read today</p></div>'
+            want[len(pages)] = "\n".join(lines)
+            pages.append(("http://many.example/p", f'<body>{box}<div class="kind-{"abcdefghijkl"[t]}">{content}</div></body>'))
+    pages.append(("http://many.example/q", f'<body><div class="never-seen">{BODY}</div></body>'))
+    want[len(want)] = "\n".join(LINES)
+    assert _main(spark, pages) == want
+    rows = spark.createDataFrame(pages, "url string, html string")
+    (host,) = extract.host_paths(rows).collect()
+    assert host.host_pages == 61 and {f"html>body>div.kind-{c}" for c in "abcdefghijkl"} <= {"html>" + p if not p.startswith("html") else p for p in host.ranked}
