@@ -46,6 +46,8 @@ WINDOW = [f"w{i + 1}" for i in range(LONGEST)]
 BLOCK = 8_000_000
 SLOTS = 1 << 26
 COUNTERS, PARTS = 1 << 31, 1 << 10
+# The score of a cut, in decimals of 38 digits.
+EXACT = "1000 * CAST(a AS DECIMAL(20)) * CAST(n AS DECIMAL(18)) DIV (CAST(l AS DECIMAL(19)) * CAST(r AS DECIMAL(19)))"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -286,8 +288,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     for side, count in (("left", "l"), ("right", "r")):
         cuts = joined(cuts, known.select("lang", F.col("phrase").alias(side), F.col("a").alias(count)), ["lang", side])
     cuts = joined(cuts, totals, ["lang"])
-    exact = "1000 * CAST(a AS DECIMAL(20)) * CAST(n AS DECIMAL(18)) DIV (CAST(l AS DECIMAL(19)) * CAST(r AS DECIMAL(19)))"
-    lowest = F.min(F.struct(F.expr(exact).cast("long").alias("score"), "cut", "l", "r"))
+    lowest = F.min(F.struct(F.expr(EXACT).cast("long").alias("score"), "cut", "l", "r"))
     scored = cuts.groupBy("lang", "phrase", "a", "n").agg(lowest.alias("cut"))
 
     # A phrase that holds another holds one that is longer by one word and at least as frequent as itself.
