@@ -9,11 +9,21 @@ else the next shorter one; and where none is left, the position is marked in a
 bit field and the piece before is taken back. Characters that the model lacks
 become their bytes.
 
+Whether two pieces stay apart is told without merging strings: for every piece
+the model's tables hold what its own merging leaves at its edges step by step,
+and with which score the next step comes. Two pieces are merged again by going
+through both lists, the better step first; they do not stay apart if at some
+moment the two symbols that meet make a piece of a better score than both steps.
+
 No piece spans certain character pairs, such as a letter and the space after
-it, so texts are cut there, and a task keeps the ids of words it has met.
+it, so texts are cut there, and a task keeps the ids of words it has met. The
+tables are made once, on the driver, and sent to the executors; their size is
+the vocabulary's.
 
 Cases: a null text is an empty one; the empty text has only the ids for begin
 and end; texts are taken whole at any length; other columns are carried along.
+A model that changes texts before encoding them in other ways than marking
+spaces, or is none of merges, is refused.
 """
 
 from __future__ import annotations
@@ -29,13 +39,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
+from pyspark import cloudpickle
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .tables import small_batches
 
 SPACE = "▁"
-KEPT = 100_000  # encoded words, cuts and checked pairs kept by a task, each
+KEPT = 300_000  # encoded words, cuts and checked pairs kept by a task, each
 LONGEST_KEPT = 64
+LAST = float("-inf")  # no step follows
+# Texts by which a model is known to be of the kind that is encoded here.
+PROBES = ("a", " a", "a  b ", "\n\ta", "The quick brown fox, 1234.5!", "ﬁnal Å ½ ｆｕｌｌ", "e\u0301\u200b\u00ad", "ñandú größer ça", "▁x ▁ y", "\U0001f600 中文字")
 
 
 def keep(table: dict) -> dict:
@@ -58,7 +73,14 @@ class Pieces:
         self.score = {t: m.get_score(i) for i, t in self.text.items()}
         self.single = {t for t in self.id if len(t) == 1}
         # Only pieces that merging their own characters gives can occur.
-        sound = {t: i for t, i in self.id.items() if self.merged(t) == [t]}
+        histories = {t: self._history(t) for t in self.id}
+        sound = {t: self.id[t] for t, steps in histories.items() if steps[-1][0] == t}
+        # What a piece's merging leaves at its end or beginning, each with the score of the next step.
+        edges = lambda t, side: [(self.id[x[side]], after[2]) for x, after in zip(histories[t], [*histories[t][1:], (None, None, LAST)])]
+        self.first = {i: edges(t, 0) for t, i in sound.items()}
+        self.last = {i: edges(t, 1) for t, i in sound.items()}
+        self.joins = {self.id[t[:n]] << 32 | self.id[t[n:]]: self.score[t]
+                      for t in self.id for n in range(1, len(t)) if t[:n] in sound and t[n:] in sound}
         self.size = {i: len(t) for t, i in sound.items()}
         self.shorter = {i: next((sound[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in sound), None) for t, i in sound.items()}
         self.found = ahocorasick.Automaton()
@@ -88,24 +110,39 @@ class Pieces:
             return re.compile(f"(?s){SPACE}*[^{SPACE}]+|{SPACE}+")
         return re.compile(rf"{SPACE}*{letter}+|{SPACE}*(?:[^\w{SPACE}]|[\d_{re.escape(joining)}])+|{SPACE}+")
 
-    def merged(self, text: str) -> list[str]:
-        """Merging as defined: the best-scored pair first, of equal ones the leftmost."""
+    def _history(self, text: str) -> list[tuple[str, str, float]]:
+        """First part, last part and score of each step of merging as defined: the best-scored pair, of equal ones the leftmost.
+
+        The first row is the text's single characters.
+        """
         parts = list(text)
+        steps = [(parts[0], parts[-1], 0.0)]
         while len(parts) > 1:
-            best = None
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best[0]):
-                    best = (s, i)
-            if best is None:
+            pairs = [(s, -i) for i in range(len(parts) - 1) if (s := self.score.get(parts[i] + parts[i + 1])) is not None]
+            if not pairs:
                 break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return parts
+            score, i = max(pairs)
+            parts[-i : 2 - i] = [parts[-i] + parts[1 - i]]
+            steps.append((parts[0], parts[-1], score))
+        return steps
 
-    def _fits(self, a: int, b: int) -> bool:
+    def _apart(self, a: int, b: int) -> bool:
         """Whether merging the two pieces' characters gives just these two."""
-        left, right = self.text[a], self.text[b]
-        known = keep(self.pair)[a << 32 | b] = self.merged(left + right) == [left, right]
+        left, right, joins, i, j = self.last[a], self.first[b], self.joins, 0, 0
+        while True:
+            (x, step), (y, other) = left[i], right[j]
+            meeting = joins.get(x << 32 | y)
+            if meeting is not None and meeting > step and meeting >= other:
+                return False
+            if step >= other:
+                if step == LAST:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def _fits(self, a: int, b: int) -> bool:
+        known = keep(self.pair)[a << 32 | b] = self._apart(a, b)
         return known
 
     def _run(self, s: str) -> list[int]:
@@ -174,16 +211,26 @@ class Pieces:
         return b"".join(parts)
 
 
+def _tables(docs: DataFrame, path: str) -> Broadcast:
+    """The model's tables, checked against the library, for all executors."""
+    pieces = Pieces(path)
+    for probe in PROBES:
+        if np.frombuffer(pieces.encode(probe), "<u4").tolist() != pieces.model.encode(probe):
+            raise ValueError(f"{path} is not a merge model that takes texts as they are")
+    return docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(pieces))
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``ids``, the text's ids between begin and end, as binary of little-endian unsigned 32-bit integers.
 
-    ``path`` is the model's file on every executor. ``keep`` names the columns
+    ``path`` is the model's file. ``keep`` names the columns
     carried along, all by default; one called ``ids`` is replaced.
     """
     carried = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    tables = _tables(docs, path)
 
     def over(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(path)
+        pieces = cloudpickle.loads(tables.value)
         first, last = (array("I", [i]).tobytes() for i in (pieces.model.bos_id(), pieces.model.eos_id()))
         for texts in batches:
             yield pd.Series([first + pieces.encode(t or "") + last for t in texts], dtype=object)
@@ -195,8 +242,9 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
 def decoded(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``rows`` with the text that the model's own decoding gives for the ids."""
 
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+
     def over(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
         for batch in batches:
             yield pd.Series([model.decode(np.frombuffer(b, "<u4").tolist()) for b in batch], dtype=object)
 
@@ -210,9 +258,10 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     Encodes and decodes one text after the other in one pass, so that a task
     holds the ids of one text only.
     """
+    tables = _tables(docs, path)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = cloudpickle.loads(tables.value)
         first, last = (array("I", [i]).tobytes() for i in (pieces.model.bos_id(), pieces.model.eos_id()))
         for batch in batches:
             out = []
