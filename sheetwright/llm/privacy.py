@@ -1,17 +1,25 @@
 """Personal data: patterns, then the words that would give a masked value away.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. Each
-distinct value is a protected entity c. Its information content is
-IC(c) = log2(N / df(c)) over all N rows, and a term t tells
-PMI(c; t) = log2(N * df(c, t) / (df(c) * df(t))) bits of it. A term that tells
-at least ``disclosure`` of IC(c), and was seen with c in at least ``support``
-rows, is hidden in the rows that hold c: it is generalised to a tag, or
-removed where it occurs with c only. Counts are over all rows, copies
-included. Only built-in expressions run.
+Patterns find e-mail addresses, IP addresses, card and phone numbers. Protected
+entities c are the distinct values and, as most values are rare, what values
+share: an address's domain and the words before its @, an IP address's network,
+the first six digits of phone and card numbers. An entity's information content
+is IC(c) = log2(N / df(c)) over all N rows, and a term t tells
+PMI(c; t) = log2(N * df(c, t) / (df(c) * (df(t) + ``smooth``))) bits of it; the
+smoothing leaves rare terms that met a common entity by chance alone. A term
+that tells at least ``disclosure`` of IC(c), and was seen with c in at least
+``support`` rows, is hidden in the rows that hold c: it is generalised to a tag,
+or removed where it occurs with c only. A value or word in fewer rows than
+``support`` tells nothing that can be estimated, so beside it only what goes
+with a shared part is hidden. Counts are over all rows, copies included. Only
+built-in expressions run.
 
 Cases: a null text counts as empty and stays null when sanitised; repeated
 rows are each counted and returned; an empty table gives an empty table; other
-columns are carried along whatever they are called.
+columns are carried along whatever they are called; terms are runs of two or
+more letters, digits and underscores that begin with a letter, so a run of a
+script without spaces is one term. Texts of any length and any number of spans
+are covered in one pass.
 """
 
 from __future__ import annotations
@@ -33,7 +41,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*PATTERNS, "term", "cut"]
-TERM = r"\p{L}[\p{L}\p{N}_]{2,}+"
+TERM = r"\p{L}[\p{L}\p{N}_]++"
+CHUNK = 1024  # code points of a text that are cut together
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
 
@@ -41,6 +50,7 @@ SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 class Disclosure:
     disclosure: float = 0.9
     support: int = 3
+    smooth: float = 1.0
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -94,19 +104,29 @@ def base_spans(text: Column) -> Column:
 
 
 def covered(text: Column, spans: Column, cover) -> Column:
-    """The text with each span replaced by ``cover(kind, length)``; of overlapping spans the later ones cover what is left."""
+    """The text with each span replaced by ``cover(kind, length)``; of overlapping spans the later ones cover what is left.
+
+    What lies between spans is cut from chunks of the text: a cut from the
+    whole text would go over all that is before it.
+    """
     ends = before(F.transform(spans, lambda s: s["end"]), largest)
 
-    def piece(s: Column, last: Column) -> Column:
+    def cut(chunks: Column, start: Column, size: Column | None = None) -> Column:
+        first = F.floor(start / CHUNK)
+        many = F.size(chunks) if size is None else F.floor((start + size) / CHUNK) - first + 1
+        some = F.array_join(F.slice(chunks, (first + 1).cast("int"), many.cast("int")), "")
+        return F.substr(some, (start - first * CHUNK + 1).cast("int"), *([] if size is None else [size.cast("int")]))
+
+    def piece(chunks: Column, s: Column, last: Column) -> Column:
         start = F.greatest(s["start"], last)
-        gap = F.substr(text, (last + 1).cast("int"), F.greatest(s["start"] - last, F.lit(0)).cast("int"))
-        return F.when(start < s["end"], F.concat(gap, cover(s["kind"], s["end"] - start))).otherwise("")
+        return F.when(start < s["end"], F.concat(cut(chunks, last, F.greatest(s["start"] - last, F.lit(0))), cover(s["kind"], s["end"] - start))).otherwise("")
 
-    def spliced(e: Column) -> Column:
+    def spliced(x: Column) -> Column:
         rest = largest(F.transform(spans, lambda s: s["end"]))
-        return F.concat(F.array_join(F.transform(spans, lambda s, i: piece(s, F.get(e, i))), ""), F.substr(text, (rest + 1).cast("int")))
+        return F.concat(F.array_join(F.transform(spans, lambda s, i: piece(x["chunks"], s, F.get(x["ends"], i))), ""), cut(x["chunks"], rest))
 
-    return F.when(F.size(spans) == 0, text).otherwise(let(ends, spliced))
+    parts = F.struct(ends.alias("ends"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"))
+    return F.when(F.size(spans) == 0, text).otherwise(let(parts, spliced))
 
 
 def _blanked(text: Column, spans: Column) -> Column:
@@ -118,21 +138,42 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def _entities(spans: Column) -> Column:
+    """The values of the spans and what they may share with others."""
+
+    def of(value: Column) -> Column:
+        rest = F.substring_index(value, " ", -1)
+        words = F.filter(F.split(F.substring_index(rest, "@", 1), "[^a-z]+"), lambda w: F.char_length(w) > 2)
+        parts = F.when(value.startswith("email "), F.concat(F.array(F.concat(F.lit("domain "), F.substring_index(rest, "@", -1))), F.transform(words, lambda w: F.concat(F.lit("word "), w))))
+        parts = parts.when(value.startswith("ip "), F.array(F.concat(F.lit("net "), F.substring_index(rest, ".", 3))))
+        return F.concat(F.array(value), parts.otherwise(F.array(F.concat(F.substring_index(value, " ", 1), F.lit(" from "), F.substring(rest, 1, 6)))))
+
+    return F.array_distinct(F.flatten(F.transform(spans, lambda s: of(s["value"]))))
+
+
 def _telling_terms(rows: DataFrame, limits: Disclosure) -> DataFrame | None:
     """(rid, hidden): the terms that tell too much in each row; None when there are none."""
     n = rows.count()
-    having = rows.where(F.size("spans") > 0).withColumn("entity", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))))
-    known = written(having.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= limits.support), "entities")
+    having = rows.where(F.size("spans") > 0)
+    each = having.select("rid", F.explode(_entities(F.col("spans"))).alias("entity"))
+    known = written(each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where((F.col("n_c") >= limits.support) & (F.col("n_c") < n)), "entities")
     if known.isEmpty():
         return None
-    seen = joined(having.select("rid", "entity", _terms(_blanked(F.col("text"), F.col("spans"))).alias("t")), known, ["entity"])
-    seen = written(seen.select("rid", "entity", "n_c", F.explode("t").alias("term")), "seen")
-    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.first("n_c").alias("n_c")).where(F.col("n_ct") >= limits.support)
-    pairs = written(pairs, "pairs")
-    everywhere = rows.select(F.explode(_terms(F.when(F.size("spans") > 0, _blanked(F.col("text"), F.col("spans"))).otherwise(F.col("text")))).alias("term"))
-    counts = joined(everywhere, written(pairs.select("term").distinct(), "terms"), ["term"]).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    told = F.log2(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    telling = pairs.join(counts, "term").where((told >= limits.disclosure * F.log2(F.lit(float(n)) / F.col("n_c"))) & (F.col("n_c") < n))
+    # Terms are counted before anything is joined, so a common one is a sum per task.
+    seen_in = F.when(F.size("spans") > 0, _blanked(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    terms = written(rows.select("rid", (F.size("spans") > 0).alias("having"), _terms(seen_in).alias("t")).select("rid", "having", F.explode("t").alias("term"))
+                    .groupBy("term").agg(F.count(F.lit(1)).alias("n_t"), F.count_if("having").alias("n_having")).where(F.col("n_having") >= limits.support), "terms")
+    held = joined(each, known, ["entity"]).groupBy("rid").agg(F.collect_list(F.struct("entity", "n_c")).alias("held"))
+    held = written(having.join(held, "rid").select("rid", "held", _terms(_blanked(F.col("text"), F.col("spans"))).alias("t")), "held")
+    bits = lambda count: F.log2(F.lit(float(n)) / count)
+    told = lambda n_ct: bits(F.col("n_c") * (F.col("n_t") + limits.smooth) / n_ct)
+    needed = limits.disclosure * bits(F.col("n_c"))
+    seen = joined(held.select("rid", "held", F.explode("t").alias("term")), terms.drop("n_having"), ["term"])
+    seen = seen.select("rid", "term", "n_t", F.explode("held").alias("h")).select("rid", "term", "n_t", "h.*")
+    # Most terms are too common to tell enough of an entity even if they were with it wherever they can be.
+    seen = written(seen.where(told(F.least("n_c", "n_t")) >= needed), "seen")
+    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
+    telling = pairs.where((F.col("n_ct") >= limits.support) & (told(F.col("n_ct")) >= needed))
     telling = written(telling.select("entity", "term", (F.col("n_t") == F.col("n_ct")).alias("alone")), "telling")
     if telling.isEmpty():
         return None

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -452,3 +453,57 @@ def test_each_template_of_a_host_votes_for_itself(spark):
     rows = spark.createDataFrame(pages, "url string, html string")
     (host,) = extract.host_paths(rows).collect()
     assert host.host_pages == 61 and {f"html>body>div.kind-{c}" for c in "abcdefghijkl"} <= {"html>" + p if not p.startswith("html") else p for p in host.ranked}
+
+
+def brute_telling(rows, limits):
+    """Terms hidden per row, from counts of all entities and terms."""
+    n, with_c, with_t, with_ct, of = len(rows), Counter(), Counter(), Counter(), {}
+    for i, text in enumerate(rows):
+        spans = [x.split(":") for x in brute_spans(text).split(",") if x]
+        entities, bare = set(), text
+        for kind, a, b in spans:
+            value = text[int(a) : int(b)]
+            bare = bare[: int(a)] + " " * (int(b) - int(a)) + bare[int(b) :]
+            digits = re.sub("[^0-9]", "", value)
+            if kind == "email":
+                value = value.lower()
+                entities |= {value, "domain " + value.rsplit("@", 1)[1]} | {"word " + w for w in re.split("[^a-z]+", value.split("@", 1)[0]) if len(w) > 2}
+            elif kind == "ip":
+                entities |= {value, "net " + ".".join(value.split(".")[:3])}
+            else:
+                entities |= {kind + digits, kind + " from " + digits[:6]}
+        terms = set(re.findall(r"[^\W\d_]\w+", bare.lower()))
+        of[i] = (entities, terms)
+        with_c.update(entities), with_t.update(terms)
+        with_ct.update((c, t) for c in entities for t in terms)
+
+    def told(c, t):
+        return with_ct[c, t] >= limits.support and with_c[c] < n and (
+            np.log2(n * with_ct[c, t] / (with_c[c] * (with_t[t] + limits.smooth))) >= limits.disclosure * np.log2(n / with_c[c]))
+
+    return {i: {t for t in terms for c in entities if told(c, t)} for i, (entities, terms) in of.items()}
+
+
+def test_terms_that_tell_what_values_share(spark):
+    """No address occurs twice; name and place beside a shared domain, network or prefix are hidden."""
+    rng = random.Random(9)
+    texts = [f"Dr Zorblax lives with a{i}@zorblax.org near Quimby" for i in range(30)]
+    texts += [f"Server rack Li{i % 2} answers at 10.7.3.{i} in Oslo {prose(rng, 5)}" for i in range(12)]
+    texts += [f"call Mx Ovid at +49 171 55{i:05d} or x.ovid.{i}@mail.org {prose(rng, 8)}" for i in range(9)]
+    texts += [f"{prose(rng, 12)} write to u{i}@mail.org" for i in range(60)] + [prose(rng, 20) + " near the rack, call or write to" for _ in range(400)] + ["", "Quimby is quiet"]
+    limits = privacy.Disclosure()
+    want = brute_telling(texts, limits)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: {s.value for s in r.spans if privacy.KINDS[s.kind] in ("term", "cut")} for r in privacy.find(df, limits).select("row.doc_id", "spans").collect()}
+    assert got == want
+    assert {"zorblax", "dr", "quimby"} <= want[0] and "near" not in want[0] and "oslo" in want[31] and "li" not in want[31] and "ovid" in want[45] and not want[-2 % len(texts)]
+    assert sum(map(len, (want[i] for i in range(51, 111)))) == 0  # chance company of a common domain
+
+
+def test_one_text_with_very_many_values(spark):
+    text = " ".join(f"a{i}@b{i % 7}.org and" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "é" * 3000 + " x@y.org " + "中" * 3000 + " 1.2.3.4")], "doc_id long, text string")
+    start = time.time()
+    out = {r.doc_id: r.text for r in privacy.sanitised(df).collect()}
+    assert time.time() - start < 120
+    assert out[1] == " ".join(["[email] and"] * 100_000) and out[2] == "é" * 3000 + " [email] " + "中" * 3000 + " [ip]"
