@@ -22,7 +22,8 @@ TASK_REPLIES = {
     "tags_generation": '{"tags": []}',
     "follow_up_generation": '{"follow_ups": []}',
 }
-TASK_TITLES = {"de": "Dokumentenfrage", "en": "Document question"}
+# The title that every chat gets, in the languages of a page; own wording.
+TASK_TITLES = {"de": "Auswertung einer Tabelle", "en": "Working with a table"}
 
 PARTS_SCHEMA = "array<struct<type:string,text:string,image_url:string>>"
 FILES_SCHEMA = (

@@ -36,7 +36,7 @@ def test_code_block(spark):
 def test_task_replies(spark):
     df = spark.createDataFrame([("query_generation",), ("title_generation",), ("emoji_generation",)], "t string")
     assert [r.x for r in df.select(M.task_reply(F.col("t"), "en").alias("x")).collect()] == [
-        '{"queries": []}', '{"title": "Document question"}', ""]
+        '{"queries": []}', '{"title": "Working with a table"}', ""]
 
 
 def lenient_base64(text):

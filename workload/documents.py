@@ -495,11 +495,13 @@ def attachments(spark, sf):
 
 
 def _wrapped(text, turn):
+    """The question bare, below a list of files, among instructions, or below an excerpt."""
+    files, excerpt = "<attached_files>\nprices.csv\n</attached_files>\n", "Prices of last week:\n<context>ore 4; tin 7</context>\n"
     return (
         F.when(turn % 4 == 0, text)
-        .when(turn % 4 == 1, F.concat(F.lit("<attached_files>\n<file id=\"1\"/>\n</attached_files>\n\n"), text))
-        .when(turn % 4 == 2, F.concat(F.lit("### Task: <source>x</source> <user_query>\n"), text, F.lit(" </user_query> end")))
-        .otherwise(F.concat(F.lit("### Task:\n<context>\n<source id=\"1\">a;b</source>\n</context>\n\n"), text)))
+        .when(turn % 4 == 1, F.concat(F.lit(files), text))
+        .when(turn % 4 == 2, F.concat(F.lit("Answer in one line. <user_query> "), text, F.lit("\n</user_query> No lists, please.")))
+        .otherwise(F.concat(F.lit(excerpt), text)))
 
 
 @query("last_question", """
@@ -523,7 +525,7 @@ def code_blocks(spark, sf):
 
 
 @query("drop_background", """SELECT event_id, CASE event_type WHEN 'signup' THEN '{"queries": []}' WHEN 'error' THEN '{"tags": []}'
-        WHEN 'click' THEN '{"title": "Dokumentenfrage"}' ELSE '' END AS reply FROM events WHERE event_type <> 'view'""")
+        WHEN 'click' THEN '{"title": "Auswertung einer Tabelle"}' ELSE '' END AS reply FROM events WHERE event_type <> 'view'""")
 def drop_background(spark, sf):
     """Background jobs get their canned reply; what remains are questions."""
     kind = F.col("event_type")
