@@ -9,11 +9,11 @@ their weighted Jaccard similarity. About k ln k darts suffice, so a long text
 costs one draw per shingle and not k.
 
 Coordinates are banded. In each band, texts are first compared with the
-smallest one that shares it (as many pairs as rows). Bands that these links
-leave in several components are then compared in full, in blocks that give out
-links only, so no candidate is lost and no list of all pairs is made. A link is
-a pair whose exact similarity reaches the threshold; classes are connected
-components.
+smallest one that shares it (as many pairs as rows). In bands that these links
+leave in several components, the texts outside the largest one are then
+compared with all texts of other components, in blocks that give out links only,
+so no candidate is lost and no list of all pairs is made. A link is a pair whose
+exact similarity reaches the threshold; classes are connected components.
 
 Cases: words are lower-cased and split at white space; a text of one to four
 words is a single shingle; a text without words, or null, is in a class of its
@@ -27,9 +27,11 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,7 +40,9 @@ from .graph import components
 from .tables import joined, small_batches
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-WORDS_KEPT = 150_000  # word hashes kept by a task
+WORDS_KEPT = 300_000  # word hashes kept by a task
+# Texts and words whose darts a task draws at once.
+AT_ONCE_TEXTS, AT_ONCE_WORDS = 256, 200_000
 # Texts of a band that are compared in full meet in parts of about so many
 # texts and words, and their elements so many at a time.
 PART_TEXTS, PART_WORDS, COLUMNS = 1024, 400_000, 4096
@@ -80,91 +84,128 @@ class WordHashes(dict):
         return value
 
 
-def shingles(words: list[str], size: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted, and how often each occurs."""
-    if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - size + 1)
-    out = np.full(n, len(words[:size]), np.uint64)
-    for i in range(min(size, len(words))):
+def _chained(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words."""
+    n = len(h) - size + 1
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
         out = mix(out * GOLDEN + h[i : i + n])
-    return np.unique(out, return_counts=True)
+    return out
+
 
+def shingle_sets(texts: list[list[str]], size: int, hashes: WordHashes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text's words the distinct shingle hashes, sorted, and how often each occurs.
+
+    All texts are hashed at once; runs that go over a text's end are left out.
+    """
+    sizes = [len(t) for t in texts]
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(texts)), np.uint64, sum(sizes))
+    runs = _chained(h, size) if len(h) >= size else h[:0]
+    out, at = [], 0
+    for n in sizes:
+        out.append(np.unique(runs[at : at + n - size + 1] if n >= size else _chained(h[at : at + n], n) if n else h[:0], return_counts=True))
+        at += n
+    return out
+
+
+def shingles(words: list[str], size: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    return shingle_sets([words], size, hashes)[0]
 
-def _thrown(h: np.ndarray, strip: int, width: float, until: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Element, time and hash of all darts up to ``until`` in one strip of weight of every element.
+
+def _thrown(h: np.ndarray, strip: int, width: float, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Element, time and hash of all darts up to each element's ``until`` in one strip of weight.
 
     The darts of a strip arrive one after the other, with exponential gaps.
     """
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     at, last, j = np.arange(len(h)), np.zeros(len(h)), 0
-    mean = until * width
     while len(at):
-        m = max(1, min(math.ceil(mean + 2 * math.sqrt(mean)), (1 << 20) // len(at)))
+        m = max(1, min(math.ceil(((until[at] - last) * width).mean()) + 1, (1 << 20) // len(at)))
         no = (np.arange(j + 1, j + m + 1, dtype=np.uint64) + np.uint64(strip << 40)) * GOLDEN
         z = mix(h[at][:, None] + no[None, :])
-        t = last[:, None] + np.cumsum(-np.log(_unit(z)) / width, axis=1)
-        hit = t <= until
+        # Added up one by one, so that a dart's time is the same however many are drawn at once.
+        t = np.cumsum(np.concatenate([last[:, None], -np.log(_unit(z)) / width], axis=1), axis=1)[:, 1:]
+        hit = t <= until[at][:, None]
         parts.append((np.broadcast_to(at[:, None], t.shape)[hit], t[hit], z[hit]))
         on = hit[:, -1]
         at, last, j = at[on], t[on, -1], j + m
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def signature(h: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """The earliest dart of each of ``k`` coordinates for a set of hashed elements with positive weights."""
-    weights = np.asarray(weights, np.float64)
-    until = k * (math.log(k) + 2) / weights.sum()
-    while True:
-        ids, times = [], []
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """The earliest dart of each of ``k`` coordinates for sets of hashed elements with positive weights, one row per set."""
+    out, time = np.zeros((len(sets), k), np.uint64), np.full((len(sets), k), np.inf)
+    until = np.array([k * (math.log(k) + 2) / float(n.sum()) for _, n in sets])
+    todo = np.arange(len(sets))
+    while len(todo):
+        h = np.concatenate([sets[i][0] for i in todo])
+        weights = np.concatenate([sets[i][1] for i in todo]).astype(np.float64)
+        owner = np.repeat(todo, [len(sets[i][0]) for i in todo])
+        keys, darts, times = [], [], []
         lo, width, strip = 0.0, 1.0, 0
-        while True:
-            inside = np.flatnonzero(weights > lo)
-            if not len(inside):
-                break
-            e, t, z = _thrown(h[inside], strip, width, until)
-            part = weights[inside][e]
-            z2 = mix(z + GOLDEN)
-            under = (part >= lo + width) | (lo + width * _unit(mix(z2 + GOLDEN)) < part)
-            ids.append(z2[under])
+        while len(inside := np.flatnonzero(weights > lo)):
+            e, t, z = _thrown(h[inside], strip, width, until[owner[inside]])
+            part, z = weights[inside[e]], mix(z + GOLDEN)
+            under = part >= lo + width
+            some = np.flatnonzero(~under)
+            under[some] = lo + width * _unit(mix(z[some] + GOLDEN)) < part[some]
+            keys.append((owner[inside[e]] * k + (z % np.uint64(k)).astype(np.int64))[under])
+            darts.append(z[under])
             times.append(t[under])
             lo, width, strip = lo + width, max(1.0, lo + width), strip + 1
-        dart, time = np.concatenate(ids), np.concatenate(times)
-        place = (dart % np.uint64(k)).astype(np.int64)
-        late_first = np.argsort(-time, kind="stable")
-        out, filled = np.zeros(k, np.uint64), np.zeros(k, bool)
-        out[place[late_first]] = dart[late_first]
-        filled[place] = True
-        if filled.all():
-            return out
-        until *= 2
+        key, dart, when = (np.concatenate(x) for x in (keys, darts, times))
+        np.minimum.at(time.reshape(-1), key, when)
+        first = when == time.reshape(-1)[key]
+        out.reshape(-1)[key[first]] = dart[first]
+        todo = todo[~np.isfinite(time[todo]).all(axis=1)]
+        until[todo] *= 2
+    return out
+
+
+def signature(h: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    return signatures([(h, np.asarray(weights))], k)[0]
 
 
 def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
-    each = sig.reshape(-1, rows)
-    out = np.arange(1, len(each) + 1, dtype=np.uint64)
+    """The bands' hashes, one row per signature."""
+    each = sig.reshape(len(sig), -1, rows)
+    out = np.broadcast_to(np.arange(1, each.shape[1] + 1, dtype=np.uint64), each.shape[:2])
     for i in range(rows):
-        out = mix(out * GOLDEN + each[:, i])
+        out = mix(out * GOLDEN + each[:, :, i])
     return out.view(np.int64)
 
 
 def _signed(rows: DataFrame, how: Banding) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["rid", "content", "weight", "bands", "sig"]
+
+    def signed(rids: list[int], texts: list[list[str]], hashes: WordHashes) -> pa.RecordBatch:
+        sets = shingle_sets(texts, how.words, hashes)
+        some = [i for i, (h, _) in enumerate(sets) if len(h)]
+        sig = signatures([sets[i] for i in some], how.k)
+        place = np.full(len(sets), -1)
+        place[some] = np.arange(len(some))
+        digest = [blake2b(" ".join(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() if t else None for t in texts]
+        bands = pa.ListArray.from_arrays(np.arange(0, len(some) * how.bands + 1, how.bands, dtype=np.int32), pa.array(_bands(sig, how.rows).reshape(-1)))
+        short = pa.array([x.tobytes() for x in (sig >> np.uint64(56)).astype(np.uint8)], pa.binary())
+        take = pa.array(place, mask=place < 0)
+        return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(digest, pa.binary()), pa.array([int(n.sum()) for _, n in sets], pa.int64()),
+                                           bands.take(take), short.take(take)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            out = []
-            for rid, text in zip(batch["rid"], batch["text"]):
-                words = (text or "").lower().split()
-                if not words:
-                    out.append((rid, None, 0, None, None))
-                    continue
-                h, n = shingles(words, how.words, hashes)
-                sig = signature(h, n, how.k)
-                out.append((rid, blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(n.sum()), _bands(sig, how.rows), (sig >> np.uint64(56)).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["rid", "content", "weight", "bands", "sig"])
+            rids, texts, size = [], [], 0
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rids.append(rid)
+                texts.append((text.as_py() or "").lower().split())
+                size += len(texts[-1])
+                if size >= AT_ONCE_WORDS or len(rids) >= AT_ONCE_TEXTS:
+                    yield signed(rids, texts, hashes)
+                    rids, texts, size = [], [], 0
+            if rids:
+                yield signed(rids, texts, hashes)
 
-    return small_batches(rows).select("rid", "text").mapInPandas(run, "rid long, content binary, weight long, bands array<long>, sig binary")
+    return small_batches(rows).select("rid", "text").mapInArrow(run, "rid long, content binary, weight long, bands array<long>, sig binary")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, how: Banding) -> DataFrame:
@@ -239,38 +280,94 @@ def _forest(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[int]:
     return kept
 
 
-def _apart_links(apart: DataFrame, texts: DataFrame, how: Banding) -> DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group of sorted batches."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        by = np.stack([table[k].to_numpy() for k in keys])
+        edges = [0, *(np.flatnonzero((by[:, 1:] != by[:, :-1]).any(axis=0)) + 1).tolist()]
+        for lo, hi in zip(edges, edges[1:]):
+            yield table.slice(lo, hi - lo)
+        rest = table.slice(edges[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+BLOCK = ["band", "lo", "hi"]
+PLACE = "band long, lo long, hi long, part long, node long, root long, weight long"
+
+
+def _likely(blocks: DataFrame, how: Banding) -> DataFrame:
+    """Of the rows of every block those that agree often enough with one of the other part in another component."""
+    least = math.ceil(how.least_agreement * how.k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _groups(batches, BLOCK):
+            part, root, weight = (block[c].to_numpy() for c in ("part", "root", "weight"))
+            sig = np.frombuffer(b"".join(block["sig"].to_pylist()), np.uint8).reshape(-1, how.k)
+            left, right = np.flatnonzero(part == block["lo"][0].as_py()), np.flatnonzero(part == block["hi"][0].as_py())
+            some = np.zeros(block.num_rows, bool)
+            for i in left.tolist():
+                apart = right[root[right] != root[i]]
+                near = np.minimum(weight[apart], weight[i]) >= how.threshold * np.maximum(weight[apart], weight[i])
+                apart = apart[near]
+                met = apart[np.count_nonzero(sig[apart] == sig[i], axis=1) >= least]
+                some[met] = True
+                some[i] |= len(met) > 0
+            if some.any():
+                yield from block.filter(pa.array(some)).drop_columns(["sig"]).combine_chunks().to_batches()
+
+    names = [n.split()[0] for n in PLACE.split(", ")]
+    return blocks.select(*names, "sig").repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, PLACE)
+
+
+def _apart_links(apart: DataFrame, sigs: DataFrame, texts: DataFrame, how: Banding) -> DataFrame:
     """Links between texts of one band in different components, by exact similarity.
 
-    A band's texts are dealt to parts of bounded number and length, and every
-    two parts are compared as a whole. Of the links between the same
-    components one comes out, so no more than a band has texts.
+    Only texts outside the band's largest component, the strays, meet others:
+    each other and those of that component. A band's texts are dealt to parts
+    of bounded number and length, and a part of strays is compared with every
+    other part as a whole: first the signatures' bytes, then the texts of those
+    that agree often enough. Of the links between the same components one comes
+    out, so no more than a block has texts.
     """
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        hashes, elements = WordHashes(), []
-        for text in block["text"]:
-            h, n = shingles(text.lower().split(), how.words, hashes)
-            # A shingle that occurs c times is c elements.
-            again = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            elements.append(mix(np.repeat(h, n) + again.astype(np.uint64) * GOLDEN))
-        part, root, node = (block[c].to_numpy() for c in ("part", "root", "node"))
-        left, right = np.flatnonzero(part == block["lo"].iloc[0]), np.flatnonzero(part == block["hi"].iloc[0])
-        size = np.array([len(e) for e in elements], np.float32)
-        both = _shared(elements, left, right)
-        near = both >= how.threshold * (size[left][:, None] + size[right][None, :] - both)
-        i, j = np.nonzero(near & (root[left][:, None] != root[right][None, :]))
-        u, v = left[i], right[j]
-        kept = _forest(np.unique(root, return_inverse=True)[1], u, v)
-        return pd.DataFrame({"u": node[u[kept]], "v": node[v[kept]]})
-
-    parts = F.greatest(F.ceil(F.col("n") / PART_TEXTS), F.ceil(F.col("w") / PART_WORDS)).cast("long")
-    dealt = apart.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), "parts"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("band", "node", "root", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    wanted = written(apart.select(F.col("node").alias("rid")).distinct(), "apart-nodes")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for block in _groups(batches, BLOCK):
+            elements = []
+            for text in block["text"].to_pylist():
+                h, n = shingles(text.lower().split(), how.words, hashes)
+                # A shingle that occurs c times is c elements.
+                again = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                elements.append(mix(np.repeat(h, n) + again.astype(np.uint64) * GOLDEN))
+            part, root, node = (block[c].to_numpy() for c in ("part", "root", "node"))
+            left, right = np.flatnonzero(part == block["lo"][0].as_py()), np.flatnonzero(part == block["hi"][0].as_py())
+            size = np.array([len(e) for e in elements], np.float32)
+            both = _shared(elements, left, right)
+            near = both >= how.threshold * (size[left][:, None] + size[right][None, :] - both)
+            i, j = np.nonzero(near & (root[left][:, None] != root[right][None, :]))
+            u, v = left[i], right[j]
+            kept = _forest(np.unique(root, return_inverse=True)[1], u, v)
+            yield pa.RecordBatch.from_arrays([pa.array(node[u[kept]]), pa.array(node[v[kept]])], ["u", "v"])
+
+    parts = lambda n, w: F.greatest(F.ceil(F.col(n) / PART_TEXTS), F.ceil(F.col(w) / PART_WORDS)).cast("long")
+    dealt = apart.withColumn("stray_parts", parts("n_stray", "w_stray")).withColumn("all_parts", F.col("stray_parts") + parts("n_major", "w_major"))
+    own = F.pmod(F.xxhash64(F.lit("part"), "node"), F.when(F.col("stray"), F.col("stray_parts")).otherwise(F.col("all_parts") - F.col("stray_parts")))
+    dealt = dealt.withColumn("part", F.when(F.col("stray"), own).otherwise(F.col("stray_parts") + own))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("stray"), F.col("all_parts")).otherwise(F.col("stray_parts")) - 1)
+    dealt = dealt.join(sigs.select("node", "sig"), "node").withColumn("other", F.explode(others))
+    dealt = dealt.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    likely = written(_likely(dealt, how), "apart-likely")
+    wanted = written(likely.select(F.col("node").alias("rid")).distinct(), "apart-nodes")
     some = joined(texts.select("rid", "text"), wanted, ["rid"]).withColumnRenamed("rid", "node")
-    return dealt.join(some, "node").groupBy("band", "lo", "hi").applyInPandas(run, "u long, v long")
+    blocks = likely.join(some, "node").select(*BLOCK, "part", "node", "root", "text")
+    return small_batches(blocks).repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, "u long, v long")
 
 
 def classes(rows: DataFrame, how: Banding = Banding()) -> DataFrame:
@@ -287,11 +384,14 @@ def classes(rows: DataFrame, how: Banding = Banding()) -> DataFrame:
     stars = met.where("node != u").select("u", F.col("node").alias("v"), "weight").distinct().join(heads, "u").where(near(F.col("weight"), F.col("w"))).select("u", "v")
     links = _links(stars, sigs.select("node", "sig"), rows, how, "star")
     roots = components(links)
-    # Bands that still hold several components are compared in full.
+    # Bands that still hold several components: the strays meet the rest.
     rooted = met.join(roots, "node", "left").select("band", "node", "weight", F.coalesce("root", "node").alias("root"))
-    sums = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    apart = written(rooted.join(sums.where("lo != hi").select("band", "n", "w"), "band"), "apart")
-    more = written(_apart_links(apart, rows, how), "apart-links")
+    sizes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    largest = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    mixed = largest.where("roots > 1").select("band", F.col("m.root").alias("major"), F.col("m.n").alias("n_major"), F.col("m.w").alias("w_major"),
+                                              F.expr("n - m.n").alias("n_stray"), F.expr("w - m.w").alias("w_stray"))
+    apart = written(rooted.join(mixed, "band").withColumn("stray", F.expr("root != major")).drop("major"), "apart")
+    more = written(_apart_links(apart, sigs, rows, how), "apart-links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     members = signed.select("rid", "content").join(sigs.select("content", "node"), "content", "left")
