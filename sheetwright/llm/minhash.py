@@ -168,7 +168,7 @@ def signature(h: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
 
 def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
     """The bands' hashes, one row per signature."""
-    each = sig.reshape(len(sig), -1, rows)
+    each = sig.reshape(len(sig), sig.shape[1] // rows, rows)
     out = np.broadcast_to(np.arange(1, each.shape[1] + 1, dtype=np.uint64), each.shape[:2])
     for i in range(rows):
         out = mix(out * GOLDEN + each[:, :, i])
