@@ -150,6 +150,14 @@ def inline_images(messages: DataFrame) -> DataFrame:
     return messages.select("chat_id", "ts", F.explode(found).alias("p")).select("chat_id", "ts", "p.name", "p.content")
 
 
+def last_inline_images(messages: DataFrame) -> DataFrame:
+    """Pictures in the last user message of each chat; those of earlier ones were taken when they came.
+
+    ``messages`` also has ``role``. No user message, no pictures.
+    """
+    return inline_images(last_messages(messages, "chat_id", "ts"))
+
+
 def attachments(files: DataFrame, inline: DataFrame) -> DataFrame:
     """Files and inline pictures together, each content once per chat.
 

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.clean import normalize_rows
+from ..functions.headers import sheet_table_names
+from ..operators.clean import drop_empty_rows, normalize_rows
 from ..operators.fragments import all_fragments, merge_page_tables
+from ..operators.joining import join_back
+from ..operators.profile import as_text
+from .session import written
 from ..sources.csvtables import read_csv_rows
 from ..sources.markdown import markdown_fragments
 from ..sources.pages import page_routes, text_blocks
@@ -49,3 +53,34 @@ def ingest_images(transcripts: DataFrame, identifier_mode: str = "all_values") -
     rows, headers = merge_page_tables(pieces)
     typed, decisions = normalize_rows(rows, identifier_mode)
     return typed, headers, decisions, text_blocks(paged)
+
+
+def ingest_sheets(
+    sheets: DataFrame, identifier_mode: str = "all_values"
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Extracted workbook cells to (typed rows, headers, column decisions, metadata).
+
+    ``sheets(doc_id, sheet_no, sheet, row_no, cells)`` has a row for every row
+    of every sheet, cells typed as the workbook has them (``profile.CELL``). A
+    sheet's first row that is not empty is its header. Sheets become tables
+    with safe names of their own, in the order of the workbook; one without a
+    value below its header is dropped. Columns without any value stay null.
+    ``metadata(doc_id, sheet_count)`` has every workbook, also one whose sheets
+    are all empty.
+    """
+    key = ["doc_id", "sheet_no"]
+    filled = drop_empty_rows(sheets.withColumn("table_name", F.col("sheet_no").cast("string")).drop("sheet"))
+    firsts = filled.groupBy(*key).agg(F.min_by("cells", "row_no").alias("first"), F.min("row_no").alias("header_row"), F.count("*").alias("n_rows"))
+    # A workbook's names depend on each other; a row of them per workbook.
+    named = sheets.select(*key, "sheet").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sheet_no", "sheet"))).alias("s"))
+    names = named.select("doc_id", F.explode(F.arrays_zip(
+        F.transform("s", lambda x: x["sheet_no"]).alias("sheet_no"), sheet_table_names(F.transform("s", lambda x: x["sheet"])).alias("name"))).alias("x"))
+    tables = written(firsts.where("n_rows > 1").join(names.select("doc_id", "x.*"), key), "sheet-tables")
+    below = join_back(filled.drop("table_name"), tables.select(*key, "name", "header_row", "n_rows"), key, "n_rows")
+    rows = below.where(F.col("row_no") > F.col("header_row")).select("doc_id", F.col("name").alias("table_name"), "row_no", "cells")
+    shown = lambda c: F.coalesce(as_text(c["text"], c["num"], c["ts"], c["flag"]), F.lit(""))
+    headers = tables.select("doc_id", F.col("name").alias("table_name"), F.transform("first", shown).alias("header"))
+    typed, decisions = normalize_rows(rows, identifier_mode)
+    counts = tables.groupBy("doc_id").agg(F.count("*").alias("sheet_count"))
+    meta = sheets.select("doc_id").distinct().join(counts, "doc_id", "left").na.fill(0, ["sheet_count"])
+    return typed, headers, decisions, meta

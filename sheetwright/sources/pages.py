@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .routing import route_files
+
 from ..functions.text import strip
 from ..operators.ordered import numbered
 
@@ -89,3 +91,23 @@ def doc_meta(routes: DataFrame, tables: DataFrame | None = None) -> DataFrame:
         return meta
     counts = tables.groupBy("doc_id").agg(F.count_distinct("table_name").alias("n_tables"))
     return meta.join(counts, "doc_id", "left").na.fill(0, ["n_tables"])
+
+
+def document_facts(files: DataFrame, paged: DataFrame, sheets: DataFrame) -> DataFrame:
+    """One row per file with its name, kind and counts; a count that its kind does not have is null.
+
+    ``files(doc_id, path)``; ``paged`` as ``doc_meta`` gives it, for documents
+    of pages; ``sheets(doc_id, sheet_count)`` for workbooks. A picture is one
+    transcribed page.
+    """
+    found = route_files(files).join(paged.select("doc_id", "page_count", F.col("vision_pages").alias("scans"), F.col("source_type").alias("paged_as")), "doc_id", "left")
+    found = found.join(sheets.select("doc_id", F.col("sheet_count").alias("sheets")), "doc_id", "left")
+    kind = F.col("route")
+    return found.select(
+        "doc_id",
+        F.element_at(F.split("path", "/"), -1).alias("file_name"),
+        F.when(kind == "pdf", F.coalesce("paged_as", F.lit("pdf_text"))).otherwise(kind).alias("source_type"),
+        F.when(kind == "pdf", F.coalesce("page_count", F.lit(0))).alias("page_count"),
+        F.when(kind == "image", F.lit(1)).when(kind == "pdf", F.coalesce("scans", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("vision_pages"),
+        F.when(kind == "spreadsheet", F.coalesce("sheets", F.lit(0))).when(kind == "csv", F.lit(1)).cast("long").alias("sheet_count"),
+    )

@@ -8,9 +8,10 @@ from sheetwright.functions import encoding as E
 from sheetwright.functions import messages as M
 from sheetwright.functions import text as X
 from sheetwright.operators import clean, fragments, questions as Q, registry as R
-from sheetwright.plans.ingest import ingest_images, ingest_pages
+from sheetwright.operators.profile import typed_cell
+from sheetwright.plans.ingest import ingest_images, ingest_pages, ingest_sheets
 from sheetwright.plans.session import new_path, written
-from sheetwright.sources import csvtables, markdown, pages, routing, store
+from sheetwright.sources import csvtables, manifest, markdown, pages, routing, store
 from sheetwright.streaming.chats import stream_current_doc
 from sheetwright.streaming.files import ingest_batch, stream_ingest, with_file_path
 
@@ -134,9 +135,9 @@ def stored_tables(spark, sf):
         F.count("*").alias("n"), F.round(F.sum(F.col("cells")[1]["num"]), 2).alias("total"))
 
 
-@query("question_log", """SELECT o_orderpriority AS question, count(*) AS n_rows FROM orders GROUP BY 1""")
+@query("question_log", """SELECT 'orders' AS doc_id, o_orderpriority AS question, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 2""")
 def question_log(spark, sf):
-    """Answers kept with their question, row count and result."""
+    """Answers kept with their document, question, row count and result."""
     answers = (
         Q.total_by(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice")
         .select(F.current_timestamp().alias("ts"), F.lit("orders").alias("doc_id"), F.col("o_orderpriority").alias("question"),
@@ -144,7 +145,38 @@ def question_log(spark, sf):
     )
     path = new_path(spark, "questions")
     store.log_questions(answers, path, 1)
-    return store.read_table(spark, path).select("question", "n_rows")
+    total = F.round(F.get_json_object("result", "$.total").cast("double"), 2).alias("total")
+    return store.read_table(spark, path).where("ts IS NOT NULL").select("doc_id", "question", "n_rows", total)
+
+
+@query("read_one_document", """SELECT o_custkey AS doc_id, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders
+    WHERE o_custkey = (SELECT max(o_custkey) FROM orders) GROUP BY 1""")
+def read_one_document(spark, sf):
+    """Orders of customers stored in four batches whose documents mix; one document is removed and committed again, one is read."""
+    path = new_path(spark, "manifest")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", "o_totalprice")
+    for i in range(4):
+        manifest.commit(orders.where(F.col("doc_id") % 4 == i), path, i)
+    last = orders.agg(F.max("doc_id")).first()[0]
+    manifest.remove(spark.createDataFrame([(last,)], "doc_id long"), path)
+    manifest.commit(orders.where(F.col("doc_id") == last), path, "again")
+    one = manifest.read_one(spark, path, last)
+    return one.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("manifest_retired", """SELECT count(*) AS n, count(DISTINCT o_custkey) AS n_docs, round(sum(o_totalprice), 2) AS total FROM orders
+    WHERE o_custkey >= (SELECT quantile_disc(o_custkey, 0.5) FROM (SELECT DISTINCT o_custkey FROM orders))""")
+def manifest_retired(spark, sf):
+    """The older half of the documents hidden by marks, the rest compacted in one job."""
+    path = new_path(spark, "manifest")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), "o_totalprice")
+    for i in range(3):
+        manifest.commit(orders.where(F.col("doc_id") % 3 == i), path, i)
+    registry = orders.select("doc_id", F.col("doc_id").alias("ingested_at")).distinct()
+    half = registry.agg(F.percentile_approx("doc_id", 0.5, 1_000_000)).first()[0]
+    manifest.retire(spark, path, registry, F.lit(half))
+    manifest.compact(spark, path)
+    return manifest.read_all(spark, path).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 # --- Pages ---------------------------------------------------------------------
@@ -187,6 +219,44 @@ def doc_meta(spark, sf):
     return pages.doc_meta(pages.page_routes(facts), tables)
 
 
+@query("workbook_tables", """WITH s AS (SELECT s_nationkey AS doc_id, s_suppkey, s_name, s_acctbal, s_suppkey % 3 AS kind FROM supplier)
+    SELECT doc_id, CASE WHEN kind = 2 THEN 'document_text_2' WHEN kind = 1 AND EXISTS (SELECT 1 FROM s t WHERE t.doc_id = s.doc_id AND t.kind = 0) THEN 'Blatt_1_2' ELSE 'Blatt_1' END AS table_name, count(*) AS n, round(sum(s_acctbal), 2) AS total,
+        CAST(sum(s_suppkey) AS DOUBLE) AS keys, count(*) FILTER (s_acctbal > 0) AS positive, max(DATE '2024-01-01' + CAST(s_suppkey AS INTEGER)) AS latest,
+        (SELECT count(DISTINCT kind) FROM s t WHERE t.doc_id = s.doc_id) AS sheet_count FROM s GROUP BY doc_id, kind""")
+def workbook_tables(spark, sf):
+    """Workbooks of a nation's suppliers: three sheets whose safe names collide, German text beside typed cells, an empty sheet."""
+    s = table(spark, sf, "supplier")
+    kind, day = F.col("s_suppkey") % 3, F.date_add(F.lit("2024-01-01").cast("date"), F.col("s_suppkey").cast("int")).cast("timestamp")
+    name = F.when(kind == 0, "Blatt 1").when(kind == 1, "Blatt-1").otherwise("document text")
+    cell = typed_cell
+    body = s.select(F.col("s_nationkey").alias("doc_id"), kind.cast("int").alias("sheet_no"), name.alias("sheet"), (F.col("s_suppkey") + 2).alias("row_no"),
+                    F.array(cell(F.col("s_name")), cell(german(F.col("s_acctbal"))), cell(num=F.col("s_suppkey").cast("double")), cell(flag=F.col("s_acctbal") > 0), cell(ts=day), cell()).alias("cells"))
+    names = F.array(*[cell(F.lit(x)) for x in ("Name", "Saldo", "Nr", "Haben", "Tag")], cell())
+    heads = body.select("doc_id", "sheet_no", "sheet").distinct().withColumn("row_no", F.lit(1).cast("long")).withColumn("cells", names)
+    blank = body.select("doc_id").distinct().select("doc_id", F.lit(3).alias("sheet_no"), F.lit("leer").alias("sheet"), F.lit(1).cast("long").alias("row_no"), names.alias("cells"))
+    typed, headers, _, meta = ingest_sheets(body.unionByName(heads).unionByName(blank).withColumn("row_no", F.col("row_no").cast("long")), "digits_only")
+    c = lambda i, part: F.col("cells")[i][part]
+    found = typed.groupBy("doc_id", "table_name").agg(
+        F.count("*").alias("n"), F.round(F.sum(c(1, "num")), 2).alias("total"), F.sum(c(2, "num")).alias("keys"), F.count_if(c(3, "flag")).alias("positive"),
+        F.max(c(4, "ts")).cast("date").alias("latest"))
+    return found.join(headers.where(F.col("header")[1] == "Saldo").select("doc_id", "table_name"), ["doc_id", "table_name"]).join(meta, "doc_id")
+
+
+@query("document_facts", """SELECT event_id AS doc_id, event_id || CASE event_type WHEN 'view' THEN '.pdf' WHEN 'click' THEN '.XLSX' WHEN 'signup' THEN '.png' WHEN 'error' THEN '.csv' ELSE '.doc' END AS file_name,
+        CASE event_type WHEN 'view' THEN CASE WHEN event_id % 3 > 0 THEN 'pdf_scanned' ELSE 'pdf_text' END WHEN 'click' THEN 'spreadsheet' WHEN 'signup' THEN 'image' WHEN 'error' THEN 'csv' ELSE 'quarantine' END AS source_type,
+        CASE WHEN event_type = 'view' THEN 3::BIGINT END AS page_count, CASE event_type WHEN 'view' THEN event_id % 3 WHEN 'signup' THEN 1 ELSE 0 END::BIGINT AS vision_pages,
+        CASE event_type WHEN 'click' THEN event_id % 4 WHEN 'error' THEN 1 END::BIGINT AS sheet_count FROM events""")
+def document_facts(spark, sf):
+    """Name, kind and counts of files of all kinds."""
+    e, kind = table(spark, sf, "events"), F.col("event_type")
+    suffix = F.when(kind == "view", ".pdf").when(kind == "click", ".XLSX").when(kind == "signup", ".png").when(kind == "error", ".csv").otherwise(".doc")
+    files = e.select(F.col("event_id").alias("doc_id"), F.concat(F.lit("/in/"), F.col("event_id"), suffix).alias("path"))
+    routes = e.where(kind == "view").select(F.col("event_id").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page_no"))
+    routes = routes.withColumn("route", F.when(F.col("page_no") <= F.col("doc_id") % 3, "scan").otherwise("text"))
+    sheets = e.where((kind == "click") & (F.col("event_id") % 4 > 0)).select(F.col("event_id").alias("doc_id"), (F.col("event_id") % 4).alias("sheet_count"))
+    return pages.document_facts(files, pages.doc_meta(routes), sheets)
+
+
 @query("text_blocks", r"""
     WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS page_no FROM documents)
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no) - 1 AS INTEGER) AS block_index,
@@ -245,13 +315,15 @@ def q_page_totals(spark, sf):
         "source_page", F.round("total", 2).alias("total"), "n")
 
 
-@query("markdown_tables", """SELECT s_suppkey AS doc_id, 0 AS index_on_page, s_name AS c1, CAST(s_nationkey AS VARCHAR) AS c2,
-        translate(format('{:,.2f}', s_acctbal), ',.', '.,') AS c3 FROM supplier
-    UNION ALL SELECT s_suppkey, 1, CAST(s_suppkey AS VARCHAR), NULL, NULL FROM supplier""")
+@query("markdown_tables", """SELECT s_suppkey AS doc_id, 0 AS index_on_page, 2 AS n_rows, 'Name|Land|Saldo' AS header, s_name || '|' || s_nationkey || '|' ||
+        translate(format('{:,.2f}', s_acctbal), ',.', '.,') AS body FROM supplier
+    UNION ALL SELECT s_suppkey, 1, 2, 'Nr', CAST(s_suppkey AS VARCHAR) FROM supplier""")
 def markdown_tables(spark, sf):
+    """Every row of every table in the transcripts."""
     found = markdown.markdown_fragments(supplier_transcripts(spark, sf))
-    row = F.element_at("rows", 2)
-    return found.select("doc_id", "index_on_page", row[0].alias("c1"), F.get(row, F.lit(1)).alias("c2"), F.get(row, F.lit(2)).alias("c3"))
+    texts = F.transform("rows", lambda r: F.array_join(r, "|"))
+    return found.select("doc_id", "index_on_page", F.size("rows").alias("n_rows"), texts[0].alias("header"),
+                        F.array_join(F.slice(texts, 2, 100), "/").alias("body"))
 
 
 @query("scanned_and_ruled_pages", """SELECT s_suppkey // 10 AS doc_id, round(sum(s_acctbal), 2) AS total, count(*) AS n,
@@ -456,7 +528,7 @@ def attachment_refs(spark, sf):
     return R.file_refs(_entries(spark, sf))
 
 
-def _messages(spark, sf):
+def _messages(spark, sf, *more):
     """Conversation turns as messages with a picture and a listed image."""
     c = table(spark, sf, "conversations")
     url = F.concat(F.when(F.col("turn") % 2 == 0, F.lit(" data:image/PNG;base64,")).otherwise(F.lit("data:image/jpeg;base64,")),
@@ -468,7 +540,7 @@ def _messages(spark, sf):
         F.struct(F.lit("image").alias("type"), F.lit("data:image/svg+xml;base64,PHN2Zz4=").alias("url")),
         F.struct(F.lit("image").alias("type"), F.lit("http://nowhere/x.png").alias("url")),
         F.struct(F.lit("image").alias("type"), F.lit("data:image/gif;base64,A").alias("url")))), M.FILES_SCHEMA)
-    return c.select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("ts"), F.array(words, part).alias("parts"), listed.alias("files"))
+    return c.select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("ts"), F.array(words, part).alias("parts"), listed.alias("files"), *more)
 
 
 @query("inline_images", """SELECT conv_id AS chat_id, turn AS ts, CASE WHEN turn % 2 = 0 THEN 'bild_1.png' ELSE 'bild_1.jpg' END AS name, sha256(text) AS source_id FROM conversations
@@ -477,18 +549,26 @@ def inline_images(spark, sf):
     return R.inline_images(_messages(spark, sf)).select("chat_id", "ts", "name", R.fingerprint(F.col("content")).alias("source_id"))
 
 
+@query("last_inline_images", """WITH last AS (SELECT conv_id AS chat_id, max(turn) AS ts, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1)
+    SELECT chat_id, ts, CASE WHEN ts % 2 = 0 THEN 'bild_1.png' ELSE 'bild_1.jpg' END AS name, sha256(text) AS source_id FROM last
+    UNION ALL SELECT chat_id, ts, 'bild_2.svg', sha256('<svg>') FROM last""")
+def last_inline_images(spark, sf):
+    found = R.last_inline_images(_messages(spark, sf, "role"))
+    return found.select("chat_id", "ts", "name", R.fingerprint(F.col("content")).alias("source_id"))
+
+
 @query("attachments", """
     WITH a AS (
-        SELECT conv_id AS chat_id, turn AS ts, sha256(text) AS source_id FROM conversations
-        UNION ALL SELECT conv_id, turn, sha256('<svg>') FROM conversations
-        UNION ALL SELECT conv_id, turn + 1, sha256(text) FROM conversations)
-    SELECT chat_id, source_id, min(ts) AS ts FROM a GROUP BY 1, 2""")
+        SELECT conv_id AS chat_id, turn AS ts, CASE WHEN turn % 2 = 0 THEN 'bild_1.png' ELSE 'bild_1.jpg' END AS name, sha256(text) AS source_id FROM conversations
+        UNION ALL SELECT conv_id, turn, 'bild_2.svg', sha256('<svg>') FROM conversations
+        UNION ALL SELECT conv_id, turn + 1, 'notiz.txt', sha256(text) FROM conversations)
+    SELECT chat_id, source_id, min(ts) AS ts, min({'ts': ts, 'name': name}).name AS name FROM a GROUP BY 1, 2""")
 def attachments(spark, sf):
     """Files and pictures of a chat, each content once; every text is there as both."""
     files = table(spark, sf, "conversations").select(
         F.col("conv_id").alias("chat_id"), (F.col("turn") + 1).alias("ts"), F.lit("notiz.txt").alias("name"),
         F.encode("text", "UTF-8").alias("content"))
-    return R.attachments(files, R.inline_images(_messages(spark, sf))).select("chat_id", "source_id", "ts")
+    return R.attachments(files, R.inline_images(_messages(spark, sf))).select("chat_id", "source_id", "ts", "name")
 
 
 # --- Messages ------------------------------------------------------------------
