@@ -10,6 +10,8 @@ costs no more to finish than a small one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import numbers as N
@@ -88,7 +90,7 @@ def as_text(text: Column, num: Column, ts: Column, flag: Column) -> Column:
     )
 
 
-def _with_facts(cells: DataFrame, identifier_mode: str) -> DataFrame:
+def _with_facts(cells: DataFrame, identifier_mode: str, *keep: str) -> DataFrame:
     """Yes/no facts about each filled cell.
 
     Each step uses only columns of the step before, so every pattern is
@@ -114,6 +116,7 @@ def _with_facts(cells: DataFrame, identifier_mode: str) -> DataFrame:
         long = long & ~F.coalesce(amount, F.lit(False)) & ~number
     return shaped.select(
         *COLUMN_KEY,
+        *keep,
         *[F.col(n).isNotNull().alias(f"is_{n}") for n in ("text", "num", "ts", "flag")],
         N.has_leading_zero(shown).alias("is_zero"),
         long.alias("is_long"),
@@ -228,6 +231,53 @@ def column_decisions(
     return written(_decisions(rows, stats, all_identifiers), "column-decisions")
 
 
+# Distinct values are estimated with a standard error of 1.04 / sqrt(2 ** SKETCH).
+SKETCH = 14
+# An estimate settles a question that is so many standard errors away from it.
+SURE = 5.0
+
+
+def column_state(rows: DataFrame, identifier_mode: str = "all_values") -> DataFrame:
+    """Counts per column of every table and a sketch of its distinct values, as a written table.
+
+    The state of rows that come in batches is the states of the batches put
+    together (``merged_states``), so a profile is brought up to date without
+    reading earlier batches again.
+    """
+    cells = exploded(rows)
+    facts = _with_facts(cells.withColumn("value", strip(as_text(*[F.col(n) for n in ("text", "num", "ts", "flag")]))), identifier_mode, "value")
+    counted = [c for c in facts.columns if c not in (*COLUMN_KEY, "value")]
+    return written(facts.groupBy(*COLUMN_KEY).agg(
+        F.count("*").alias("n_filled"), *[F.count_if(c).alias("n_" + c.removeprefix("is_")) for c in counted],
+        F.hll_sketch_agg("value", F.lit(SKETCH)).alias("distinct_sketch")), "column-state")
+
+
+def merged_states(states: list[DataFrame]) -> DataFrame:
+    """The state of all rows that ``states`` were taken from, as a written table."""
+    both = reduce(DataFrame.unionByName, states)
+    sums = [F.sum(c).alias(c) for c in both.columns if c.startswith("n_")]
+    return written(both.groupBy(*COLUMN_KEY).agg(*sums, F.hll_union_agg("distinct_sketch").alias("distinct_sketch")), "column-state")
+
+
+def state_decisions(state: DataFrame, rows: DataFrame, default: str = "german", all_identifiers: bool = False) -> DataFrame:
+    """``column_decisions`` of ``rows`` from their ``state``.
+
+    Only columns whose estimate is too near the share of distinct values that
+    makes an identifier are counted in ``rows``; ``n_distinct`` is the estimate
+    of the others.
+    """
+    stats = _with_decision_inputs(state, default).withColumn("n_distinct", F.least(F.hll_sketch_estimate("distinct_sketch"), "n_filled")).drop("distinct_sketch")
+    open_question = F.col("maybe_unique_ids") if all_identifiers else F.col("maybe_unique_ids") & F.col("converts")
+    off = SURE * 1.04 / (1 << SKETCH) ** 0.5 * F.col("n_distinct")
+    stats = written(stats.withColumn("near", open_question & (F.abs(F.col("n_distinct") - UNIQUE_SHARE * F.col("n_filled")) <= off)), "column-stats")
+    unsure = stats.where("near")
+    if unsure.isEmpty():
+        return written(_decide(stats.drop("near")), "column-decisions")
+    counted = _distinct_counts(rows, unsure).withColumnRenamed("n_distinct", "n_counted")
+    exact = stats.join(counted, COLUMN_KEY, "left").withColumn("n_distinct", F.coalesce("n_counted", "n_distinct")).drop("n_counted", "near")
+    return written(_decide(exact), "column-decisions")
+
+
 def column_names(headers: DataFrame) -> DataFrame:
     """``headers(doc_id, table_name, header)`` to one named row per column."""
     return headers.select(*TABLE_KEY, F.posexplode(unique_names(F.col("header"))).alias("col_no", "name"))

@@ -128,7 +128,7 @@ def _part_rows(spark, sf):
         ).alias("cells"))
 
 
-@query("identifier_columns", """
+_IDENTIFIER_SQL = """
     WITH v AS (
         SELECT p_brand AS doc_id, unnest([0, 1, 2, 3, 4]) AS col_no, unnest([
             CASE WHEN p_partkey % 3 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 7, '0') ELSE '9' || p_partkey END,
@@ -139,11 +139,23 @@ def _part_rows(spark, sf):
     SELECT doc_id, col_no,
            avg(CASE WHEN regexp_full_match(v, '0\\d+') THEN 1 ELSE 0 END) > 0.3
            OR (avg(CASE WHEN length(v) >= 8 THEN 1 ELSE 0 END) > 0.7 AND count(DISTINCT v) / count(*) > 0.95) AS identifier
-    FROM v GROUP BY 1, 2""")
+    FROM v GROUP BY 1, 2"""
+
+
+@query("identifier_columns", _IDENTIFIER_SQL)
 def identifier_columns(spark, sf):
     return profile.column_decisions(_part_rows(spark, sf), all_identifiers=True).select("doc_id", "col_no", "identifier")
 
 
+@query("profile_two_batches", _IDENTIFIER_SQL)
+def profile_two_batches(spark, sf):
+    """The same from the states of three batches that are put together; rows are read again for open questions only."""
+    rows = _part_rows(spark, sf)
+    states = [profile.column_state(rows.where(F.col("row_no") % 3 == i)) for i in range(3)]
+    state = profile.merged_states([profile.merged_states(states[:2]), states[2]])
+    return profile.state_decisions(state, rows, all_identifiers=True).select("doc_id", "col_no", "identifier")
+
+
 @query("typed_cells_keep_numbers", """SELECT o_orderstatus AS doc_id, round(sum(o_totalprice), 2) AS total,
         CAST(sum(o_custkey) AS DOUBLE) AS customers, min(strftime(o_orderdate, '%Y-%m-%d')) AS first_day,
         count(*) FILTER (o_custkey % 2 = 0) AS n_even
