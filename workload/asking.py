@@ -155,22 +155,36 @@ def q_join_inner(spark, sf):
     return Q.total_by(items.join(parts, F.col("l_partkey") == F.col("p_partkey")), ["p_brand"], "quantity")
 
 
+def _cleaned_orders(spark, sf):
+    df = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), german(F.col("o_totalprice")).alias("price"))
+    return clean.normalize_table(df, ["price"], "digits_only")
+
+
 @query("q_join_left", """SELECT c_custkey, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""")
 def q_join_left(spark, sf):
-    sums = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("total"))
+    sums = Q.total_by(_cleaned_orders(spark, sf), ["c_custkey"], "price").drop("n")
     joined = table(spark, sf, "customer").select("c_custkey").join(sums, "c_custkey", "left").na.fill(0.0, ["total"])
     return _rounded(joined, "total")
 
 
+@query("q_join_right", """SELECT p_brand, sum(l_quantity) AS total, count(l_partkey) AS n, count(*) FILTER (l_partkey IS NULL) AS unsold
+    FROM (SELECT * FROM lineitem WHERE l_quantity > 48) RIGHT JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def q_join_right(spark, sf):
+    items = _cleaned(spark, sf, "l_partkey", "quantity").where("quantity > 48")
+    parts = table(spark, sf, "part").select("p_partkey", "p_brand")
+    joined = items.join(parts, F.col("l_partkey") == F.col("p_partkey"), "right")
+    return joined.groupBy("p_brand").agg(F.sum("quantity").alias("total"), F.count("l_partkey").alias("n"), F.count_if(F.col("l_partkey").isNull()).alias("unsold"))
+
+
 @query("q_join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def q_join_semi(spark, sf):
-    big = table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    big = _cleaned_orders(spark, sf).where("price > 400000")
     return table(spark, sf, "customer").select("c_custkey").join(big, "c_custkey", "left_semi")
 
 
 @query("q_join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def q_join_anti(spark, sf):
-    big = table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    big = _cleaned_orders(spark, sf).where("price > 400000")
     return table(spark, sf, "customer").select("c_custkey").join(big, "c_custkey", "left_anti")
 
 
@@ -211,6 +225,12 @@ def q_rollup(spark, sf):
     return Q.total_levels(_cleaned(spark, sf, "l_returnflag", "l_linestatus", "quantity"), ["l_returnflag", "l_linestatus"], "quantity")
 
 
+@query("q_grouping_sets", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS total, count(*) AS n,
+        CAST(grouping(l_returnflag, l_linestatus) AS INTEGER) AS level FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())""")
+def q_grouping_sets(spark, sf):
+    return Q.total_sets(_cleaned(spark, sf, "l_returnflag", "l_linestatus", "quantity"), [["l_returnflag"], ["l_linestatus"], []], "quantity")
+
+
 @query("q_cube", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS total, count(*) AS n,
         CAST(grouping(l_returnflag, l_linestatus) AS INTEGER) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def q_cube(spark, sf):
