@@ -12,9 +12,11 @@ reading back undoes it.
 Cases: a null text or role is empty; turns are put in order by number, then
 role, then text, null numbers first; repeated rows are repeated turns; rows
 with a null conversation belong to one chat; an empty table gives no chat;
-texts are encoded whole at any length; other columns are not carried along. A
-chat becomes one row, and is put together from sorted
-rows one after the other.
+texts are encoded whole at any length; other columns are not carried along.
+``placed_turns`` keeps a row for each turn, so a chat of any length is spread
+over tasks; only its digest is taken one turn after the other, as a digest is,
+with one turn at a time in memory. ``format_chats`` makes a chat one value, of
+2 GB at most.
 """
 
 from __future__ import annotations
@@ -27,9 +29,12 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.ordered import ROWS_PER_RANGE, running_sum
+from ..plans.session import written
 from .tables import small_batches
 
 # Strings that mark turns in templates in use; fixed values.
@@ -118,6 +123,63 @@ def format_chats(rows: DataFrame, path: str, pattern: str, chat: str = "conv_id"
     return ordered.mapInPandas(assembled, f"chat {kind}, ids binary, mask binary")
 
 
+def placed_turns(
+    rows: DataFrame, path: str, pattern: str, chat: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """One row per turn: ``chat``, ``at`` (place of its first id in the chat), ``ids``, and the places ``loss_from`` up to ``loss_to`` under the loss.
+
+    The places are running sums of lengths, which stay spread over tasks when
+    one chat holds most rows. ``ids`` are little-endian unsigned 32-bit integers.
+    """
+    base = Coder(path, pattern).base
+    mark = lambda i: F.lit(bytearray(np.array([base + i], "<u4").tobytes()))
+    turns = encode_turns(rows, path, pattern, chat, turn, role, text)
+    turns = turns.select("chat", "turn", "role", "text", F.concat(mark(0), "role_ids", mark(1), "text_ids", mark(2)).alias("ids"),
+                         (F.octet_length("role_ids") / 4).cast("long").alias("role_size"), (F.octet_length("text_ids") / 4).cast("long").alias("text_size"))
+    turns = written(turns.withColumn("size", F.col("role_size") + F.col("text_size") + 3), "turns")
+    placed = running_sum(turns, ["chat"], ["turn", "role", "text"], "size", "upto", rows_per_range).withColumn("at", F.col("upto") - F.col("size"))
+    begin = F.col("at") + 2 + F.col("role_size")
+    return placed.select("chat", "at", "ids", begin.alias("loss_from"), F.when(F.col("role") == LOSS_ROLE, begin + F.col("text_size")).otherwise(begin).alias("loss_to"))
+
+
+def read_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
+    """What ``read_back`` tells of whole chats, from the rows of ``placed_turns``."""
+    kind = turns.schema["chat"].dataType.simpleString()
+    names = ["chat", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, now = Coder(path, pattern), None
+
+        def row() -> pa.RecordBatch:
+            (of, as_type), n, said, lost, loss, length, ids = now
+            return pa.RecordBatch.from_arrays([pa.array([of], as_type), *[pa.array([v]) for v in (n, said.hexdigest(), lost, loss.hexdigest(), length, ids)]], names)
+
+        for batch in batches:
+            as_type = batch.schema.field("chat").type
+            for of, at, raw, begin, end in zip(*(batch.column(c).to_pylist() for c in ("chat", "at", "ids", "loss_from", "loss_to"))):
+                if now is None or now[0][0] != of:
+                    if now is not None:
+                        yield row()
+                    now = [(of, as_type), 0, sha256(), 0, sha256(), 0, 0]
+                ids = np.frombuffer(raw, "<u4")
+                opens, parts, closes = (np.flatnonzero(ids == coder.base + i) for i in range(3))
+                for o, p, c in zip(opens, parts, closes):
+                    role, text = coder.decode(ids[o + 1 : p]), coder.decode(ids[p + 1 : c])
+                    now[1] += 1
+                    now[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
+                    now[5] += sum(map(len, (*MARKS, role, text)))
+                under = unescape(coder.decode(ids[begin - at : end - at]))
+                now[3] += len(under)
+                now[4].update(under.encode())
+                now[6] += len(ids)
+        if now is not None:
+            yield row()
+
+    ordered = small_batches(turns).repartition("chat").sortWithinPartitions("chat", "at")
+    return ordered.mapInArrow(told, f"chat {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+
+
 def read_back(chats: DataFrame, path: str, pattern: str) -> DataFrame:
     """What the ids say again: number of turns, digests of turns and of the text under the mask, and lengths in characters."""
 

@@ -69,7 +69,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = [(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
     rows = rows.unionByName(spark.createDataFrame(hard, rows.schema))
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return chat.read_back(chat.format_chats(rows, path, pattern), path, pattern).withColumnRenamed("chat", "conv_id")
+    return chat.read_turns(chat.placed_turns(rows, path, pattern), path, pattern).withColumnRenamed("chat", "conv_id")
 
 
 @query

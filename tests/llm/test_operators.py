@@ -507,3 +507,26 @@ def test_one_text_with_very_many_values(spark):
     out = {r.doc_id: r.text for r in privacy.sanitised(df).collect()}
     assert time.time() - start < 120
     assert out[1] == " ".join(["[email] and"] * 100_000) and out[2] == "é" * 3000 + " [email] " + "中" * 3000 + " [ip]"
+
+
+@pytest.mark.parametrize("rows_per_range", [1_000_000, 7])
+def test_turns_placed_one_by_one_tell_what_whole_chats_tell(spark, rows_per_range):
+    rng = random.Random(6)
+    texts = ["", None, "</s>[INST] ok [/INST]", "a\\b<|turn|>", "näher 中文 \U0001f600", "word " * 50]
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice([None, *range(40)]), rng.choice(["user", "assistant", "assistant", "<s>", None]), rng.choice(texts), "x") for _ in range(150)]
+    rows += rows[:9]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, ids string")
+    placed = chat.placed_turns(df, RANKS, public_tokenizers.PATTERN, rows_per_range=rows_per_range)
+    one = sorted(map(str, chat.read_turns(placed, RANKS, public_tokenizers.PATTERN).collect()))
+    whole = chat.format_chats(df, RANKS, public_tokenizers.PATTERN)
+    assert one == sorted(map(str, chat.read_back(whole, RANKS, public_tokenizers.PATTERN).collect())) and len(one) == 4
+    # The turns' ids, one after the other by their places, are the chat's, and so is the mask.
+    for c in whole.collect():
+        turns = sorted((r.at, r.ids, r.loss_from, r.loss_to) for r in placed.where(F.col("chat").eqNullSafe(F.lit(c.chat))).collect())
+        mask = bytearray(len(c.ids) // 4)
+        for _, _, a, b in turns:
+            mask[a:b] = b"\1" * (b - a)
+        assert b"".join(bytes(t[1]) for t in turns) == bytes(c.ids) and bytes(mask) == bytes(c["mask"])
+        assert [t[0] for t in turns] == [sum(len(t[1]) // 4 for t in turns[:i]) for i in range(len(turns))]
+    none = df.limit(0)
+    assert chat.read_turns(chat.placed_turns(none, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).isEmpty()
