@@ -135,6 +135,21 @@ def stored_tables(spark, sf):
         F.count("*").alias("n"), F.round(F.sum(F.col("cells")[1]["num"]), 2).alias("total"))
 
 
+@query("stored_document", """SELECT s_nationkey AS doc_id, CAST(s_nationkey % 2 AS INTEGER) AS batch, s_suppkey AS row_no, s_name AS name, s_acctbal AS balance FROM supplier
+    WHERE s_nationkey = (SELECT max(s_nationkey) FROM supplier)""")
+def stored_document(spark, sf):
+    """One document read back from a store of two batches."""
+    s = table(spark, sf, "supplier")
+    rows = s.select(F.col("s_nationkey").alias("doc_id"), F.lit("data").alias("table_name"), F.col("s_suppkey").alias("row_no"),
+                    F.array("s_name", german(F.col("s_acctbal"))).alias("cells"))
+    typed, _ = clean.normalize_rows(rows, "digits_only")
+    path = new_path(spark, "stored")
+    for i in range(2):
+        store.write_batch(typed.where(F.col("doc_id") % 2 == i), path, i, ["doc_id", "row_no"])
+    found = store.read_document(spark, path, s.agg(F.max("s_nationkey")).first()[0])
+    return found.select("doc_id", "batch", "row_no", F.col("cells")[0]["text"].alias("name"), F.col("cells")[1]["num"].alias("balance"))
+
+
 @query("question_log", """SELECT 'orders' AS doc_id, o_orderpriority AS question, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 2""")
 def question_log(spark, sf):
     """Answers kept with their document, question, row count and result."""
