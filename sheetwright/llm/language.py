@@ -8,8 +8,10 @@ seen nothing else. They are fitted on a bounded sample and sent with the job.
 
 Cases: a null text or one without a letter is ``und`` with score 0; ties go to
 the name first in order; languages without a listed family are families of
-their own; texts are taken whole, in windows; with no labelled row everything
-is ``und``.
+their own; texts are taken whole at any length, in windows; with no labelled row
+everything is ``und``; repeated rows are each identified, and learned from once;
+an empty table gives an empty table; other columns are carried along, but those
+named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -163,5 +165,6 @@ def identify(docs: DataFrame, machines: dict[str, Svm], how: Fit = Fit(), text:
 
     over.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     predict = F.pandas_udf(over, "lang_pred string, family_pred string, score double")
-    found = small_batches(docs).select(*[F.col(f"`{c}`") for c in carried], predict(F.col(f"`{text}`")).alias("found_"))
-    return found.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"found_.{c}").alias(c) for c in added])
+    row = F.struct(*[F.col(f"`{c}`") for c in carried], F.lit(0).alias("no column"))
+    found = small_batches(docs).select(row.alias("row"), predict(F.col(f"`{text}`")).alias("found"))
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in carried], *[F.col(f"found.{c}").alias(c) for c in added])

@@ -7,8 +7,12 @@ Terms that say nothing about the label in the sample, neither alone nor in a
 pair, are left out before the fit. The machine is fitted on a bounded sample and sent with the job.
 
 Cases: null and empty texts score what the machine gives for no term; texts
-are taken whole; repeated words count once; with no labelled row, or only one
-class, the score is the share of that class (0 without rows).
+are taken whole at any length; repeated words count once; with no labelled row,
+or only one class, the score is the share of that class (0 without rows);
+repeated rows are each scored, and rows with the same key are learned from once
+for each label; equal scores are equally predicted, 0.5 as toxic; an empty table
+gives an empty table; other columns are carried along, but those named as a
+result are replaced.
 """
 
 from __future__ import annotations
@@ -163,6 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), text: str = "text"
     narrow = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropDuplicates()
     chosen = per_class(narrow, "label", how.bound, "key")
     texts = joined(small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")), chosen, ["key"])
+    # A sampled key may have any number of rows; one text of each is taken.
+    texts = texts.groupBy("key", "label").agg(F.min("text").alias("text"))
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

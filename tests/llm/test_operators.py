@@ -530,3 +530,42 @@ def test_turns_placed_one_by_one_tell_what_whole_chats_tell(spark, rows_per_rang
         assert [t[0] for t in turns] == [sum(len(t[1]) // 4 for t in turns[:i]) for i in range(len(turns))]
     none = df.limit(0)
     assert chat.read_turns(chat.placed_turns(none, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).isEmpty()
+
+
+CLASH = ", lang_pred string, family_pred string, score string, predicted string, found_ string, key string, label string, mark string, x string"
+
+
+def with_clash(spark, rows):
+    return spark.createDataFrame([(*r, *["z"] * 9) for r in rows], "doc_id long, text string, lang string" + CLASH)
+
+
+def test_language_of_odd_rows(spark):
+    rng = random.Random(8)
+    train = [(i, prose(rng, 30), "aa") for i in range(20)] + [(100 + i, prose(rng, 30).translate(str.maketrans("aeio", "xyzw")), "bb") for i in range(20)]
+    train += [train[0]] * 50 + [(None, "no key here", "aa"), (500, None, "bb"), (501, "", None)]
+    machines = language.fit(with_clash(spark, train))
+    odd = [(1, None, None), (2, "", "aa"), (3, "123 !", "aa"), (4, "中", None), (5, train[3][1] * 2000, None), (6, train[25][1], None), (6, train[25][1], None)]
+    out = language.identify(with_clash(spark, odd), machines)
+    assert out.columns == ["doc_id", "text", "lang", "predicted", "found_", "key", "label", "mark", "x", "lang_pred", "family_pred", "score"]
+    got = [(r.doc_id, r.lang_pred) for r in out.collect()]
+    assert sorted(got)[:3] == [(1, "und"), (2, "und"), (3, "und")] and got.count((6, "bb")) == 2 and (5, "aa") in got
+    assert all(0 <= r.score <= 1 for r in out.collect())
+    assert language.identify(with_clash(spark, odd).limit(0), machines).isEmpty()
+    # A tie, as no machine has seen these letters, goes to the same name every time.
+    assert len({r.lang_pred for _ in range(2) for r in language.identify(with_clash(spark, [(i, "中文", None) for i in range(9)]), machines).collect()}) == 1
+
+
+def test_toxicity_of_odd_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, f"{prose(rng, 20)} {'vile thing' if i % 3 == 0 else 'kind thing'}", "en") for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(0, 1), (None, 1), (7, None), (8, 5)], "doc_id long, toxic int")
+    how = toxicity.Fit(rounds=30)
+    machine = toxicity.fit(with_clash(spark, rows + [rows[0]] * 500), labels, how)
+    odd = [(1, None, None), (2, "", None), (3, "unseen", None), (4, rows[0][1] + " padding" * 100_000, None), (5, "vile thing", None), (5, "vile thing", None)]
+    out = toxicity.scored(with_clash(spark, odd), machine, how)
+    found = [(r.doc_id, r.score, r.predicted) for r in out.collect()]
+    assert len(found) == 6 and all(0 <= s <= 1 and p == int(s >= 0.5) for _, s, p in found)
+    assert found[0][1:] == found[1][1:] == found[2][1:] and [p for d, _, p in found if d == 5] == [1, 1] and out.columns.count("score") == 1
+    assert toxicity.scored(with_clash(spark, odd).limit(0), machine, how).isEmpty()
+    none = toxicity.fit(with_clash(spark, rows[:1]).limit(0), labels.limit(0), how)
+    assert all(r.score < 1e-9 for r in toxicity.scored(with_clash(spark, odd), none, how).collect())
