@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import squeeze
 from ..plans.session import written
+from .joining import join_back
 from .ordered import ROWS_PER_RANGE, rank_within, running_sum
 from .profile import column_names
 
@@ -152,7 +153,28 @@ def _celled(df: DataFrame, cuts: list[float], cells: dict[str, str]) -> DataFram
     return df
 
 
-def in_interval(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, levels: int = 12) -> DataFrame:
+def _covers(depth: int) -> Column:
+    """The cells of all levels up to ``depth`` that make up those from ``low_cell`` to ``high_cell``.
+
+    On each level these are the first whole cell if it is the second of its
+    pair, and the last if it is the first of its pair.
+    """
+    return F.expr(f"""flatten(transform(sequence(0, {depth}), k -> filter(array(
+        if(shiftright(low_cell + (1L << k) - 1, k) % 2 = 1, struct(k AS level, shiftright(low_cell + (1L << k) - 1, k) AS place), NULL),
+        if(shiftright(high_cell + 1, k) % 2 = 1 AND NOT (shiftright(low_cell + (1L << k) - 1, k) % 2 = 1 AND shiftright(low_cell + (1L << k) - 1, k) + 1 = shiftright(high_cell + 1, k)),
+           struct(k AS level, shiftright(high_cell + 1, k) - 1 AS place), NULL)),
+        c -> c IS NOT NULL AND shiftright(low_cell + (1L << k) - 1, k) < shiftright(high_cell + 1, k))))""")
+
+
+def _cells_of(cell: str, depth: int) -> Column:
+    """The cell of each level up to ``depth`` that a cell of the lowest is in."""
+    return F.expr(f"transform(sequence(0, {depth}), k -> struct(k AS level, shiftright({cell}, k) AS place))")
+
+
+def in_interval(
+    points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, levels: int = 12,
+    totals: dict[str, tuple[str, str]] | None = None, rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
     """Join points with the intervals ``low <= point < high`` that hold them.
 
     The axis is cut into up to 2 ** ``levels`` cells at quantiles of the
@@ -161,28 +183,72 @@ def in_interval(points: DataFrame, intervals: DataFrame, point: str, low: str, h
     a point is in one cell of each; so both sides meet on equal cells, no pair
     meets twice, and no pairs are compared but those that share a cell. Values
     that are null are in no interval, and NaN is in none either.
+
+    With ``totals``, names with (``count``, ``sum``, ``min`` or ``max``, column
+    of the intervals; ``*`` for all rows), each point that is in an interval is
+    one row with the totals of the intervals that hold it. The cells are then
+    those between neighbouring ends, each of which an interval holds whole or
+    not at all; so totals are taken per cell and no pair is made. Use this
+    where the pairs, which may be as many as points times intervals, are only
+    added up.
     """
+    real = lambda df, c: F.col(c).isNotNull() & ~F.isnan(_number(df, c))
+    kept = intervals.where(real(intervals, low) & real(intervals, high) & (F.col(low) < F.col(high)))
+    if totals is not None:
+        return _totals_in_interval(points.where(real(points, point)), kept, point, low, high, totals, rows_per_range)
+
     ends = intervals.select(F.explode(F.array(_number(intervals, low), _number(intervals, high))).alias("end")).where("end IS NOT NULL AND NOT isnan(end)")
     shares = [i / (1 << levels) for i in range(1, 1 << levels)]
     cuts = ends.agg(F.percentile_approx("end", shares, 4 << levels).alias("cuts")).first()["cuts"] or []
     cuts = sorted({c for c in cuts if abs(c) != float("inf")}) or [0.0]
     depth = max(1, len(cuts)).bit_length()
-    real = lambda df, c: F.col(c).isNotNull() & ~F.isnan(_number(df, c))
 
     placed = _celled(points.where(real(points, point)), cuts, {point: "point_cell"})
-    placed = placed.withColumn("cell", F.explode(F.expr(f"transform(sequence(0, {depth}), k -> struct(k AS level, shiftright(point_cell, k) AS place))")))
-    listed = _celled(intervals.where(real(intervals, low) & real(intervals, high) & (F.col(low) < F.col(high))), cuts, {low: "low_cell", high: "high_cell"})
-    # On each level: the first whole cell if it is the second of its pair, and the last if it is the first of its pair.
-    covers = f"""flatten(transform(sequence(0, {depth}), k -> filter(array(
-        if(shiftright(low_cell + (1L << k) - 1, k) % 2 = 1, struct(k AS level, shiftright(low_cell + (1L << k) - 1, k) AS place), NULL),
-        if(shiftright(high_cell + 1, k) % 2 = 1 AND NOT (shiftright(low_cell + (1L << k) - 1, k) % 2 = 1 AND shiftright(low_cell + (1L << k) - 1, k) + 1 = shiftright(high_cell + 1, k)),
-           struct(k AS level, shiftright(high_cell + 1, k) - 1 AS place), NULL)),
-        c -> c IS NOT NULL AND shiftright(low_cell + (1L << k) - 1, k) < shiftright(high_cell + 1, k))))"""
-    listed = listed.withColumn("cell", F.explode(F.expr(covers)))
+    placed = placed.withColumn("cell", F.explode(_cells_of("point_cell", depth)))
+    listed = _celled(kept, cuts, {low: "low_cell", high: "high_cell"})
+    listed = listed.withColumn("cell", F.explode(_covers(depth)))
     joined = placed.join(listed, "cell")
     return joined.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("cell", "point_cell", "low_cell", "high_cell")
 
 
+def _totals_in_interval(
+    points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, totals: dict[str, tuple[str, str]], rows_per_range: int
+) -> DataFrame:
+    """``in_interval`` with totals, of rows without null and NaN: intervals to cells, cells to values, values to points."""
+    first = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    again = {**first, "count": F.sum}
+    of_rows = [F.count("*").alias("held_by"), *[first[kind](c).alias(name) for name, (kind, c) in totals.items()]]
+    of_totals = [F.sum("held_by").alias("held_by"), *[again[kind](name).alias(name) for name, (kind, _) in totals.items()]]
+    names = ["held_by", *totals]
+
+    # Every value once, with its uses and the number of different ends up to it.
+    def used(df: DataFrame, c: str, use: str) -> DataFrame:
+        return df.select(F.col(c).alias("axis_value"), *[F.lit(int(u == use)).cast("long").alias(u) for u in ("points", "lows", "highs")])
+
+    axis = used(points, point, "points").unionByName(used(intervals, low, "lows")).unionByName(used(intervals, high, "highs"))
+    axis = axis.groupBy("axis_value").agg(*[F.sum(u).alias(u) for u in ("points", "lows", "highs")])
+    axis = written(axis.withColumn("is_end", (F.col("lows") + F.col("highs") > 0).cast("long")), "interval-values")
+    axis = written(running_sum(axis, [], ["axis_value"], "is_end", "ends", rows_per_range), "interval-axis")
+    depth = (axis.agg(F.max("ends")).first()[0] or 1).bit_length()
+    kind = axis.schema["axis_value"].dataType
+
+    spans = intervals.groupBy(F.col(low).cast(kind).alias("low_value"), F.col(high).cast(kind).alias("high_value")).agg(*of_rows)
+    for side, uses, cell in (("low_value", "lows", F.col("ends") - 1), ("high_value", "highs", F.col("ends") - 2)):
+        places = axis.where(F.col(uses) > 0).select(F.col("axis_value").alias(side), uses, cell.alias(side.replace("value", "cell")))
+        spans = join_back(spans, places, [side], uses)
+    cells = spans.select(*names, F.explode(_covers(depth)).alias("cell")).groupBy("cell").agg(*of_totals)
+    cells = cells.select("cell.*", *names).withColumn("lowest", F.expr("1L << level"))
+
+    values = axis.where("points > 0 AND ends > 0").select("axis_value", "points", (F.col("ends") - 1).alias("own_cell"))
+    own = values.groupBy("own_cell").agg(F.count("*").alias("n_values"))
+    above = own.select("own_cell", "n_values", F.explode(_cells_of("own_cell", depth)).alias("cell")).select("own_cell", "n_values", "cell.*")
+    held = join_back(above, cells, ["level", "place"], "lowest").where("held_by IS NOT NULL")
+    held = held.groupBy("own_cell").agg(F.max("n_values").alias("n_values"), *of_totals)
+    of_value = join_back(values, held, ["own_cell"], "n_values").where("held_by IS NOT NULL").select("axis_value", "points", *names)
+    found = join_back(points.withColumn("axis_value", F.col(point).cast(kind)), of_value, ["axis_value"], "points")
+    return found.where("held_by IS NOT NULL").drop("axis_value", "held_by")
+
+
 def table_signatures(headers: DataFrame, decisions: DataFrame) -> DataFrame:
     """Every column with its table's ``signature``: the same for tables whose columns have the same names and types in any order.
 

@@ -140,6 +140,35 @@ def test_interval_join_of_widths_of_all_sizes(spark, levels):
     assert got == sorted((p, s) for p, x in points for s, lo, hi in spans if x is not None and lo is not None and lo <= x < hi)
 
 
+@pytest.mark.parametrize("rows_per_range", [20, 1_000_000])
+def test_totals_of_the_intervals_of_a_point(spark, rows_per_range):
+    rnd = random.Random(rows_per_range)
+    points = [(i % 140, rnd.choice([rnd.uniform(-1e6, 1e6), rnd.uniform(-5, 5), 0.0, -0.0, None, float("nan"), 1e9, float("inf")])) for i in range(150)]
+    spans = [(i, x := rnd.choice([rnd.uniform(-1e6, 1e6), rnd.uniform(-5, 5), 0.0]), x + 10 ** rnd.uniform(-3, 9)) for i in range(60)]
+    spans += spans[:9] + [(None, -2.0, 3.0), (60, 5.0, 5.0), (61, 9.0, 1.0), (62, None, 3.0), (63, float("-inf"), float("inf")), (64, 0.0, float("nan"))]
+    totals = {"n": ("count", "*"), "known": ("count", "s"), "first": ("min", "s"), "last": ("max", "s"), "keys": ("sum", "s")}
+    spans_df = spark.createDataFrame(spans, "s int, low double, high double")
+    df = in_interval(spark.createDataFrame(points, "p int, x double"), spans_df, "x", "low", "high", totals=totals, rows_per_range=rows_per_range)
+    want = []
+    for p, x in points:
+        held = [s for s, lo, hi in spans if x is not None and lo is not None and lo <= x < hi]
+        some = [s for s in held if s is not None]
+        if held:
+            want.append((p, x, len(held), len(some), min(some), max(some), sum(some)))
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    none = in_interval(spark.createDataFrame(points, "p int, x double"), spans_df.limit(0), "x", "low", "high", totals=totals)
+    assert none.isEmpty()
+
+
+def test_totals_of_many_intervals_make_no_pairs(spark):
+    """Ten thousand million pairs, of which none is made."""
+    n = 100_000
+    points = spark.range(n).select(F.col("id").alias("p"), F.col("id").cast("double").alias("x"))
+    spans = spark.range(n).select("id", (-F.col("id")).cast("int").alias("low"), F.lit(n).alias("high"))
+    df = in_interval(points, spans, "x", "low", "high", totals={"n": ("count", "*"), "keys": ("sum", "id")})
+    assert df.agg(F.count("*"), F.min("n"), F.max("n"), F.max("keys")).first() == (n, n, n, n * (n - 1) // 2)
+
+
 def test_a_wide_interval_has_few_pieces(spark):
     days = spark.createDataFrame([(i, date(2000, 1, 1) + timedelta(i)) for i in range(300)], "p int, x date")
     spans = [(i, date(2000, 1, 1) + timedelta(i * 3), date(2000, 1, 1) + timedelta(i * 3 + 2 ** (i % 20))) for i in range(100)]

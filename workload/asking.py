@@ -215,8 +215,9 @@ def q_join_interval_mixed(spark, sf):
     points = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
     width = F.pow(F.lit(10.0), F.col("s_suppkey") % 7 - 1)
     intervals = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + width).alias("high"))
-    joined = Q.in_interval(points, intervals, "c_acctbal", "low", "high")
-    return joined.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first"), F.sum("s_suppkey").alias("keys"))
+    totals = {"n": ("count", "*"), "first": ("min", "s_suppkey"), "keys": ("sum", "s_suppkey")}
+    held = Q.in_interval(points, intervals, "c_acctbal", "low", "high", totals=totals)
+    return held.groupBy("c_custkey").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("keys").alias("keys"))
 
 
 @query("q_rollup", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS total, count(*) AS n,
