@@ -204,8 +204,8 @@ def q_join_full(spark, sf):
 def q_join_interval(spark, sf):
     points = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
     intervals = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 250).alias("high"))
-    joined = Q.in_interval(points, intervals, "c_acctbal", "low", "high")
-    return joined.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first"))
+    held = Q.in_interval(points, intervals, "c_acctbal", "low", "high", totals={"n": ("count", "*"), "first": ("min", "s_suppkey")})
+    return held.groupBy("c_custkey").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 @query("q_join_interval_mixed", """SELECT c_custkey, count(*) AS n, min(s_suppkey) AS first, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM customer
