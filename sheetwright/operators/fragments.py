@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.headers import fit_width, looks_like_header
-from ..functions.text import is_filled, squeeze
+from ..functions.text import squeeze
 from ..plans.session import written
 from .joining import join_back
 from .ordered import numbered, running_sum
@@ -33,30 +33,29 @@ def all_fragments(ruled: DataFrame, transcribed: DataFrame) -> DataFrame:
     return ruled.unionByName(transcribed)
 
 
-def _clean_pieces(fragments: DataFrame) -> DataFrame:
-    """Squeeze cells and drop blank rows; pieces without any text disappear."""
-    some_text = F.exists("rows", lambda r: F.exists(r, is_filled))
-    cells = F.transform("rows", lambda r: F.transform(r, squeeze))
-    return fragments.where(some_text).withColumn(
-        "rows", F.filter(cells, lambda r: F.exists(r, lambda c: c != ""))
-    )
+HEAD = ["first_row", "is_header", "width", "n_rows", "has_value"]
 
 
-def _heads(fragments: DataFrame) -> DataFrame:
-    """What the joining rule needs to know of each piece, without its rows."""
-    pieces = _clean_pieces(fragments).withColumn("first_row", F.element_at("rows", 1))
+def _clean_pieces(fragments: DataFrame) -> DataFrame:
+    """Pieces with squeezed cells and without blank rows, and what the joining rule needs to know of each.
+
+    Written, so that cells are cleaned once: the rule reads only the columns
+    ``HEAD``, the rows are read when they are matched to their tables. Pieces
+    without any text disappear on reading; a filter on what is computed here
+    would be moved before it and compute it once more.
+    """
+    cells = F.transform("rows", lambda r: F.transform(r, squeeze))
+    pieces = fragments.select(*PIECE, F.filter(cells, lambda r: F.exists(r, lambda c: c != "")).alias("rows"))
+    pieces = pieces.withColumn("first_row", F.get("rows", F.lit(0)))
     pieces = pieces.withColumn("is_header", looks_like_header(F.col("first_row")))
     pieces = pieces.withColumn("n_rows", F.size("rows") - F.col("is_header").cast("int"))
     body = F.when(F.col("is_header"), F.slice("rows", F.lit(2), F.size("rows"))).otherwise(F.col("rows"))
     width = F.size("first_row")
-    return pieces.select(
-        *PIECE,
-        "first_row",
-        "is_header",
-        width.alias("width"),
-        "n_rows",
-        F.exists(body, lambda r: F.exists(F.slice(r, F.lit(1), width), lambda c: c != "")).alias("has_value"),
-    )
+    pieces = pieces.withColumns({
+        "width": width,
+        "has_value": F.exists(body, lambda r: F.exists(F.slice(r, F.lit(1), width), lambda c: c != "")),
+    })
+    return written(pieces.select(*PIECE, *HEAD, "rows"), "page-pieces").where(F.size("rows") > 0)
 
 
 def _page_ends(heads: DataFrame) -> DataFrame:
@@ -148,14 +147,18 @@ def _label_fronts(pages: DataFrame, pages_per_range: int) -> DataFrame:
 
 
 def label_fragments(fragments: DataFrame, pages_per_range: int = PAGES_PER_RANGE) -> DataFrame:
+    """Labels (``_label_pieces``) of pieces as they were found."""
+    return _label_pieces(_clean_pieces(fragments), pages_per_range)
+
+
+def _label_pieces(pieces: DataFrame, pages_per_range: int) -> DataFrame:
     """For each piece the place where its table starts and, at that place, the header.
 
     Output: doc_id, page_no, index_on_page, start_page, start_index, header,
     is_header (its first row is one), width, n_rows (without a header row),
-    has_value. Only these few values per piece are shuffled, never its rows;
-    they are written once because they are needed twice.
+    has_value. Only these few values per piece are shuffled, never its rows.
     """
-    heads = written(_heads(fragments), "page-heads")
+    heads = pieces.select(*PIECE, *HEAD)
     pages = written(_page_ends(heads), "page-ends")
     fronts = _label_fronts(pages, pages_per_range).select(
         "doc_id", "page_no", F.lit(0).alias("index_on_page"), "front.*", "start.*", "starts"
@@ -207,7 +210,8 @@ def merge_page_tables(
     The labels are settled first and written; the rows themselves are then
     matched to them by place, which is unique, and exploded.
     """
-    labels = written(label_fragments(fragments, pages_per_range), "page-labels")
+    pieces = _clean_pieces(fragments)
+    labels = written(_label_pieces(pieces, pages_per_range), "page-labels")
     tables = written(named_tables(labels), "page-tables")
     placed = running_sum(
         labels.drop("header", "has_value"), TABLE_START, ["page_no", "index_on_page"], "n_rows", "rows_upto"
@@ -222,7 +226,7 @@ def merge_page_tables(
     )
     body = F.when(F.col("is_header"), F.slice("rows", F.lit(2), F.size("rows"))).otherwise(F.col("rows"))
     rows = (
-        _clean_pieces(fragments.select(*PIECE, "rows"))
+        pieces.select(*PIECE, "rows")
         .join(targets, PIECE)
         .select(
             "doc_id", "table_name", "offset", "width", F.col("page_no").cast("int").alias("source_page"),

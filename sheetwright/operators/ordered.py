@@ -7,7 +7,8 @@ second window over those few rows supplies what came before the range.
 
 The axis may be of any type that Spark can order, structs included: ranges are
 cut between its own distinct values. Nulls come first and NaN last, as they do
-in a window, and each is a value like any other.
+in a window, and each is a value like any other. Where no key has more rows
+than one range, a plain window over the keys is enough, however many there are.
 """
 
 from __future__ import annotations
@@ -41,15 +42,19 @@ def _ranges_of_values(df: DataFrame, order_col: str, rows: int, rows_per_range:
     return sorted_values.join(before, "part").select(order_col, "value_rows", F.floor(place / rows_per_range).alias(RANGE))
 
 
-def with_ranges(df: DataFrame, order_col: str, rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, bool]:
+def with_ranges(
+    df: DataFrame, order_col: str, rows_per_range: int = ROWS_PER_RANGE, keys: list[str] | None = None
+) -> tuple[DataFrame, bool]:
     """Add ``order_range``: ranges of ``order_col`` with about as many rows each.
 
     Equal values share a range, so one that is very frequent makes a larger
-    one. Fewer rows than one range has need no cuts; the flag says whether
-    there are several ranges.
+    one. Fewer rows than one range has, of each of the ``keys`` if given, need
+    no cuts; the flag says whether there are several ranges.
     """
-    rows = df.count()
-    if rows <= rows_per_range:
+    rows = most = df.count()
+    if keys and rows > rows_per_range:
+        most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if most <= rows_per_range:
         return df.withColumn(RANGE, F.lit(0).cast("long")), False
     return join_back(df, _ranges_of_values(df, order_col, rows, rows_per_range), [order_col], "value_rows"), True
 
@@ -71,7 +76,7 @@ def carry_last(
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Last non-null ``value`` at or before each row, per key."""
-    ranged, several = with_ranges(df, order[0], rows_per_range)
+    ranged, several = with_ranges(df, order[0], rows_per_range, keys)
     inside = (
         Window.partitionBy(*keys, RANGE).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -101,7 +106,7 @@ def running_sum(
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Sum of ``value`` over the rows up to and including each row, per key."""
-    ranged, several = with_ranges(df, order[0], rows_per_range)
+    ranged, several = with_ranges(df, order[0], rows_per_range, keys)
     inside = (
         Window.partitionBy(*keys, RANGE).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)

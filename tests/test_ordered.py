@@ -43,6 +43,13 @@ def test_carry_and_running_sum(spark, rows_per_range):
     assert len(carried) == len(summed) == len(data)
 
 
+def test_many_small_keys_need_no_ranges(spark):
+    df = spark.createDataFrame([(i % 50, i) for i in range(500)], "k int, t int")
+    assert with_ranges(df, "t", 100)[1] and not with_ranges(df, "t", 100, ["k"])[1] and with_ranges(df, "t", 9, ["k"])[1]
+    got = {(r.k, r.t): r.out for r in numbered(df, ["k"], ["t"], "out", 100).collect()}
+    assert got == {(i % 50, i): i // 50 + 1 for i in range(500)}
+
+
 @pytest.mark.parametrize("rows_per_range", [3, 10_000])
 def test_null_keys_and_moments_are_kept(spark, rows_per_range):
     data = [(None, 1, 5), (None, 9, None), ("a", None, 7), ("a", 3, None)] + [("b", i, None) for i in range(20)]
