@@ -34,7 +34,7 @@ def drop_empty_rows(rows: DataFrame) -> DataFrame:
     else:
         filled = F.exists("cells", is_filled)
     if "source_page" in rows.columns:
-        filled = filled | F.col("source_page").isNotNull()
+        filled = F.col("source_page").isNotNull() | filled
     return rows.where(filled)
 
 
@@ -61,14 +61,18 @@ def apply_decisions(rows: DataFrame, decisions: DataFrame) -> DataFrame:
 
     Decisions are packed per table first, so the join is by table and carries
     rows, not cells; see ``join_back`` for how a huge table is kept whole but
-    spread. Cells are cleaned, rewritten and parsed in steps, each computed once.
+    spread. Cells are blanked, cleaned, rewritten and parsed in steps, each
+    computed once.
     """
     joined = join_back(rows, packed_decisions(decisions), TABLE_KEY, "n_cells")
     typed = cells_are_typed(rows)
     plans = F.coalesce("plans", F.array().cast(joined.schema["plans"].dataType))
 
+    def blanked(c: Column) -> Column:
+        return typed_cell(blank_to_null(c["text"]), c["num"], c["ts"], c["flag"]) if typed else blank_to_null(c)
+
     def cleaned(c: Column, p: Column) -> Column:
-        text = blank_to_null(c["text"] if typed else c)
+        text = c["text"] if typed else c
         rest = [c[n] for n in ("num", "ts", "flag")] if typed else []
         as_word = as_text(text, *rest) if typed else text
         kind = p["type"]
@@ -97,6 +101,7 @@ def apply_decisions(rows: DataFrame, decisions: DataFrame) -> DataFrame:
         return typed_cell(c["text"], number)
 
     for step in (
+        F.transform("cells", blanked),
         F.zip_with("cells", F.slice(plans, F.lit(1), F.coalesce(F.array_size("cells"), F.lit(0))), cleaned),
         F.transform("cells", rewritten),
         F.transform("cells", parsed),

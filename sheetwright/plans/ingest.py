@@ -42,7 +42,7 @@ def ingest_pages(
         markdown_fragments(transcripts).select("doc_id", "page_no", "index_on_page", "rows"),
     )
     rows, headers = merge_page_tables(pieces)
-    typed, decisions = normalize_rows(rows, identifier_mode)
+    typed, decisions = normalize_rows(written(rows, "page-rows"), identifier_mode)
     return typed, headers, decisions, text_blocks(paged)
 
 
@@ -51,7 +51,7 @@ def ingest_images(transcripts: DataFrame, identifier_mode: str = "all_values") -
     paged = transcripts.select("doc_id", F.lit(1).alias("page_no"), F.lit("image").alias("route"), "text")
     pieces = markdown_fragments(paged.select("doc_id", "page_no", "text"))
     rows, headers = merge_page_tables(pieces)
-    typed, decisions = normalize_rows(rows, identifier_mode)
+    typed, decisions = normalize_rows(written(rows, "page-rows"), identifier_mode)
     return typed, headers, decisions, text_blocks(paged)
 
 
