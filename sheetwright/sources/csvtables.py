@@ -44,7 +44,8 @@ def count_between_fields(line: Column, sep: str) -> Column:
     """Number of separators of a line that are not inside a quoted field; one that is never closed ends with the line."""
     s = "\\" + sep if sep == "|" else sep
     bare = F.regexp_replace(line, rf'(?<![^{s}])"(?:[^"]++|"")*+(?:"|\z)', "")
-    return F.when(F.contains(line, F.lit('"')), count_of(bare, sep)).otherwise(count_of(line, sep))
+    quoted = F.contains(line, F.lit(sep)) & F.contains(line, F.lit('"'))
+    return F.when(quoted, count_of(bare, sep)).otherwise(count_of(line, sep))
 
 
 def guess_separator(line: Column) -> Column:

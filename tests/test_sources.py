@@ -317,3 +317,30 @@ def test_a_fault_of_no_file_is_raised(spark):
 
     with pytest.raises(Exception, match="disk full"):
         failing(["a", "b"], full)
+
+
+def test_quoted_line_items_are_written_by_all_tasks(spark, tmp_path):
+    """Each split of the table becomes a file; the settings for small splits are undone."""
+    from pathlib import Path
+
+    from sheetwright.plans.session import written_paths
+    from workload import QUERIES
+
+    items = spark.range(400).selectExpr("id AS l_orderkey", "cast(id % 4 AS int) AS l_linenumber", "if(id % 3 = 0, 'A', 'N') AS l_returnflag", "id + 0.25D AS l_extendedprice")
+    items.repartition(4).write.parquet(f"{tmp_path}/lineitem.parquet")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionNum")
+    usual = {**{n: spark.conf.get(n, None) for n in names}, "spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "4096"}
+    before = {n: spark.conf.get(n, None) for n in names}
+    known = set(written_paths())
+    try:
+        for n in names[:2]:
+            spark.conf.set(n, usual[n])
+        got = {r.flag: (r.n, r["keys"], r.note_chars) for r in QUERIES["csv_split_quoted"](spark, str(tmp_path)).collect()}
+        assert {n: spark.conf.get(n, None) for n in names} == usual
+    finally:
+        for n in names[:2]:
+            spark.conf.unset(n) if before[n] is None else spark.conf.set(n, before[n])
+    want = {f: [i for i in range(400) if (i % 3 == 0) == (f == "A")] for f in "AN"}
+    assert got == {f: (len(x), sum(x), 18 * sum(i % 2 == 0 for i in map(lambda i: i % 4, x))) for f, x in want.items()}
+    (folder,) = [p for p in written_paths() if p not in known and "/quoted-csv-" in p]
+    assert len(list(Path(folder).glob("*.csv"))) > 1
