@@ -228,6 +228,24 @@ def test_pieces_as_the_library():
         assert p.encode(t) == np.array(p.model.encode(t), "<u4").tobytes(), t[:80]
 
 
+@pytest.mark.parametrize("at_once,kept", [(1 << 17, 500_000), (40, 25), (3, 2)])
+def test_words_are_encoded_together_as_the_library_does(at_once, kept, monkeypatch):
+    monkeypatch.setattr(pieces, "AT_ONCE", at_once)
+    monkeypatch.setattr(pieces, "KEPT", kept)
+    p, rng = pieces.Pieces(MODEL), random.Random(7)
+    vocabulary, parts = list(p.id), [" ", " ", "  ", "▁", "\n", "\t", "\x01", p.gap, "😀", "中文", "é", "\n" * 70]
+    texts = ["".join(rng.choice(parts if rng.random() < 0.4 else vocabulary) for _ in range(rng.randint(0, 30))) for _ in range(800)]
+    texts += ["", " ", "   ", "x ", " x", "\n", prose(rng, 300), prose(rng, 300), "b, c\n" * 50]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in p.encode_all([*texts, "ab" * 3000])] == p.model.encode([*texts, "ab" * 3000])
+    # Only what is too long to go together is gone through alone.
+    alone, run = [], pieces.Pieces._run
+    monkeypatch.setattr(pieces.Pieces, "_run", lambda self, s: alone.append(s) or run(self, s))
+    p.word.clear()
+    usual = [prose(rng, 300), "b, c\n" * 50]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in p.encode_all(usual)] == p.model.encode(usual) and not alone
+    assert len(p.word) <= max(kept, at_once)
+
+
 def test_piece_digests(docs, none):
     model = pieces.Pieces(MODEL).model
     rows = {r.doc_id: r for r in pieces.digests(docs, MODEL).collect()}
