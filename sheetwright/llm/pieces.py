@@ -50,10 +50,10 @@ from pyspark.sql import DataFrame, functions as F
 from .tables import small_batches
 
 SPACE = "▁"
-KEPT = 500_000  # encoded words kept by a task, and pairs checked in long cuts
-PAIRS = 1 << 20  # places for pairs checked in words that go together
+KEPT = 300_000  # encoded words kept by a task, and pairs checked in long cuts
+PAIRS = 1 << 18  # places for pairs checked in words that go together
 LONGEST_KEPT = 64
-AT_ONCE = 1 << 17
+AT_ONCE = 1 << 16
 SPACED = re.compile(" *[^ ]+| +")
 LAST = float("-inf")  # no step follows
 # Texts by which a model is known to be of the kind that is encoded here.

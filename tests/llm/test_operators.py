@@ -228,7 +228,7 @@ def test_pieces_as_the_library():
         assert p.encode(t) == np.array(p.model.encode(t), "<u4").tobytes(), t[:80]
 
 
-@pytest.mark.parametrize("at_once,kept", [(1 << 17, 500_000), (40, 25), (3, 2)])
+@pytest.mark.parametrize("at_once,kept", [(1 << 16, 300_000), (40, 25), (3, 2)])
 def test_words_are_encoded_together_as_the_library_does(at_once, kept, monkeypatch):
     monkeypatch.setattr(pieces, "AT_ONCE", at_once)
     monkeypatch.setattr(pieces, "KEPT", kept)
