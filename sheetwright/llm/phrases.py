@@ -12,7 +12,10 @@ a window is also null from the first word, pair or triple that is too rare on:
 no count that is reported changes, as no such phrase could be. Runs are counted
 by hash, in ``COUNTERS`` counters dealt over the tasks, and what is frequent is
 told to the tasks by a table of ``SLOTS`` bits. Both have a fixed size, and a
-rare run that meets a frequent one there looks frequent and costs a row.
+rare run that meets a frequent one there looks frequent and costs a row. Windows are
+counted by one task for each core, which adds equal ones of its blocks up and
+holds up to ``HELD`` bytes of them: it gives a window out once, not once for
+each block, and the tasks that give it out do not grow in number with the input.
 
 Texts that are null or empty have no words; an empty table gives no rows.
 Repeated rows count each time; columns other than text and language are not
@@ -44,6 +47,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 LONGEST = 5
 WINDOW = [f"w{i + 1}" for i in range(LONGEST)]
 BLOCK = 8_000_000
+HELD, ROWS_OUT = 1 << 26, 1 << 16
 SLOTS = 1 << 26
 COUNTERS, PARTS = 1 << 31, 1 << 10
 # The score of a cut, in decimals of 38 digits.
@@ -214,10 +218,31 @@ def _run_counters(texts: DataFrame, frequent: Broadcast) -> DataFrame:
     return texts.mapInArrow(counts, DEALT)
 
 
+def _added_up(blocks: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """The windows of all blocks with equal ones added up; given out before the end where the distinct ones alone are half of ``HELD``."""
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(tables).group_by(["lang", *WINDOW], use_threads=False).aggregate([("n", "sum")])
+        return sums.rename_columns(["lang", *WINDOW, "n"])
+
+    held, size = [], 0
+    for table in blocks:
+        held.append(table)
+        size += table.nbytes
+        if size > HELD:
+            held = [added(held)]
+            size = held[0].nbytes
+            if size > HELD // 2:
+                yield from held[0].to_batches(ROWS_OUT)
+                held, size = [], 0
+    if held:
+        yield from added(held).to_batches(ROWS_OUT)
+
+
 def _windows(texts: DataFrame, frequent: Broadcast, runs: Broadcast) -> DataFrame:
     """Per language the longest windows, each with its lead columns and number, null from the first rare word or run on."""
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for lang, words, places in _blocks(batches):
             hashes = _hashed(words, lang)
             known = np.append(_has(frequent.value, hashes), False)[places]
@@ -241,10 +266,14 @@ def _windows(texts: DataFrame, frequent: Broadcast, runs: Broadcast) -> DataFram
             _, at, n = np.unique(key, return_index=True, return_counts=True)
             text = _texts(words)
             columns = [text.take(pa.array(c[at], mask=c[at] < 0)) for c in lead]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), *columns, pa.array(n)], ["lang", *WINDOW, "n"])
+            yield pa.Table.from_arrays([pa.array([lang] * len(at)), *columns, pa.array(n)], ["lang", *WINDOW, "n"])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _added_up(of_blocks(batches))
 
     kinds = ", ".join(f"{w} string" for w in WINDOW)
-    return texts.mapInArrow(counts, f"lang string, {kinds}, n long").groupBy("lang", *WINDOW).agg(F.sum("n").alias("n"))
+    dealt = texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(counts, f"lang string, {kinds}, n long").groupBy("lang", *WINDOW).agg(F.sum("n").alias("n"))
 
 
 def _marginal(windows: DataFrame, least: int) -> DataFrame:

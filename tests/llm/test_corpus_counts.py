@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,36 @@ def test_collocations_stay_right_when_every_counter_is_shared(spark, rows, monke
     assert sorted(map(tuple, out.collect())) == plain_collocations(rows, 20, 100, 2000)
 
 
+@pytest.mark.parametrize("held", [1 << 26, 3000, 1])
+def test_windows_of_many_blocks_are_added_up_in_their_task(spark, rows, held, monkeypatch):
+    """Each core's task gives a window out once, and in more rows only where it cannot hold them; the result stays the same."""
+    monkeypatch.setattr(phrases, "BLOCK", 300)
+    monkeypatch.setattr(phrases, "HELD", held, raising=False)
+    kind = type(spark.range(1))
+    given, plain = [], kind.mapInArrow
+
+    def recorded(df, function, schema, *args):
+        out = plain(df, function, schema, *args)
+        if schema.startswith("lang string, w1"):
+            given.append((df.rdd.getNumPartitions(), out.count(), out.select("lang", *phrases.WINDOW).distinct().count()))
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", recorded)
+    out = phrases.collocations(with_extra(spark, rows).repartition(64), least=5)
+    assert sorted(map(tuple, out.collect())) == plain_collocations(rows, 5, 100, 2000)
+    (tasks, windows, distinct), = given
+    assert tasks <= spark.sparkContext.defaultParallelism
+    assert distinct <= windows and (held < 1 << 26 or windows <= tasks * distinct)
+
+
+def test_equal_windows_are_given_out_once(monkeypatch):
+    block = pa.table({"lang": ["en"] * 3, **{w: pa.array(["a", "a", "b"] if w < "w3" else [None, "c", None], pa.string()) for w in phrases.WINDOW}, "n": [1, 2, 3]})
+    for held, times in ((1 << 26, 1), (3 * block.nbytes, 1), (1, 50)):
+        monkeypatch.setattr(phrases, "HELD", held)
+        out = pa.Table.from_batches(phrases._added_up(iter([block] * 50)))
+        assert out.num_rows == 3 * times and sum(out["n"].to_pylist()) == 300 and len({tuple(r.values())[:-1] for r in out.to_pylist()}) == 3
+
+
 def test_products_beyond_64_bits(spark):
     """a, n, l and r as they may be on 100 TB."""
     row = spark.range(1).select(F.lit(9 * 10**12).alias("a"), F.lit(2 * 10**13).alias("n"), F.lit(10**13).alias("l"), F.lit(9 * 10**12).alias("r"))
