@@ -29,6 +29,9 @@ _INFINITE = r"[iI][nN][fF](?:[iI][nN][iI][tT][yY])?"
 # Text that Python's float() takes, apart from "nan".
 FLOAT_TEXT = rf"^[+-]?(?:{_NUMBER}|{_INFINITE})$"
 
+# What every text that FLOAT_TEXT or a shape takes under some format looks like: a quick first test.
+_MAY_BE_NUMBER = r"^[-+0-9.,iI][-+0-9.,_eEiInNfFtTyY]*+$"
+
 FORMATS = ("german", "us", "plain")
 
 
@@ -37,6 +40,11 @@ def is_bare(c: Column) -> Column:
     return c.rlike(BARE)
 
 
+def may_be_number(cleaned: Column) -> Column:
+    """False only where a value without units is not a number under any format."""
+    return cleaned.rlike(_MAY_BE_NUMBER)
+
+
 def strip_units(c: Column, bare: Column | None = None) -> Column:
     """Drop whitespace, currency signs, %, EUR, Stk. and St. from a value."""
     worded = F.when(c.rlike("[EeSsſ]"), F.regexp_replace(c, UNIT_WORDS, "")).otherwise(c)

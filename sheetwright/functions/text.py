@@ -26,8 +26,8 @@ def strip(c: Column) -> Column:
 
 
 def is_filled(c: Column) -> Column:
-    """True for a value that is neither null nor only whitespace."""
-    return F.coalesce(F.ltrim(c, F.lit(SPACE_CHARS)) != "", F.lit(False))
+    """True for a value that is neither null nor only whitespace; most show it by their first character."""
+    return F.coalesce(((c >= "!") & (c < "\x7f")) | (F.ltrim(c, F.lit(SPACE_CHARS)) != ""), F.lit(False))
 
 
 def blank_to_null(c: Column) -> Column:

@@ -105,13 +105,18 @@ def _with_facts(cells: DataFrame, identifier_mode: str, *keep: str) -> DataFrame
         .withColumn("cleaned", N.strip_units(text, bare))
         .withColumn("shown", F.when(bare, text).otherwise(strip(as_text(text, num, ts, flag))))
     )
-    shaped = named.withColumn("fits_german", cleaned.rlike(N.GERMAN_SHAPE)).withColumn(
-        "fits_us", cleaned.rlike(N.US_SHAPE)
+    maybe = F.col("maybe_number")
+    shaped = (
+        named.withColumn("maybe_number", bare | N.may_be_number(cleaned))
+        .withColumn("fits_german", maybe & cleaned.rlike(N.GERMAN_SHAPE))
+        .withColumn("fits_us", maybe & cleaned.rlike(N.US_SHAPE))
     )
+    has_comma = F.contains(cleaned, F.lit(","))
+    has_mark = has_comma | F.contains(cleaned, F.lit("."))
     long = F.length(shown) >= LONG_LENGTH
     if identifier_mode == "digits_only":
         # A number shape with a separator or a unit is an amount, not a code.
-        amount = (german | us) & ((cleaned != shown) | F.contains(cleaned, F.lit(".")) | F.contains(cleaned, F.lit(",")))
+        amount = (german | us) & ((cleaned != shown) | has_mark)
         number = num.isNotNull() & F.contains(shown, F.lit("."))
         long = long & ~F.coalesce(amount, F.lit(False)) & ~number
     return shaped.select(
@@ -121,12 +126,12 @@ def _with_facts(cells: DataFrame, identifier_mode: str, *keep: str) -> DataFrame
         N.has_leading_zero(shown).alias("is_zero"),
         long.alias("is_long"),
         (german | us).alias("is_fit"),
-        (german & cleaned.rlike(N.GERMAN_PROOF)).alias("is_proof_german"),
-        (us & cleaned.rlike(N.US_PROOF)).alias("is_proof_us"),
-        # What fits a shape also parses under it.
-        (german | N.is_number(N.to_plain(cleaned, "german"))).alias("is_german"),
-        (us | N.is_number(N.to_plain(cleaned, "us"))).alias("is_us"),
-        (~F.contains(cleaned, F.lit(",")) & N.is_number(cleaned)).alias("is_plain"),
+        (german & has_mark & cleaned.rlike(N.GERMAN_PROOF)).alias("is_proof_german"),
+        (us & has_mark & cleaned.rlike(N.US_PROOF)).alias("is_proof_us"),
+        # What fits a shape also parses under it, and is plain if it is the US one without a comma.
+        (german | (maybe & N.is_number(N.to_plain(cleaned, "german")))).alias("is_german"),
+        (us | (maybe & N.is_number(N.to_plain(cleaned, "us")))).alias("is_us"),
+        (maybe & ~has_comma & (us | N.is_number(cleaned))).alias("is_plain"),
     )
 
 

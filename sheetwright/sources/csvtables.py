@@ -11,6 +11,7 @@ together first (``quoted``).
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from urllib.parse import unquote
 
@@ -19,8 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import encoding as E
 from ..functions.headers import unique_names
 from ..functions.text import is_filled
+from ..operators.joining import join_back
 from ..plans.session import written
-from .quoted import quoted_records, runs_on
+from .quoted import BYTES_PER_PIECE, quoted_records, runs_on
 
 # Separators in order of preference when equally frequent.
 SEPARATORS = (";", "\t", ",", "|")
@@ -43,7 +45,7 @@ def plain_path(path: str) -> str:
 def count_between_fields(line: Column, sep: str) -> Column:
     """Number of separators of a line that are not inside a quoted field; one that is never closed ends with the line."""
     s = "\\" + sep if sep == "|" else sep
-    bare = F.regexp_replace(line, rf'(?<![^{s}])"(?:[^"]++|"")*+(?:"|\z)', "")
+    bare = F.regexp_replace(line, rf'"(?<![^{s}]")(?:[^"]++|"")*+(?:"|\z)', "")
     quoted = F.contains(line, F.lit(sep)) & F.contains(line, F.lit('"'))
     return F.when(quoted, count_of(bare, sep)).otherwise(count_of(line, sep))
 
@@ -66,44 +68,53 @@ def sniff(lines: DataFrame) -> DataFrame:
     """One row per file from ``lines(path, block, line, value)`` of raw text.
 
     Every figure is combined on the map side, so one huge file is no burden.
-    The set of run-on marks (at most 16 different ones) also makes Spark choose
-    a hash aggregation; the first line alone would make it sort all lines.
+    ``most`` is over lines without a quote; ``quoted`` tells whether there are
+    others. The set it is taken from also makes Spark choose a hash
+    aggregation; the first line alone would make it sort all lines.
     """
-    raw = F.col("value").cast("binary")
+    value, raw = F.col("value"), F.col("value").cast("binary")
     place = F.struct("block", "line")
-    marks = F.concat(*[F.when(runs_on(F.col("value"), s), F.lit("1")).otherwise("0") for s in SEPARATORS])
-    any_mark = F.when(F.contains("value", F.lit('"')), F.nullif(marks, F.lit("0" * len(SEPARATORS))))
+    utf8, quoted = E.is_utf8(raw), F.contains(value, F.lit('"'))
+    ascii_only = utf8 & (F.octet_length(value) == F.char_length(value))
     facts = lines.groupBy("path").agg(
-        F.bool_and(E.is_utf8(raw)).alias("utf8"),
-        F.bool_or(E.has_gap_bytes(raw)).alias("gaps"),
-        F.min_by(raw, F.when(is_filled(F.col("value")), place)).alias("first_raw"),
-        *[F.max(count_between_fields(F.col("value"), s)).alias(f"most_{i}") for i, s in enumerate(SEPARATORS)],
-        F.collect_set(any_mark).alias("run_on_marks"),
+        F.bool_and(utf8).alias("utf8"),
+        F.bool_or(F.when(ascii_only, F.lit(False)).otherwise(E.has_gap_bytes(raw))).alias("gaps"),
+        F.min_by(raw, F.when(is_filled(value), place)).alias("first_raw"),
+        *[F.max(F.when(~quoted, count_of(value, s))).alias(f"most_{i}") for i, s in enumerate(SEPARATORS)],
+        F.collect_set(F.when(quoted, F.lit(True))).alias("quoted"),
+        (F.sum(F.octet_length(value)) / F.count(F.lit(1))).alias("line_bytes"),
     )
     facts = facts.where(F.col("first_raw").isNotNull()).withColumn(
         "encoding", E.encoding_of(F.col("utf8"), F.col("gaps"))
     )
     facts = facts.withColumn("first_line", E.decode_as(F.col("first_raw"), F.col("encoding")))
     facts = facts.withColumn("separator", guess_separator(F.col("first_line")))
+    most = F.element_at(F.array(*[f"most_{i}" for i in range(len(SEPARATORS))]), F.array_position(F.array(*map(F.lit, SEPARATORS)), F.col("separator")).cast("int"))
+    return facts.select(
+        "path", "encoding", "separator", "first_line", most.alias("most"), (F.size("quoted") > 0).alias("quoted"), "line_bytes"
+    )
 
-    def for_separator(values: list[Column]) -> Column:
-        picked = values[-1]
-        for sep, value in zip(SEPARATORS[:-1], values[:-1]):
-            picked = F.when(F.col("separator") == sep, value).otherwise(picked)
-        return picked
 
-    def runs_under(i: int) -> Column:
-        return F.exists("run_on_marks", lambda mark: F.substring(mark, i + 1, 1) == "1")
+def with_quoted_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add ``width`` and ``multi_line`` to what ``sniff`` tells of files.
 
-    places = range(len(SEPARATORS))
-    runs = [runs_under(i) for i in places]
-    return facts.select(
-        "path",
-        "encoding",
-        "separator",
-        "first_line",
-        (for_separator([F.col(f"most_{i}") for i in places]) + 1).cast("int").alias("width"),
-        for_separator(runs).alias("multi_line"),
+    Lines with quotes are matched here, under the separator of their file only.
+    """
+    quoted = files.where("quoted").select("path", "separator", F.lit(1).alias("files"))
+    if quoted.isEmpty():
+        return files.withColumn("width", (F.col("most") + 1).cast("int")).withColumn("multi_line", F.lit(False))
+    value = F.col("value")
+
+    def for_separator(of: Callable[[str], Column]) -> Column:
+        return F.coalesce(*[F.when(F.col("separator") == s, of(s)) for s in SEPARATORS])
+
+    marked = join_back(lines.where(F.contains(value, F.lit('"'))).select("path", "value"), quoted, ["path"], "files")
+    found = marked.groupBy("path").agg(
+        F.max(for_separator(lambda s: count_between_fields(value, s))).alias("most_quoted"),
+        F.bool_or(for_separator(lambda s: runs_on(value, s))).alias("runs_on"),
+    )
+    return files.join(found, "path", "left").select(
+        *files.columns, (F.greatest("most", "most_quoted") + 1).cast("int").alias("width"), F.coalesce("runs_on", F.lit(False)).alias("multi_line")
     )
 
 
@@ -167,29 +178,42 @@ def _read_group(
     )
 
 
-def _read_quoted(spark: SparkSession, paths: list[str], encoding: str, sep: str) -> tuple[DataFrame, DataFrame]:
+def _read_quoted(spark: SparkSession, paths: list[str], encoding: str, sep: str, lines_per_piece: int) -> tuple[DataFrame, DataFrame]:
     """Rows and headers of like files with quoted fields over several lines."""
-    records = written(quoted_records(spark, paths, encoding, sep), "quoted-records")
-    widths = records.groupBy("doc_id").agg((F.max(count_between_fields(F.col("text"), sep)) + 1).alias("width"))
+    records = written(quoted_records(spark, paths, encoding, sep, lines_per_piece=lines_per_piece), "quoted-records")
+    widths = records.groupBy("doc_id").agg((F.max(count_between_fields(F.col("text"), sep)) + 1).alias("width"), F.min("row_no.block").alias("block"))
     widths = written(widths, "quoted-widths")
     width = widths.agg(F.max("width")).first()[0] or 1
     fields = F.from_csv("text", F.lit(_schema(width)), {**_options(sep), **_max_columns(width)})
     cells = F.array(*[_cell(fields[f"c{i}"], False) for i in range(width)])
-    records = records.select("doc_id", F.lit("data").alias("table_name"), "row_no", cells.alias("cells"))
-    headers = _first_records(records).join(widths, "doc_id").select("doc_id", "table_name", F.slice("header", F.lit(1), F.col("width")).alias("header"))
-    return _after_header(records), headers
+
+    def parsed(some: DataFrame, wanted: Column | None = None) -> DataFrame:
+        kept = cells if wanted is None else F.when(wanted, cells)
+        return some.select("doc_id", F.lit("data").alias("table_name"), "row_no", kept.alias("cells"))
+
+    # A file's first filled record is in its first split with a record, or else anywhere. Fields of
+    # other splits are not parsed: a filter on them would be taken before the join, this is not.
+    begins = parsed(records.join(widths, "doc_id"), F.col("row_no.block") == F.col("block"))
+    heads = written(_first_records(begins), "quoted-heads")
+    others = widths.join(heads, "doc_id", "left_anti")
+    if not others.isEmpty():
+        more = _first_records(parsed(records.join(others, "doc_id", "left_semi")))
+        heads = written(heads.unionByName(more), "quoted-heads")
+    headers = heads.join(widths, "doc_id").select("doc_id", "table_name", F.slice("header", F.lit(1), F.col("width")).alias("header"))
+    return _after_header(parsed(records), heads), headers
 
 
 def _first_records(records: DataFrame) -> DataFrame:
-    """The first filled record of each file and its place."""
+    """The first filled record of each file and its place; the set makes Spark choose a hash aggregation (see ``sniff``)."""
     filled = records.where(F.exists("cells", is_filled))
-    return filled.groupBy("doc_id", "table_name").agg(F.min_by("cells", "row_no").alias("header"), F.min("row_no").alias("header_row"))
+    first = [F.min_by("cells", "row_no").alias("header"), F.min("row_no").alias("header_row"), F.collect_set(F.lit(True)).alias("some")]
+    return filled.groupBy("doc_id", "table_name").agg(*first).where(F.size("some") > 0).drop("some")
 
 
-def _after_header(records: DataFrame) -> DataFrame:
+def _after_header(records: DataFrame, heads: DataFrame) -> DataFrame:
     """Records below the first filled one of their file, where lines before it are blank."""
-    heads = _first_records(records).select("doc_id", "header_row")
-    return records.join(heads, "doc_id").where(F.col("row_no") > F.col("header_row")).drop("header_row")
+    below = records.join(heads.select("doc_id", "header_row"), "doc_id")
+    return below.where(F.col("row_no") > F.col("header_row")).drop("header_row")
 
 
 def _headers(files: DataFrame, classes: set[tuple[str, int]]) -> list[DataFrame]:
@@ -218,9 +242,11 @@ def read_csv_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Dat
     powers of two up to the widest file.
     """
     power = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("width").cast("double")))).cast("int")
-    files = written(sniff(read_lines(spark, paths)).withColumn("width_class", power), "csv-files")
+    lines = read_lines(spark, paths)
+    files = with_quoted_lines(written(sniff(lines), "csv-sniffed"), lines)
+    files = written(files.withColumn("width_class", power), "csv-files")
     kind = ["encoding", "separator", "multi_line", "width_class"]
-    listed = files.select("path", *kind)
+    listed = files.select("path", "line_bytes", *kind)
     groups: dict[tuple, list] = {}
     for r in listed.toLocalIterator():
         groups.setdefault(tuple(r[k] for k in kind), []).append(r)
@@ -236,7 +262,8 @@ def read_csv_rows(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Dat
         if not multi:
             rows.append(_read_group(spark, names, encoding, sep, width))
             continue
-        table_rows, heads = _read_quoted(spark, names, encoding, sep)
+        longest = max(m.line_bytes for m in members)
+        table_rows, heads = _read_quoted(spark, names, encoding, sep, max(1, int(BYTES_PER_PIECE / (longest + 1))))
         rows.append(table_rows)
         more_headers.append(heads)
     headers = [*_headers(files, {(sep, width) for _, sep, multi, width in groups if not multi}), *more_headers]

@@ -344,3 +344,70 @@ def test_quoted_line_items_are_written_by_all_tasks(spark, tmp_path):
     assert got == {f: (len(x), sum(x), 18 * sum(i % 2 == 0 for i in map(lambda i: i % 4, x))) for f, x in want.items()}
     (folder,) = [p for p in written_paths() if p not in known and "/quoted-csv-" in p]
     assert len(list(Path(folder).glob("*.csv"))) > 1
+
+
+@pytest.mark.parametrize("seed,split,lines,end", [(11, 600, 1, "\n"), (12, 300, 2, "\r\n"), (13, 100_000, 3, "\n"), (14, 100_000, 7, "\r"), (15, 200, 1000, "\r\n")])
+def test_records_are_the_same_whatever_the_pieces(spark, tmp_path, seed, split, lines, end):
+    """Pieces of any number of lines give Python's records, in their order, also with quotes inside fields without."""
+    rnd = random.Random(seed)
+    text = _csv_text(rnd, 40, end) + f'a;5" disc;"b"{end}"c";"";d"{end}'
+    (tmp_path / "a.csv").write_text(text, newline="")
+    want = [tuple(r) for r in csv.reader(io.StringIO(text, newline=""), delimiter=";")]
+    conf = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        records = quoted_records(spark, [str(tmp_path / "a.csv")], "utf-8", ";", rows_per_range=5, lines_per_piece=lines)
+        got = records.orderBy("row_no").select(F.from_csv("text", F.lit("a string, b string, c string"), _options(";")).alias("r")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [tuple(x or "" for x in r.r) for r in got] == want
+
+
+def test_only_records_over_the_end_of_a_piece_are_gathered(spark, tmp_path):
+    """A file of records over two lines each: parts are two for each end of a piece, not one for each line."""
+    from sheetwright.plans.session import written_paths
+
+    (tmp_path / "a.csv").write_text("k;v\n" + "".join(f'{i};"x\ny"\n' for i in range(400)))
+    known = set(written_paths())
+    rows, _ = read_csv_rows(spark, [str(tmp_path / "a.csv")])
+    assert sorted(int(r.cells[0]) for r in rows.collect()) == list(range(400)) and rows.where("cells[1] = 'x\ny'").count() == 400
+    (parts,) = [p for p in written_paths() if p not in known and "/quoted-parts-" in p]
+    assert spark.read.parquet(parts).count() <= 2
+
+
+def test_sniffing_matches_quotes_for_the_separator_of_a_file_only(spark, tmp_path):
+    from sheetwright.sources.csvtables import read_lines, sniff, with_quoted_lines
+
+    (tmp_path / "a.csv").write_text('k;v\n"a;b";"1,2,3"\n')
+    (tmp_path / "b.csv").write_text('k\tv\tw\n"x;y"\t1\t"open;\nend"\n')
+    (tmp_path / "c.csv").write_text("k|v\n1|2|3\n")
+    lines = read_lines(spark, [str(tmp_path)])
+    sniffed = sniff(lines)
+    got = {r.path.rsplit("/", 1)[1]: (r.separator, r.width, r.multi_line) for r in with_quoted_lines(sniffed, lines).collect()}
+    assert got == {"a.csv": (";", 2, False), "b.csv": ("\t", 3, True), "c.csv": ("|", 3, False)}
+    plan = sniffed._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE(value" not in plan and "regexp_replace" not in plan
+
+
+def test_a_header_below_a_split_without_a_filled_record(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(";;\n" * 100 + 'name;v\n"A\nB";1\n')
+    conf = {"spark.sql.files.maxPartitionBytes": "64", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows, headers = read_csv_rows(spark, [str(tmp_path / "a.csv")])
+        assert [tuple(r.cells[:2]) for r in rows.collect()] == [("A\nB", "1")]
+        assert headers.first().header[:2] == ["name", "v"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_mark_of_byte_order_before_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffk;v\n"a\n1";x\n\ufeffb;y\ufeff\n')
+    rows, headers = read_csv_rows(spark, [str(tmp_path / "a.csv")])
+    assert headers.first().header == ["k", "v"] and sorted(tuple(r.cells) for r in rows.collect()) == [("a\n1", "x"), ("b", "y\ufeff")]
