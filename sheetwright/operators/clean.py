@@ -61,8 +61,8 @@ def apply_decisions(rows: DataFrame, decisions: DataFrame) -> DataFrame:
 
     Decisions are packed per table first, so the join is by table and carries
     rows, not cells; see ``join_back`` for how a huge table is kept whole but
-    spread. Cells are blanked, cleaned, rewritten and parsed in steps, each
-    computed once.
+    spread. Cells are blanked, rewritten and parsed in steps, each computed
+    once; only the last makes a structure of each cell.
     """
     joined = join_back(rows, packed_decisions(decisions), TABLE_KEY, "n_cells")
     typed = cells_are_typed(rows)
@@ -71,43 +71,26 @@ def apply_decisions(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     def blanked(c: Column) -> Column:
         return typed_cell(blank_to_null(c["text"]), c["num"], c["ts"], c["flag"]) if typed else blank_to_null(c)
 
-    def cleaned(c: Column, p: Column) -> Column:
-        text = c["text"] if typed else c
-        rest = [c[n] for n in ("num", "ts", "flag")] if typed else []
-        as_word = as_text(text, *rest) if typed else text
-        kind = p["type"]
-        fields = [
-            F.when(kind == "text", as_word).alias("text"),
-            F.when(kind == "number", N.strip_units(text)).alias("cleaned"),
-            p["fmt"].alias("fmt"),
-        ]
-        if typed:
-            number = F.coalesce(c["num"], c["flag"].cast("double"))
-            fields += [
-                F.when(kind == "number", number).alias("num"),
-                F.when(kind == "timestamp", c["ts"]).alias("ts"),
-                F.when(kind == "boolean", c["flag"]).alias("flag"),
-            ]
-        return F.struct(*fields)
-
-    def rewritten(c: Column) -> Column:
-        kept = [c[n].alias(n) for n in (("text", "num", "ts", "flag") if typed else ("text",))]
-        return F.struct(*kept, N.to_plain_by(c["cleaned"], c["fmt"]).alias("plain"))
-
-    def parsed(c: Column) -> Column:
-        number = N.parse_plain(c["plain"])
-        if typed:
-            return typed_cell(c["text"], F.coalesce(number, c["num"]), c["ts"], c["flag"])
-        return typed_cell(c["text"], number)
-
-    for step in (
-        F.transform("cells", blanked),
-        F.zip_with("cells", F.slice(plans, F.lit(1), F.coalesce(F.array_size("cells"), F.lit(0))), cleaned),
-        F.transform("cells", rewritten),
-        F.transform("cells", parsed),
-    ):
-        joined = joined.withColumn("cells", step)
-    return joined.drop("plans")
+    def plain(c: Column, p: Column) -> Column:
+        return F.when(p["type"] == "number", N.to_plain_by(N.strip_units(c["text"] if typed else c), p["fmt"]))
+
+    def parsed(c: Column, p: Column, text: Column) -> Column:
+        kind, number = p["type"], N.parse_plain(text)
+        if not typed:
+            return typed_cell(F.when(kind == "text", c), number)
+        as_word = as_text(*[c[f] for f in ("text", "num", "ts", "flag")])
+        number = F.coalesce(number, F.when(kind == "number", F.coalesce(c["num"], c["flag"].cast("double"))))
+        return typed_cell(
+            F.when(kind == "text", as_word), number, F.when(kind == "timestamp", c["ts"]), F.when(kind == "boolean", c["flag"])
+        )
+
+    def plan(i: Column) -> Column:
+        return F.get("plans", i)
+
+    joined = joined.withColumns({"plans": plans, "cells": F.transform("cells", blanked)})
+    joined = joined.withColumn("plain_cells", F.transform("cells", lambda c, i: plain(c, plan(i))))
+    joined = joined.withColumn("cells", F.transform("cells", lambda c, i: parsed(c, plan(i), F.get("plain_cells", i))))
+    return joined.drop("plans", "plain_cells")
 
 
 def normalize_rows(

@@ -181,16 +181,10 @@ def column_stats(rows: DataFrame, identifier_mode: str = "all_values", default:
 
 def _distinct_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Distinct trimmed values for the wanted columns only."""
-    values = exploded(rows).select(
-        *COLUMN_KEY, strip(as_text(*[F.col(n) for n in ("text", "num", "ts", "flag")])).alias("value")
-    )
     marked = wanted.select(*COLUMN_KEY, "n_filled", F.lit(True).alias("wanted"))
-    return (
-        join_back(values, marked, COLUMN_KEY, "n_filled")
-        .where("wanted")
-        .groupBy(*COLUMN_KEY)
-        .agg(F.count_distinct("value").alias("n_distinct"))
-    )
+    cells = join_back(exploded(rows), marked, COLUMN_KEY, "n_filled").where("wanted")
+    values = cells.select(*COLUMN_KEY, strip(as_text(*[F.col(n) for n in ("text", "num", "ts", "flag")])).alias("value"))
+    return values.groupBy(*COLUMN_KEY).agg(F.count_distinct("value").alias("n_distinct"))
 
 
 def _decide(stats: DataFrame) -> DataFrame:
